@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import (
@@ -16,27 +16,30 @@ from ..functions.values import (
     rnd,
     time_label,
 )
-from ..plans.shapes import bucketed, top, top_keys, zero_filled
+from ..plans.shapes import bucketed, row_count, top, top_keys, zero_filled
 
 
-def _location_counts(posts: DataFrame) -> DataFrame:
-    """Posts per location; posts without one are counted under null."""
-    return posts.groupBy(place().alias("location")).agg(F.count(F.lit(1)).alias("count"))
+def _located(posts: DataFrame) -> DataFrame:
+    return posts.withColumn("location", place()).filter(F.col("location").isNotNull())
+
 
+def _location_counts(posts: DataFrame) -> DataFrame:
+    return _located(posts).groupBy("location").agg(F.count(F.lit(1)).alias("count"))
 
-def _located(counts: DataFrame) -> DataFrame:
-    total = counts.agg(F.sum("count")).scalar()
-    return counts.filter(F.col("location").isNotNull()).withColumn("percentage", percent(F.col("count"), total))
 
+def geo_distribution(posts: DataFrame, total: Column | None = None) -> DataFrame:
+    """Count and share of all posts per location.
 
-def geo_distribution(posts: DataFrame) -> DataFrame:
-    """Count and share of all posts per location."""
-    return _located(_location_counts(posts))
+    The total is a row count, which a Parquet table answers from its footers;
+    pass ``total`` when ``posts`` is a costly view.
+    """
+    whole = row_count(posts) if total is None else total
+    return _location_counts(posts).withColumn("percentage", percent(F.col("count"), whole))
 
 
 def geo_coverage(posts: DataFrame) -> DataFrame:
     """How many posts have a location, and how many locations there are."""
-    counts = _location_counts(posts)
+    counts = posts.groupBy(place().alias("location")).agg(F.count(F.lit(1)).alias("count"))
     named = F.col("location").isNotNull()
     return counts.agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("total_posts"),
@@ -47,23 +50,21 @@ def geo_coverage(posts: DataFrame) -> DataFrame:
     )
 
 
-def geo_top(posts: DataFrame, k: int = 10) -> DataFrame:
-    return top(geo_distribution(posts), k, "count", "location")
+def geo_top(posts: DataFrame, k: int = 10, total: Column | None = None) -> DataFrame:
+    return top(geo_distribution(posts, total), k, "count", "location")
 
 
-def geo_hotspots(posts: DataFrame, threshold_percentile: float = 90) -> DataFrame:
+def geo_hotspots(posts: DataFrame, threshold_percentile: float = 90, total: Column | None = None) -> DataFrame:
     """Locations at or above a percentile of the location counts."""
     counts = _location_counts(posts)
-    named = counts.filter(F.col("location").isNotNull())
-    threshold = named.agg(F.percentile("count", F.lit(threshold_percentile / 100.0))).scalar()
-    hot = _located(counts).withColumn("threshold", threshold).filter(F.col("count") >= F.col("threshold"))
-    hot_total = named.filter(F.col("count") >= threshold).agg(F.sum("count")).scalar()
-    all_total = named.agg(F.sum("count")).scalar()
-    return hot.select(
+    threshold = counts.agg(F.percentile("count", F.lit(threshold_percentile / 100.0))).scalar()
+    hot_total = counts.filter(F.col("count") >= threshold).agg(F.sum("count")).scalar()
+    all_total = counts.agg(F.sum("count")).scalar()
+    return geo_distribution(posts, total).filter(F.col("count") >= threshold).select(
         "location",
         "count",
         "percentage",
-        rnd(F.col("threshold"), 2).alias("threshold"),
+        rnd(threshold, 2).alias("threshold"),
         percent(hot_total, all_total).alias("hotspot_concentration"),
     )
 
@@ -129,11 +130,14 @@ def geo_metric_matrix(posts: DataFrame, k: int = 15, min_posts: int = 5) -> Data
     )
 
 
-def geo_ranking(posts: DataFrame, top_n: int = 15, min_posts: int = 5) -> DataFrame:
+def geo_ranking(
+    posts: DataFrame, top_n: int = 15, min_posts: int = 5, total: Column | None = None
+) -> DataFrame:
     """The biggest locations with their sentiment class (unknown when too few)."""
     p = polarity()
     # Counts and means come from one aggregate, so no join is needed.
-    grouped = posts.groupBy(place().alias("location")).agg(
+    whole = row_count(posts) if total is None else total
+    grouped = _located(posts).groupBy("location").agg(
         F.count(F.lit(1)).alias("count"), F.count(p).alias("rated"), F.avg(p.cast("double")).alias("mean")
     )
     shown = rnd(F.col("mean"), 2)
@@ -143,8 +147,8 @@ def geo_ranking(posts: DataFrame, top_n: int = 15, min_posts: int = 5) -> DataFr
         .when(shown <= 2.5, MOSTLY_NEGATIVE)
         .otherwise(NEUTRAL)
     )
-    return top(_located(grouped), top_n, "count", "location").select(
-        "location", "count", "percentage", label.alias("sentiment_label")
+    return top(grouped, top_n, "count", "location").select(
+        "location", "count", percent(F.col("count"), whole).alias("percentage"), label.alias("sentiment_label")
     )
 
 
@@ -161,10 +165,9 @@ def geo_topic_matrix(mentions: DataFrame, top_regions: int = 10, top_topics: int
     counts = mentions.filter(named).groupBy(place().alias("location"), "parent_topic").agg(
         F.count(F.lit(1)).alias("n")
     )
-    regions = top_keys(counts, "location", top_regions)
-    inside = counts.filter(F.array_contains(regions, F.col("location")))
-    topics = top_keys(inside, "parent_topic", top_topics)
-    return zero_filled(inside, ["location"], "parent_topic", topics).withColumnRenamed("n", "count")
+    wanted = F.array_contains(top_keys(counts, "location", top_regions), F.col("location"))
+    topics = top_keys(counts, "parent_topic", top_topics, F.when(wanted, F.col("n")))
+    return zero_filled(counts, ["location"], "parent_topic", topics, rows_where=wanted).withColumnRenamed("n", "count")
 
 
 def geo_time_matrix(posts: DataFrame, granularity: str = "day", top_regions: int = 8) -> DataFrame:

@@ -148,7 +148,7 @@ def entity_cooccurrence(posts: DataFrame, top_n: int = 15) -> DataFrame:
     kept = lists.withColumn("_keep", keep).select(
         F.array_sort(F.array_intersect("entities", "_keep")).alias("entities"), "n"
     )
-    kept = kept.filter(F.size("entities") >= 2).groupBy("entities").agg(F.sum("n").alias("n"))
+    kept = kept.groupBy("entities").agg(F.sum("n").alias("n"))
     return (
         kept.select("n", F.inline(unordered_pairs("entities")))
         .groupBy(F.col("a").alias("source"), F.col("b").alias("target"))

@@ -27,6 +27,7 @@ from ..functions.values import (
 )
 from ..plans.shapes import (
     SERIES,
+    WHOLE,
     bucketed,
     focus_filter,
     keyed_map,
@@ -48,8 +49,8 @@ def publisher_distribution(posts: DataFrame) -> DataFrame:
         rnd(F.avg(p.cast("double")), 2).alias("avg_sentiment"),
         F.sum(engagement()).alias("total_engagement"),
     )
-    total = grouped.agg(F.sum("count")).scalar()
-    return grouped.withColumn("percentage", percent(F.col("count"), total))
+    # One row per publisher type, a closed list, so the total is a small window.
+    return grouped.withColumn("percentage", percent(F.col("count"), F.sum("count").over(WHOLE)))
 
 
 def top_publishers(posts: DataFrame, k: int = 5) -> DataFrame:
@@ -110,9 +111,13 @@ def cross_matrix(
     columns = top_entries(counts, "value2", k)
     names = top_keys(counts, "value2", k)
     cells = (
-        counts.filter(F.array_contains(rows, F.col("value1")))
-        .groupBy("value1")
-        .agg(F.sum("n").alias("row_total"), keyed_map("value2", "n", names).alias("_cells"))
+        counts.groupBy("value1")
+        .agg(
+            F.sum("n").alias("row_total"),
+            keyed_map("value2", "n", names).alias("_cells"),
+            F.bool_or(F.array_contains(rows, F.col("value1"))).alias("_wanted"),
+        )
+        .filter("_wanted")
     )
     spread_out = cells.withColumn("_columns", columns).select(
         "value1", "row_total", "_cells", F.explode("_columns").alias("c")
@@ -265,10 +270,9 @@ def publisher_topics(mentions: DataFrame, top_publishers: int = 8, top_topics: i
         .groupBy(known("publisher").alias("publisher"), "parent_topic")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    publishers = top_keys(counts, "publisher", top_publishers)
-    inside = counts.filter(F.array_contains(publishers, F.col("publisher")))
-    topics = top_keys(inside, "parent_topic", top_topics)
-    return zero_filled(inside, ["publisher"], "parent_topic", topics).withColumnRenamed("n", "count")
+    wanted = F.array_contains(top_keys(counts, "publisher", top_publishers), F.col("publisher"))
+    topics = top_keys(counts, "parent_topic", top_topics, F.when(wanted, F.col("n")))
+    return zero_filled(counts, ["publisher"], "parent_topic", topics, rows_where=wanted).withColumnRenamed("n", "count")
 
 
 def participant_trend(posts: DataFrame, granularity: str = "day") -> DataFrame:

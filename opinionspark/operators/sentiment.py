@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import (
@@ -130,7 +130,10 @@ def sentiment_focus_publisher(
         F.count(p).alias("count"),
     )
     if top_n is not None:
-        grouped = grouped.filter(F.array_contains(top_keys(grouped, "publisher", top_n, "_posts"), F.col("publisher")))
+        # At most one row per window day and publisher type: small enough to rank as a whole.
+        total = F.sum("_posts").over(Window.partitionBy("publisher"))
+        rank = F.dense_rank().over(Window.orderBy(F.desc("_total"), "publisher"))
+        grouped = grouped.withColumn("_total", total).withColumn("_rank", rank).filter(F.col("_rank") <= top_n)
     return grouped.select(time_label("bucket", "day").alias("time"), "publisher", "mean", "median", "count")
 
 
@@ -209,24 +212,17 @@ def volume_spikes(posts: DataFrame, granularity: str = "hour") -> DataFrame:
 
 def sentiment_trend_series(posts: DataFrame, granularity: str = "hour") -> DataFrame:
     """The plotted series: means, shares, and turning point and spike flags."""
-    series = sentiment_time_series(posts, granularity)
-    turns = timeline.turning_points(series, min_change=_min_change(granularity)).select(
-        "time", F.lit(True).alias("is_turning_point")
-    )
-    spikes = timeline.volume_spikes(series).select("time", F.lit(True).alias("is_spike"))
-    return (
-        series.join(turns, "time", "left")
-        .join(spikes, "time", "left")
-        .select(
-            "time",
-            "count",
-            "avg_polarity",
-            "positive_ratio",
-            rnd(F.lit(100.0) - F.col("positive_ratio") - F.col("negative_ratio"), 2).alias("neutral_ratio"),
-            "negative_ratio",
-            F.coalesce("is_turning_point", F.lit(False)).alias("is_turning_point"),
-            F.coalesce("is_spike", F.lit(False)).alias("is_spike"),
-        )
+    series = timeline.with_volume_zscore(sentiment_time_series(posts, granularity))
+    flagged = timeline.with_turning_points(series, min_change=_min_change(granularity))
+    return flagged.select(
+        "time",
+        "count",
+        "avg_polarity",
+        "positive_ratio",
+        rnd(F.lit(100.0) - F.col("positive_ratio") - F.col("negative_ratio"), 2).alias("neutral_ratio"),
+        "negative_ratio",
+        "is_turning_point",
+        F.coalesce(F.col("_z") >= 2.0, F.lit(False)).alias("is_spike"),
     )
 
 

@@ -23,38 +23,48 @@ def growth_rate(series: DataFrame) -> DataFrame:
     return series.withColumn("growth_rate_vs_prev", rnd(change, 2))
 
 
-def turning_points(
+def with_turning_points(
     series: DataFrame, field: str = "avg_polarity", min_change: float = 0.1, window: int = 3
 ) -> DataFrame:
-    """Points where the smoothed series changes direction by at least ``min_change``.
+    """The series with a turning point flag, and the slopes around each point.
 
-    Series with fewer than three points have none.
+    A turning point is where the smoothed series changes direction by at
+    least ``min_change``. Series with fewer than three points have none.
     """
     smooth = F.avg(field).over(SERIES.rowsBetween(-(window - 1), 0))
     curr = rnd(F.col("_smooth") - F.lag("_smooth").over(SERIES), 9)
-    prev = F.lag("_curr").over(SERIES)
-    bend = F.col("_curr") - F.col("_prev")
-    return (
+    sloped = (
         series.withColumn("_smooth", smooth)
         .withColumn("_curr", curr)
-        .withColumn("_prev", prev)
-        .filter(F.signum("_prev") != F.signum("_curr"))
-        .filter(rnd(F.abs(bend), 9) >= min_change)
-        .select(
-            "time",
-            rnd(F.col(field), 2).alias(field),
-            F.when(F.col("_prev") > 0, "up_to_down").otherwise("down_to_up").alias("direction"),
-            rnd(bend, 3).alias("delta"),
-        )
+        .withColumn("_prev", F.lag("_curr").over(SERIES))
+        .withColumn("_bend", F.col("_curr") - F.col("_prev"))
+    )
+    turns = (F.signum("_prev") != F.signum("_curr")) & (rnd(F.abs("_bend"), 9) >= min_change)
+    return sloped.withColumn("is_turning_point", F.coalesce(turns, F.lit(False)))
+
+
+def turning_points(
+    series: DataFrame, field: str = "avg_polarity", min_change: float = 0.1, window: int = 3
+) -> DataFrame:
+    """The turning points with their direction and change of slope."""
+    return with_turning_points(series, field, min_change, window).filter("is_turning_point").select(
+        "time",
+        rnd(F.col(field), 2).alias(field),
+        F.when(F.col("_prev") > 0, "up_to_down").otherwise("down_to_up").alias("direction"),
+        rnd(F.col("_bend"), 3).alias("delta"),
     )
 
 
+def with_volume_zscore(series: DataFrame) -> DataFrame:
+    """The series with each count's distance from the mean in deviations."""
+    mean, std = F.avg("count").over(WHOLE), F.stddev_pop("count").over(WHOLE)
+    return series.withColumn("_z", rnd(F.try_divide(F.col("count") - mean, std), 9))
+
+
 def volume_spikes(series: DataFrame, threshold: float = 2.0) -> DataFrame:
     """Buckets whose count lies at least ``threshold`` deviations above the mean."""
-    mean, std = F.avg("count").over(WHOLE), F.stddev_pop("count").over(WHOLE)
-    z = F.try_divide(F.col("count") - mean, std)
     return (
-        series.select("time", "count", rnd(z, 9).alias("_z"))
+        with_volume_zscore(series.select("time", "count"))
         .filter(F.col("_z") >= threshold)
         .select("time", "count", rnd(F.col("_z"), 2).alias("zscore"))
     )

@@ -19,7 +19,7 @@ from ..plans.shapes import (
     bucketed,
     focus_bounds,
     focus_filter,
-    keyed_map,
+    kept_cells,
     row_count,
     spread,
     top,
@@ -103,8 +103,9 @@ def topic_time_evolution(mentions: DataFrame, granularity: str = "day", top_n: i
     """Counts per time of the leading parents (only times that have them)."""
     counts = _counts_by_time(mentions, granularity)
     keep = top_keys(counts, "parent_topic", top_n)
-    return counts.filter(F.col("bucket").isNotNull() & F.array_contains(keep, F.col("parent_topic"))).select(
-        time_label("bucket", granularity).alias("time"), "parent_topic", F.col("n").alias("count")
+    cells = kept_cells(counts, ["bucket"], "parent_topic", keep, rows_where=F.col("bucket").isNotNull())
+    return cells.select("bucket", F.explode("_cells").alias("parent_topic", "count")).select(
+        time_label("bucket", granularity).alias("time"), "parent_topic", "count"
     )
 
 
@@ -112,8 +113,8 @@ def topic_evolution_dense(mentions: DataFrame, granularity: str = "day", top_n:
     """The leading parents, zero-filled over the times that have any of them."""
     counts = _counts_by_time(mentions, granularity)
     keep = top_keys(counts, "parent_topic", top_n)
-    timed = counts.filter(F.col("bucket").isNotNull())
-    dense = zero_filled(timed, ["bucket"], "parent_topic", keep, only_kept=True)
+    timed = F.col("bucket").isNotNull()
+    dense = zero_filled(counts, ["bucket"], "parent_topic", keep, only_kept=True, rows_where=timed)
     return dense.select(time_label("bucket", granularity).alias("time"), "parent_topic", F.col("n").alias("count"))
 
 
@@ -134,8 +135,8 @@ def topic_trends(mentions: DataFrame, granularity: str = "day", top_n: int = 5)
     """First against last third of the times, per leading parent."""
     counts = _counts_by_time(mentions, granularity)
     keep = top_keys(counts, "parent_topic", top_n)
-    timed = counts.filter(F.col("bucket").isNotNull() & F.array_contains(keep, F.col("parent_topic")))
-    rows = timed.groupBy("bucket").agg(keyed_map("parent_topic", "n", keep).alias("_cells"))
+    timed = F.col("bucket").isNotNull()
+    rows = kept_cells(counts, ["bucket"], "parent_topic", keep, only_kept=True, rows_where=timed)
     placed = rows.withColumn("time", F.col("bucket")).select(
         "time",
         "_cells",
@@ -197,16 +198,19 @@ def topic_focus_distribution(
     """Daily counts of the window's leading parents, on days that have posts."""
     counts = _focus_counts(mentions, posts, window_days)
     keep = top_keys(counts, "parent_topic", top_n)
-    cells = counts.groupBy("bucket").agg(keyed_map("parent_topic", "n", keep).alias("_cells"))
     days = bucketed(focus_filter(posts, posts, window_days), "day").select("bucket").distinct()
-    rows = days.join(cells, "bucket", "left").withColumn(
-        "_cells", F.coalesce("_cells", F.create_map().cast("map<string,bigint>"))
-    )
-    return spread(rows, ["bucket"], "parent_topic", keep).select(
+    return zero_filled(_with_rows(counts, days, "parent_topic"), ["bucket"], "parent_topic", keep).select(
         time_label("bucket", "day").alias("time"), "parent_topic", F.col("n").alias("count")
     )
 
 
+def _with_rows(counts: DataFrame, days: DataFrame, key: str) -> DataFrame:
+    """Counts plus an empty entry per day, so every day has a row in the grid."""
+    return counts.unionByName(
+        days.select("bucket", F.lit(None).cast("string").alias(key), F.lit(0).cast("bigint").alias("n"))
+    )
+
+
 def explode_words(posts: DataFrame) -> DataFrame:
     """One row per content word of a post."""
     return posts.select("post_id", "publish_time", F.explode(content_words("content")).alias("word"))
@@ -217,16 +221,8 @@ def topic_focus_keywords(posts: DataFrame, window_days: int = 14, top_n: int = 1
     inside = bucketed(explode_words(focus_filter(posts, posts, window_days)), "day")
     counts = inside.groupBy("bucket", "word").agg(F.count(F.lit(1)).alias("n"))
     keep = top_keys(counts, "word", top_n)
-    cells = (
-        counts.filter(F.array_contains(keep, F.col("word")))
-        .groupBy("bucket")
-        .agg(keyed_map("word", "n", keep).alias("_cells"))
-    )
     days = focus_bounds(posts, window_days).select(F.explode(F.sequence("start", "end")).alias("bucket"))
-    rows = days.join(cells, "bucket", "left").withColumn(
-        "_cells", F.coalesce("_cells", F.create_map().cast("map<string,bigint>"))
-    )
-    return spread(rows, ["bucket"], "word", keep).select(
+    return zero_filled(_with_rows(counts, days, "word"), ["bucket"], "word", keep).select(
         time_label("bucket", "day").alias("time"), "word", F.col("n").alias("count")
     )
 
@@ -294,8 +290,11 @@ def topic_association_matrix(mentions: DataFrame, min_support: int = 2) -> DataF
         F.struct(F.col("a").alias("topic1"), F.col("b").alias("topic2")),
         F.struct(F.col("b").alias("topic1"), F.col("a").alias("topic2")),
     )
-    directed = pairs.select(F.inline(both), "count").filter(F.array_contains(keep, F.col("topic1")))
-    return zero_filled(directed, ["topic1"], "topic2", keep, "count").filter(F.col("topic1") != F.col("topic2"))
+    directed = pairs.select(F.inline(both), "count")
+    wanted = F.array_contains(keep, F.col("topic1"))
+    return zero_filled(directed, ["topic1"], "topic2", keep, "count", rows_where=wanted).filter(
+        F.col("topic1") != F.col("topic2")
+    )
 
 
 def topic_network_edges(mentions: DataFrame, min_support: int = 3, k: int = 20) -> DataFrame:

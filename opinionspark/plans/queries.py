@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.values import (
     content_preview,
     dim_value,
+    let,
     sentiment_bucket,
     time_bucket,
     time_label,
@@ -19,7 +20,7 @@ from ..functions.values import (
 from ..operators import documents, geo, graphs, keywords, labels, profile, publishers, sentiment, timeline, topics, traces
 from ..sources import posts as P
 from ..sources import tables as V
-from .shapes import focus_filter
+from .shapes import focus_filter, row_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +55,13 @@ def _mentions(operator, *columns: str, with_posts: bool = False, **params) -> Qu
     return run
 
 
+def _located(operator, *columns: str) -> Query:
+    """A query over located posts whose total is the row count of the bare orders."""
+    return lambda spark, d: operator(
+        V.order_posts(spark, d, *columns), total=row_count(V.table(spark, d, "orders"))
+    )
+
+
 # --- sources and normalisation -------------------------------------------------
 
 
@@ -152,12 +160,14 @@ def previews(spark, d):
 
 def clean_text(spark, d):
     """Cleaned documents, raw web pages and conversation turns."""
-    docs = V.table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
-    pages = V.table(spark, d, "pages").select(
+    docs = V.text_table(spark, d, "documents", "doc_id").select(
+        F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text"
+    )
+    pages = V.text_table(spark, d, "pages", "page_id").select(
         F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text")
     )
-    clean = T.clean_text("text")
-    return docs.unionByName(pages).select("kind", "id", F.md5(clean).alias("digest"), F.length(clean).alias("size"))
+    shown = let(T.clean_text("text"), lambda c: F.struct(F.md5(c).alias("digest"), F.length(c).alias("size")))
+    return docs.unionByName(pages).select("kind", "id", shown.alias("s")).select("kind", "id", "s.digest", "s.size")
 
 
 def tokenize(spark, d):
@@ -499,13 +509,13 @@ QUERIES: dict[str, Query] = {
     "topic_network": _mentions(topics.topic_network_edges),
     "topic_network_nodes": _mentions(topics.topic_network_nodes),
     # geography
-    "geo_distribution": _orders("location")(geo.geo_distribution),
+    "geo_distribution": _located(geo.geo_distribution, "location"),
     "geo_coverage": _orders("location")(geo.geo_coverage),
-    "geo_top": _orders("location")(geo.geo_top),
-    "geo_hotspots": _orders("location")(geo.geo_hotspots),
+    "geo_top": _located(geo.geo_top, "location"),
+    "geo_hotspots": _located(geo.geo_hotspots, "location"),
     "geo_sentiment": _orders("location", "sentiment_polarity")(geo.geo_sentiment),
     "geo_metric_matrix": _orders("location", "sentiment_polarity")(geo.geo_metric_matrix),
-    "geo_ranking": _orders("location", "sentiment_polarity")(geo.geo_ranking),
+    "geo_ranking": _located(geo.geo_ranking, "location", "sentiment_polarity"),
     "geo_sentiment_compare": _orders("location", "sentiment_polarity")(geo.geo_sentiment_compare),
     "geo_topic_matrix": _mentions(geo.geo_topic_matrix, "location"),
     "geo_time_matrix": _orders("location", "publish_time")(geo.geo_time_matrix),

@@ -29,23 +29,26 @@ def top(df: DataFrame, k: int, by: str, *ties: str) -> DataFrame:
     return df.orderBy(F.desc(by), *[F.asc(t) for t in ties]).limit(k)
 
 
-def top_entries(counts: DataFrame, key: str, k: int, n: str = "n") -> Column:
+def _leading(counts: DataFrame, key: str, k: int, n: Column) -> DataFrame:
+    totals = counts.groupBy(key).agg(F.sum(n).alias("_total"))
+    # Tested on the sum, not on the key: see the note on ``zero_filled``.
+    best = top(totals.filter(F.col("_total") > 0), k, "_total", key)
+    pairs = F.collect_list(F.struct((-F.col("_total")).alias("neg"), F.col(key).alias("key")))
+    return best.agg(F.array_sort(pairs).alias("entries"))
+
+
+def top_entries(counts: DataFrame, key: str, k: int, n: str | Column = "n") -> Column:
     """Scalar ``array<struct<neg, key>>`` of the k largest keys, in rank order.
 
-    ``counts`` may hold several rows per key.
+    ``counts`` may hold several rows per key; keys are not null.
     """
-    totals = counts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum(n).alias("_total"))
-    best = top(totals, k, "_total", key)
-    pairs = F.collect_list(F.struct((-F.col("_total")).alias("neg"), F.col(key).alias("key")))
-    return best.agg(F.array_sort(pairs)).scalar()
+    return _leading(counts, key, k, F.col(n) if isinstance(n, str) else n).scalar()
 
 
-def top_keys(counts: DataFrame, key: str, k: int, n: str = "n") -> Column:
+def top_keys(counts: DataFrame, key: str, k: int, n: str | Column = "n") -> Column:
     """Scalar array of the k largest keys, in rank order."""
-    totals = counts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum(n).alias("_total"))
-    best = top(totals, k, "_total", key)
-    pairs = F.collect_list(F.struct((-F.col("_total")).alias("neg"), F.col(key).alias("key")))
-    return best.agg(F.transform(F.array_sort(pairs), lambda x: x["key"])).scalar()
+    entries = _leading(counts, key, k, F.col(n) if isinstance(n, str) else n)
+    return entries.select(F.transform("entries", lambda x: x["key"])).scalar()
 
 
 def keyed_map(key: str, n: str, keep: Column) -> Column:
@@ -55,24 +58,43 @@ def keyed_map(key: str, n: str, keep: Column) -> Column:
     )
 
 
+def kept_cells(
+    counts: DataFrame,
+    rows: list[str],
+    key: str,
+    keep: Column,
+    n: str = "n",
+    only_kept: bool = False,
+    rows_where: Column | None = None,
+) -> DataFrame:
+    """Sparse counts as one row per row group with a ``_cells`` map of the kept keys.
+
+    The kept keys come from the same ``counts``. A filter on them would be
+    pushed below the aggregate and make it a different plan, so the input
+    would be read once for the ranking and once more for the result. All
+    conditions therefore sit inside the aggregate or test its results: both
+    uses share one scan and one shuffle.
+    """
+    parts = [keyed_map(key, n, keep).alias("_cells")]
+    if rows_where is not None:
+        parts.append(F.bool_or(rows_where).alias("_wanted"))
+    cells = counts.groupBy(*rows).agg(*parts)
+    if only_kept:
+        cells = cells.filter(F.size("_cells") > 0)
+    if rows_where is not None:
+        cells = cells.filter("_wanted").drop("_wanted")
+    return cells
+
+
 def spread(df: DataFrame, rows: list[str], key: str, keep: Column, n: str = "n") -> DataFrame:
     """Turn rows carrying a ``_cells`` map into one zero-filled row per kept key."""
     filled = df.withColumn("_keep", keep).select(*rows, "_cells", F.explode("_keep").alias(key))
-    cell = F.coalesce(F.get(F.array(F.col("_cells")[F.col(key)]), F.lit(0)), F.lit(0).cast("bigint"))
-    return filled.select(*rows, key, cell.alias(n))
+    return filled.select(*rows, key, F.coalesce(F.col("_cells")[F.col(key)], F.lit(0)).alias(n))
 
 
-def zero_filled(
-    counts: DataFrame, rows: list[str], key: str, keep: Column, n: str = "n", only_kept: bool = False
-) -> DataFrame:
-    """Dense rows × kept-keys grid from sparse counts, without a grid join.
-
-    Each row group collects at most ``k`` kept cells and expands them against
-    the scalar key list. ``only_kept`` drops row groups that have none of them.
-    """
-    source = counts.filter(F.array_contains(keep, F.col(key))) if only_kept else counts
-    cells = source.groupBy(*rows).agg(keyed_map(key, n, keep).alias("_cells"))
-    return spread(cells, rows, key, keep, n)
+def zero_filled(counts: DataFrame, rows: list[str], key: str, keep: Column, n: str = "n", **conditions) -> DataFrame:
+    """Dense rows × kept-keys grid from sparse counts, without a grid join."""
+    return spread(kept_cells(counts, rows, key, keep, n, **conditions), rows, key, keep, n)
 
 
 def focus_bounds(posts: DataFrame, window_days: int = 14) -> DataFrame:

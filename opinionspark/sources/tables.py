@@ -15,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows take much work each, on at least one task per core.
+
+    A small file is a single input split. Only then are the rows spread; a
+    table with enough splits is read as it is, without a shuffle.
+    """
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def _belief_signals() -> Column:
     subs = F.slice(
         F.array(
@@ -126,7 +137,7 @@ def document_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One post per document; documents come one per hour over 30 days."""
     hours = (F.col("doc_id") % 720).cast("int")
     time = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), hours)
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents", "doc_id").select(
         F.col("doc_id").alias("post_id"),
         F.col("source").alias("username"),
         F.col("lang").alias("location"),

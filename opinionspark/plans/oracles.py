@@ -195,13 +195,33 @@ _CTES = {
     "last_event": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, branch_id ORDER BY seq DESC) AS rn "
     "FROM log) WHERE rn = 1",
     **_focus("posts_o"),
+    "bagged": "SELECT post_id, lower(tok) AS tok, count(*) AS n FROM toks GROUP BY 1, 2",
+    "keyed": "SELECT post_id, string_agg(tok || ':' || n, ' ' ORDER BY tok) AS key FROM bagged GROUP BY 1",
+    "reps": "SELECT key, min(post_id) AS rep, count(*) AS copies FROM keyed GROUP BY 1",
+    "repbag": "SELECT rep, copies, tok, n FROM reps JOIN bagged ON rep = post_id",
+    "tokdf": "SELECT tok, sum(copies) AS df FROM repbag GROUP BY 1",
+    "weights": "SELECT rep, tok, n * (ln((1e0 + (SELECT count(*) FROM posts_d)) / (1 + df)) + 1) AS w "
+    "FROM repbag JOIN tokdf USING (tok)",
+    "norms": "SELECT rep, sqrt(sum(w * w)) AS norm FROM weights GROUP BY 1",
+    "dots": "SELECT a.rep AS a, b.rep AS b, sum(a.w * b.w) AS dot FROM weights a JOIN weights b ON a.tok = b.tok "
+    "AND a.rep < b.rep GROUP BY 1, 2",
+    "alike": f"SELECT a, b, {R('dot / (x.norm * y.norm)', 9)} AS similarity FROM dots JOIN norms x ON x.rep = a "
+    f"JOIN norms y ON y.rep = b WHERE {R('dot / (x.norm * y.norm)', 9)} >= 0.85",
+    "links": "SELECT a AS x, b AS y FROM alike UNION ALL SELECT b, a FROM alike",
+    "reach": "SELECT rep AS node, rep AS seen FROM reps UNION SELECT y, seen FROM reach JOIN links ON x = node",
+    "component": "SELECT node, min(seen) AS leader FROM reach GROUP BY 1",
+    "member": "SELECT posts_d.post_id, coalesce(leader, posts_d.post_id) AS leader FROM posts_d LEFT JOIN keyed "
+    "USING (post_id) LEFT JOIN reps USING (key) LEFT JOIN component ON node = rep",
+    "clustered": "SELECT post_id, CAST(CASE WHEN count(*) OVER (PARTITION BY leader) >= 2 THEN dense_rank() OVER "
+    "(ORDER BY leader) - 1 ELSE -1 END AS BIGINT) AS text_similarity_group FROM member",
 }
+_SIMILAR = "posts_d toks bagged keyed reps repbag tokdf weights norms dots alike"
 
 
 def q(names: str, body: str, **more: str) -> str:
     """``body`` with the named common tables, in order."""
     parts = {n: _CTES[n] for n in names.split()} | more
-    return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in parts.items()) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({s})" for n, s in parts.items()) + "\n" + body
 
 
 _FOCUS = "daily calendar rolled focus"
@@ -259,6 +279,9 @@ _CORR = "\nUNION ALL ".join(
 )
 
 
+_JACCARD = "CAST(inter AS DOUBLE) / (x.size + y.size - inter)"
+
+
 def _cross(v1: str, v2: str, source: str, ctes: str) -> str:
     return q(
         ctes,
@@ -375,6 +398,29 @@ ORACLES: dict[str, str] = {
         GROUP BY 1) k USING (post_id) LEFT JOIN (SELECT post_id, count(*) AS n FROM ents GROUP BY 1) e USING (post_id)""",
     ),
     "repair_mojibake": "SELECT doc_id AS post_id, md5(text) AS digest FROM documents",
+    "similar_pairs": q(
+        _SIMILAR,
+        f"""SELECT a, b, {R('similarity', 6)} AS similarity, x.copies AS copies_a, y.copies AS copies_b FROM alike
+        JOIN reps x ON x.rep = a JOIN reps y ON y.rep = b""",
+    ),
+    "similar_pairs_jaccard": q(
+        "posts_d toks",
+        f"""SELECT a, b, {R(f'{_JACCARD}', 6)} AS similarity, x.copies AS copies_a, y.copies AS copies_b FROM (
+        SELECT p.rep AS a, r.rep AS b, count(*) AS inter FROM bag p JOIN bag r ON p.tok = r.tok AND p.rep < r.rep GROUP BY 1, 2)
+        JOIN sets x ON x.rep = a JOIN sets y ON y.rep = b WHERE {R(f'{_JACCARD}', 9)} >= 0.6""",
+        tokset="SELECT DISTINCT post_id, tok FROM toks",
+        setkey="SELECT post_id, string_agg(tok, ' ' ORDER BY tok) AS key, count(*) AS size FROM tokset GROUP BY 1",
+        sets="SELECT key, min(post_id) AS rep, count(*) AS copies, max(size) AS size FROM setkey GROUP BY 1",
+        bag="SELECT rep, tok FROM sets JOIN tokset ON rep = post_id",
+    ),
+    "text_copies": q(
+        "posts_d toks bagged keyed reps", "SELECT post_id, rep FROM keyed JOIN reps USING (key)"
+    ),
+    "text_clusters": q(f"{_SIMILAR} links reach component member clustered", "SELECT * FROM clustered"),
+    "text_cluster_sizes": q(
+        f"{_SIMILAR} links reach component member clustered",
+        "SELECT text_similarity_group, count(*) AS count FROM clustered WHERE text_similarity_group >= 0 GROUP BY 1",
+    ),
     "parse_polarity": """SELECT o_orderkey AS post_id, CASE WHEN o_orderkey % 5 IN (1, 2) THEN 3
         ELSE CAST(substr(o_orderpriority, 1, 1) AS INTEGER) END AS polarity FROM orders""",
     "parse_attributes": f"""SELECT o_orderkey AS post_id, CASE o_orderkey % 7 WHEN 0 THEN '{NEUTRAL_ATTRIBUTE}'

@@ -17,7 +17,7 @@ from ..functions.values import (
     time_bucket,
     time_label,
 )
-from ..operators import documents, geo, graphs, keywords, labels, profile, publishers, sentiment, timeline, topics, traces
+from ..operators import documents, geo, graphs, keywords, labels, profile, publishers, sentiment, similarity, timeline, topics, traces
 from ..sources import posts as P
 from ..sources import tables as V
 from .shapes import focus_filter, row_count
@@ -443,6 +443,12 @@ QUERIES: dict[str, Query] = {
     "lexicon_sentiment": _docs(keywords.post_lexicon),
     "nlp_enrich": nlp_enrich,
     "repair_mojibake": repair_mojibake,
+    # similarity
+    "similar_pairs": _docs(similarity.similar_pairs),
+    "similar_pairs_jaccard": _docs(similarity.similar_pairs_jaccard, threshold=0.6),
+    "text_copies": _docs(similarity.text_copies),
+    "text_clusters": _docs(similarity.text_clusters),
+    "text_cluster_sizes": _docs(similarity.text_cluster_sizes),
     # labels
     "parse_polarity": parse_polarity,
     "parse_attributes": parse_attributes,

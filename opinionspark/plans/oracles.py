@@ -974,3 +974,33 @@ ORACLES: dict[str, str] = {
         "log", "SELECT run_id, seq, event, node, branch_id, status FROM log ORDER BY seq DESC, run_id DESC LIMIT 50"
     ),
 }
+
+# Written and read back, or run as a stream: the same results as above.
+ORACLES["write_results"] = ORACLES["geo_sentiment"]
+ORACLES["write_graph"] = ORACLES["belief_edges"]
+ORACLES["incremental_enrich"] = ORACLES["nlp_enrich"]
+ORACLES["write_enriched"] = q(
+    "posts_e",
+    f"""SELECT {DAY('publish_time')} AS publish_date, count(*) AS posts, count(sentiment_polarity) AS rated FROM posts_e
+    GROUP BY 1""",
+)
+# The order in which a stream reads its events breaks ties of the raw sequence numbers.
+ORACLES["stream_current_location"] = q(
+    "",
+    """SELECT run_id, coalesce(max(o).stage, '') AS current_stage, coalesce(max(o).node, '') AS current_node,
+    count(o) AS open_branches FROM (SELECT run_id, CASE WHEN l.event = 'enter' THEN
+    {'seq': l.seq, 'stage': l.stage, 'node': l.node} END AS o FROM last) GROUP BY 1""",
+    raw="""SELECT 'run_' || event_type AS run_id, event_id - event_id % 2 AS seq, CASE WHEN event_id % 3 = 0 THEN 'exit'
+    ELSE 'enter' END AS event, 'stage' || (user_id % 3) AS stage, 'node' || (user_id % 10) AS node,
+    CASE WHEN user_id % 4 <> 0 THEN 'b' || (user_id % 20) ELSE 'main' END AS branch_id FROM events""",
+    last="""SELECT run_id, branch_id, max({'seq': seq, 'event': event, 'stage': stage, 'node': node}) AS l FROM raw
+    GROUP BY 1, 2""",
+)
+# A window is final once the newest event is an hour past its end.
+_CLOSED = "WHERE strptime(time, '%Y-%m-%d %H:%M') + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+ORACLES["stream_sentiment_series"] = q("posts_e series", f"SELECT * FROM series {_CLOSED}")
+ORACLES["stream_participants"] = q(
+    "posts_e",
+    f"""SELECT * FROM (SELECT {HOUR('publish_time')} AS time, count(DISTINCT user_id) AS active_users FROM posts_e
+    GROUP BY 1) {_CLOSED}""",
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,11 @@ from ..functions.values import (
 from ..operators import documents, geo, graphs, keywords, labels, profile, publishers, sentiment, similarity, timeline, topics, traces
 from ..sources import posts as P
 from ..sources import tables as V
+from ..streaming.enrich import incremental_enrich as incremental_enrich_stream
+from ..streaming.enrich import post_stream
+from ..streaming.location import branch_state_stream, locate
+from ..streaming.series import participants_stream, sentiment_series_stream
+from .checkpoints import shared_dir
 from .shapes import focus_filter, row_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -413,6 +419,98 @@ def event_log_normalize(spark, d):
     return _event_log(spark, d).select("run_id", "seq", "ts", "event", "stage", "node", "branch_id", "status")
 
 
+# --- sinks and streams -----------------------------------------------------------
+
+
+def _scratch(spark) -> str:
+    """A new folder inside the shared one, for a table that is written and read back."""
+    return f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+
+def write_results(spark, d):
+    path = _scratch(spark)
+    P.write_result(geo.geo_sentiment(V.order_posts(spark, d, "location", "sentiment_polarity")), path)
+    return P.read_result(spark, path)
+
+
+def write_enriched(spark, d):
+    path = _scratch(spark)
+    P.write_enriched(V.event_posts(spark, d), path)
+    stored = P.read_result(spark, path)
+    return stored.groupBy(F.col("publish_date").cast("string").alias("publish_date")).agg(
+        F.count(F.lit(1)).alias("posts"), F.count("sentiment_polarity").alias("rated")
+    )
+
+
+def write_graph(spark, d):
+    path = _scratch(spark)
+    posts = V.order_posts(spark, d, "belief_signals", *_COUNTS)
+    P.write_graph(graphs.belief_nodes(posts), graphs.belief_edges(posts), path)
+    schema = "source STRING, target STRING, weight DOUBLE, type STRING"
+    return spark.read.schema(schema).option("header", True).csv(f"{path}/edges")
+
+
+def _table_stream(spark, d, name):
+    """A table as a stream of its files. A pattern also matches a table of one file."""
+    return post_stream(spark, f"{d}/{name}.parque[t]", V.table(spark, d, name).schema)
+
+
+def incremental_enrich(spark, d):
+    """Documents enriched as a stream of files, then read back."""
+    path = _scratch(spark)
+    posts = _table_stream(spark, d, "documents").select(
+        F.col("doc_id").alias("post_id"), F.col("text").alias("content")
+    )
+    incremental_enrich_stream(posts, f"{path}/out", f"{path}/state").awaitTermination()
+    return P.read_result(spark, f"{path}/out").select(
+        "post_id",
+        F.concat_ws(" ", "keywords").alias("keywords"),
+        F.size("entities").alias("entities"),
+        F.col("lexicon_sentiment.label").alias("label"),
+    )
+
+
+def _event_stream(spark, d):
+    return _table_stream(spark, d, "events")
+
+
+def _finished(stream: DataFrame, spark) -> DataFrame:
+    """A stream run to its end into a table."""
+    path = _scratch(spark)
+    query = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{path}/out")
+        .option("checkpointLocation", f"{path}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def stream_sentiment_series(spark, d):
+    return _finished(sentiment_series_stream(V.event_posts_of(_event_stream(spark, d))), spark)
+
+
+def stream_participants(spark, d):
+    return _finished(participants_stream(V.event_posts_of(_event_stream(spark, d))), spark)
+
+
+def stream_current_location(spark, d):
+    """Branch states kept by a stream; each batch replaces the stored states."""
+    path = _scratch(spark)
+    states = branch_state_stream(V.status_events_of(_event_stream(spark, d)))
+    query = (
+        states.writeStream.outputMode("complete")
+        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out"))
+        .option("checkpointLocation", f"{path}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return locate(P.read_result(spark, f"{path}/out"))
+
+
 _EVENT_COLUMNS = ("run_id", "seq", "event", "node", "branch_id", "status")
 
 QUERIES: dict[str, Query] = {
@@ -424,6 +522,10 @@ QUERIES: dict[str, Query] = {
     "remaining_posts": remaining_posts,
     "head_sample": _orders("image_urls")(P.head_sample_stats),
     "cap_images": _orders("image_urls")(P.cap_images_stats),
+    "write_enriched": write_enriched,
+    "write_results": write_results,
+    "write_graph": write_graph,
+    "incremental_enrich": incremental_enrich,
     # normalisation
     "normalize_posts": normalize_posts,
     "sentiment_bucket": sentiment_bucket_counts,
@@ -572,6 +674,9 @@ QUERIES: dict[str, Query] = {
     "evidence_confidence": evidence_confidence,
     "event_log_normalize": event_log_normalize,
     "current_location": lambda spark, d: traces.current_location(_event_log(spark, d)),
+    "stream_current_location": stream_current_location,
+    "stream_sentiment_series": stream_sentiment_series,
+    "stream_participants": stream_participants,
     "failed_exits": lambda spark, d: traces.failed_exits(_event_log(spark, d)).select(*_EVENT_COLUMNS),
     "recent_events": lambda spark, d: traces.recent_events(_event_log(spark, d)).select(*_EVENT_COLUMNS),
 }

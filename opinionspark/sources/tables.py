@@ -120,8 +120,13 @@ def posts_with_first_topic(spark: SparkSession, sf_dir: str, *columns: str) -> D
 
 def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One post per event, for hourly series."""
+    return event_posts_of(table(spark, sf_dir, "events"))
+
+
+def event_posts_of(events: DataFrame) -> DataFrame:
+    """Events, stored or streamed, as posts."""
     value = F.col("value")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("post_id"),
         F.col("user_id").cast("string").alias("user_id"),
         F.col("ts").cast("timestamp_ntz").alias("publish_time"),
@@ -215,9 +220,14 @@ def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A status log made of the event table: one run per event type."""
+    return status_events_of(table(spark, sf_dir, "events"))
+
+
+def status_events_of(events: DataFrame) -> DataFrame:
+    """Events, stored or streamed, as a status log."""
     kind = F.col("event_type")
     leaves = F.col("event_id") % 3 == 0
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit(" run_"), kind).alias("run_id"),
         (F.col("event_id") - F.col("event_id") % 2).alias("seq"),
         F.col("ts").cast("timestamp_ntz").cast("string").alias("ts"),

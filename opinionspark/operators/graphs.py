@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import belief_weight, let, rnd
-from ..plans.shapes import WHOLE
+from ..plans.shapes import whole
 from .topics import unordered_pairs
 
 
@@ -104,7 +104,7 @@ def belief_network_nodes(posts: DataFrame) -> DataFrame:
 def belief_network_edges(posts: DataFrame) -> DataFrame:
     """Regular edges with a strength class 1..5 by quintiles of the weights."""
     regular = belief_edges(posts).filter(F.col("type") == "Regular")
-    cuts = F.percentile("weight", F.array(*[F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)])).over(WHOLE)
+    cuts = F.percentile("weight", F.array(*[F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)])).over(whole())
     classed = regular.withColumn("cuts", F.transform(cuts, lambda c: rnd(c, 6)))
     level = F.lit(5)
     for i in (3, 2, 1, 0):

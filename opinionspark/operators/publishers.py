@@ -26,8 +26,8 @@ from ..functions.values import (
     time_label,
 )
 from ..plans.shapes import (
-    SERIES,
-    WHOLE,
+    by_time,
+    whole,
     bucketed,
     focus_filter,
     keyed_map,
@@ -50,7 +50,7 @@ def publisher_distribution(posts: DataFrame) -> DataFrame:
         F.sum(engagement()).alias("total_engagement"),
     )
     # One row per publisher type, a closed list, so the total is a small window.
-    return grouped.withColumn("percentage", percent(F.col("count"), F.sum("count").over(WHOLE)))
+    return grouped.withColumn("percentage", percent(F.col("count"), F.sum("count").over(whole())))
 
 
 def top_publishers(posts: DataFrame, k: int = 5) -> DataFrame:
@@ -297,7 +297,7 @@ def participant_trend(posts: DataFrame, granularity: str = "day") -> DataFrame:
             F.sum(F.when(F.col("is_new"), F.col("n")).otherwise(0)).alias("new_user_posts"),
         )
     )
-    running = SERIES.rowsBetween(Window.unboundedPreceding, 0)
+    running = by_time().rowsBetween(Window.unboundedPreceding, 0)
     return grouped.select(
         time_label("bucket", granularity).alias("time"), "active_posts", "active_users", "new_users", "new_user_posts"
     ).withColumn("cumulative_users", F.sum("new_users").over(running))

@@ -17,7 +17,7 @@ from ..functions.values import (
     rnd,
     time_label,
 )
-from ..plans.shapes import WHOLE, bucketed, focus_filter, top, top_keys, zero_filled
+from ..plans.shapes import bucketed, focus_filter, top, top_keys, whole, zero_filled
 from . import timeline
 
 _LEVELS = (1, 2, 3, 4, 5)
@@ -232,15 +232,15 @@ def sentiment_anomalies(posts: DataFrame, threshold: float = 2.0) -> DataFrame:
     Needs three hours of data; the baseline figures are repeated on each row.
     """
     series = sentiment_time_series(posts, "hour")
-    mean_p, std_p = F.avg("avg_polarity").over(WHOLE), F.stddev_pop("avg_polarity").over(WHOLE)
-    mean_c, std_c = F.avg("count").over(WHOLE), F.stddev_pop("count").over(WHOLE)
+    mean_p, std_p = F.avg("avg_polarity").over(whole()), F.stddev_pop("avg_polarity").over(whole())
+    mean_c, std_c = F.avg("count").over(whole()), F.stddev_pop("count").over(whole())
     z_p = rnd(F.try_divide(F.abs(F.col("avg_polarity") - mean_p), std_p), 9)
     z_c = rnd(F.try_divide(F.abs(F.col("count") - mean_c), std_c), 9)
     scored = series.select(
         "time",
         "avg_polarity",
         "count",
-        F.count(F.lit(1)).over(WHOLE).alias("_points"),
+        F.count(F.lit(1)).over(whole()).alias("_points"),
         z_p.alias("_zp"),
         z_c.alias("_zc"),
         rnd(mean_p, 2).alias("mean_polarity"),

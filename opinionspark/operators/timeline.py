@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import rnd
-from ..plans.shapes import SERIES, WHOLE, focus_bounds
+from ..plans.shapes import by_time, focus_bounds, whole
 
 
 def focus_window(posts: DataFrame, window_days: int = 14) -> DataFrame:
@@ -18,7 +18,7 @@ def focus_window(posts: DataFrame, window_days: int = 14) -> DataFrame:
 
 def growth_rate(series: DataFrame) -> DataFrame:
     """Relative change of the count against the previous bucket present."""
-    previous = F.lag("count").over(SERIES)
+    previous = F.lag("count").over(by_time())
     change = F.try_divide((F.col("count") - previous).cast("double"), previous.cast("double"))
     return series.withColumn("growth_rate_vs_prev", rnd(change, 2))
 
@@ -31,12 +31,12 @@ def with_turning_points(
     A turning point is where the smoothed series changes direction by at
     least ``min_change``. Series with fewer than three points have none.
     """
-    smooth = F.avg(field).over(SERIES.rowsBetween(-(window - 1), 0))
-    curr = rnd(F.col("_smooth") - F.lag("_smooth").over(SERIES), 9)
+    smooth = F.avg(field).over(by_time().rowsBetween(-(window - 1), 0))
+    curr = rnd(F.col("_smooth") - F.lag("_smooth").over(by_time()), 9)
     sloped = (
         series.withColumn("_smooth", smooth)
         .withColumn("_curr", curr)
-        .withColumn("_prev", F.lag("_curr").over(SERIES))
+        .withColumn("_prev", F.lag("_curr").over(by_time()))
         .withColumn("_bend", F.col("_curr") - F.col("_prev"))
     )
     turns = (F.signum("_prev") != F.signum("_curr")) & (rnd(F.abs("_bend"), 9) >= min_change)
@@ -57,7 +57,7 @@ def turning_points(
 
 def with_volume_zscore(series: DataFrame) -> DataFrame:
     """The series with each count's distance from the mean in deviations."""
-    mean, std = F.avg("count").over(WHOLE), F.stddev_pop("count").over(WHOLE)
+    mean, std = F.avg("count").over(whole()), F.stddev_pop("count").over(whole())
     return series.withColumn("_z", rnd(F.try_divide(F.col("count") - mean, std), 9))
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.text import content_words
 from ..functions.values import EMERGING, FALLING, FLAT, RISING, percent, rnd, time_bucket, time_label
 from ..plans.shapes import (
-    SERIES,
-    WHOLE,
+    by_time,
+    whole,
     bucketed,
     focus_bounds,
     focus_filter,
@@ -140,8 +140,8 @@ def topic_trends(mentions: DataFrame, granularity: str = "day", top_n: int = 5)
     placed = rows.withColumn("time", F.col("bucket")).select(
         "time",
         "_cells",
-        F.row_number().over(SERIES).alias("at"),
-        F.count(F.lit(1)).over(WHOLE).alias("points"),
+        F.row_number().over(by_time()).alias("at"),
+        F.count(F.lit(1)).over(whole()).alias("points"),
     )
     dense = spread(placed, ["at", "points"], "parent_topic", keep)
     size_first = F.when(F.col("points") >= 3, F.floor(F.col("points") / 3)).otherwise(1)
@@ -300,7 +300,7 @@ def topic_association_matrix(mentions: DataFrame, min_support: int = 2) -> DataF
 def topic_network_edges(mentions: DataFrame, min_support: int = 3, k: int = 20) -> DataFrame:
     """Edges of the topic network with their weight relative to the strongest."""
     edges = top(pair_counts(mentions).filter(F.col("count") >= min_support), k, "count", "a", "b")
-    strongest = F.max("count").over(WHOLE)
+    strongest = F.max("count").over(whole())
     return edges.select(
         F.col("a").alias("topic_a"),
         F.col("b").alias("topic_b"),

@@ -8,16 +8,24 @@ broadcast, and range predicates built from them can reach the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.values import time_bucket
 
-# Time series hold one row per hour or day that has data, so their size is
-# bounded by the calendar, not by the number of posts. Only such aggregated
-# frames, never raw posts, are ordered as a whole.
-SERIES = Window.orderBy("time")
-WHOLE = Window.partitionBy()
+def by_time() -> WindowSpec:
+    """The order of a time series as a whole.
+
+    A series holds one row per hour or day that has data, so its size is
+    bounded by the calendar, not by the number of posts. Only such aggregated
+    frames, never raw posts, are ordered or averaged as a whole.
+    """
+    return Window.orderBy("time")
+
+
+def whole() -> WindowSpec:
+    """All rows of a small aggregated frame."""
+    return Window.partitionBy()
 
 
 def row_count(df: DataFrame) -> Column:

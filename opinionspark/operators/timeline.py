@@ -72,8 +72,8 @@ def volume_spikes(series: DataFrame, threshold: float = 2.0) -> DataFrame:
 
 def attribute_changes(dense: DataFrame, limit: int = 5) -> DataFrame:
     """Per attribute the largest step of its dense series; the biggest few."""
-    by_time = Window.partitionBy("attribute").orderBy("time")
-    step = (F.col("n") - F.lag("n").over(by_time)).alias("change")
+    per_attribute = Window.partitionBy("attribute").orderBy("time")
+    step = (F.col("n") - F.lag("n").over(per_attribute)).alias("change")
     steps = dense.select("attribute", "time", step).filter(F.col("change").isNotNull())
     # Largest |change| first, then the earliest time: both in one aggregate.
     peak = F.min(F.struct((-F.abs("change")).alias("size"), "time", "change"))

@@ -103,6 +103,7 @@ def belief_network_nodes(posts: DataFrame) -> DataFrame:
 
 def belief_network_edges(posts: DataFrame) -> DataFrame:
     """Regular edges with a strength class 1..5 by quintiles of the weights."""
+    # Edges join two signals of a closed list, so all of them fit one window.
     regular = belief_edges(posts).filter(F.col("type") == "Regular")
     cuts = F.percentile("weight", F.array(*[F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)])).over(whole())
     classed = regular.withColumn("cuts", F.transform(cuts, lambda c: rnd(c, 6)))

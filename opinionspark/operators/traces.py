@@ -74,16 +74,42 @@ def tool_run_stats(executions: DataFrame) -> DataFrame:
 _GRAM = 8
 
 
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct substrings of a length."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
+
+
+def _told(texts: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(insight_id, summary) for every summary that occurs in a text.
+
+    A summary in a text has all its substrings there too. Each summary is
+    looked up by its rarest substring of a fixed length, so a phrase that most
+    summaries share is not a meeting point, and verified where it is found.
+    """
+    sized = summaries.withColumn("_size", F.least(F.length("summary"), F.lit(_GRAM)))
+    parts = sized.select("summary", "_size", F.explode(_grams(F.col("summary"), F.col("_size"))).alias("_gram"))
+    spread = parts.groupBy("_size", "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (
+        parts.join(spread, ["_size", "_gram"])
+        .groupBy("summary", "_size")
+        .agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
+    )
+    sizes = sized.agg(F.collect_set("_size")).scalar()
+    wanted = texts.withColumn("_sizes", sizes).select("insight_id", "text", F.explode("_sizes").alias("_size"))
+    found = wanted.select("insight_id", "text", "_size", F.explode(_grams(F.col("text"), F.col("_size"))).alias("_gram"))
+    met = found.join(rarest, ["_size", "_gram"]).filter(F.contains("text", "summary"))
+    return met.select("insight_id", "summary")
+
+
 def insight_evidence(insights: DataFrame, executions: DataFrame) -> DataFrame:
     """Executions that an insight text names.
 
     A match is a text that contains the tool name, a part of it longer than
     two characters, or the execution's summary. Tool names are a closed list:
     each insight is checked against the distinct names in its own row, then
-    joined by name. Summaries are open-ended: an insight and a summary can
-    only match if the summary's first characters occur in the text, so they
-    meet in an equality join on those and are verified there. Insights
-    without a match get the last two successful executions.
+    joined by name. Distinct summaries are found by their substrings.
+    Insights without a match get the last two successful executions.
     """
     texts = insights.select("insight_id", F.lower("text").alias("text"))
     runs = executions.select(
@@ -101,22 +127,10 @@ def insight_evidence(insights: DataFrame, executions: DataFrame) -> DataFrame:
         .join(runs.select("tool", "execution_no", "id", "status"), "tool")
         .select("insight_id", "execution_no", "id", "status")
     )
-    told = runs.filter(F.col("summary") != "").withColumn("_size", F.least(F.length("summary"), F.lit(_GRAM)))
-    heads = told.withColumn("_head", F.expr("substring(summary, 1, _size)"))
-    sizes = told.agg(F.collect_set("_size")).scalar()
-    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
-    grams = (
-        texts.withColumn("_sizes", sizes)
-        .select("insight_id", "text", F.explode("_sizes").alias("_size"))
-        .select(
-            "insight_id", "text", "_size",
-            F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("text", i, F.col("_size"))))).alias("_head"),
-        )
-        .filter(F.length("_head") == F.col("_size"))
-    )
+    summaries = runs.filter(F.col("summary") != "").select("summary").distinct()
     by_summary = (
-        grams.join(heads, ["_size", "_head"])
-        .filter(F.contains("text", "summary"))
+        _told(texts, summaries)
+        .join(runs.select("summary", "execution_no", "id", "status"), "summary")
         .select("insight_id", "execution_no", "id", "status")
     )
     matched = by_name.unionByName(by_summary).distinct().withColumn("matched", F.lit(True))

@@ -132,11 +132,21 @@ def focus_bounds(posts: DataFrame, window_days: int = 14) -> DataFrame:
 
 
 def focus_filter(rows: DataFrame, posts: DataFrame, window_days: int = 14) -> DataFrame:
-    """Rows of ``rows`` whose time lies in the focus window of ``posts``."""
+    """Rows of ``rows`` whose time lies in the focus window of ``posts``.
+
+    The bounds are found from the post times alone. A table stored by
+    ``publish_date`` is then read for the days of the window only.
+    """
     bounds = focus_bounds(posts, window_days)
-    start = bounds.select(F.col("start").cast("timestamp_ntz")).scalar()
+    start, end = bounds.select("start").scalar(), bounds.select("end").scalar()
     stop = bounds.select(F.date_add("end", 1).cast("timestamp_ntz")).scalar()
-    return rows.filter((F.col("publish_time") >= start) & (F.col("publish_time") < stop))
+    inside = rows.filter(
+        (F.col("publish_time") >= bounds.select(F.col("start").cast("timestamp_ntz")).scalar())
+        & (F.col("publish_time") < stop)
+    )
+    if "publish_date" in rows.columns:
+        inside = inside.filter((F.col("publish_date") >= start) & (F.col("publish_date") <= end))
+    return inside
 
 
 def bucketed(df: DataFrame, granularity: str) -> DataFrame:

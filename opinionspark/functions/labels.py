@@ -23,12 +23,12 @@ _BELIEFS = "array<struct<category:string,subcategories:array<string>>>"
 def vocabulary(values: DataFrame, *columns: str) -> Column:
     """A vocabulary table as a scalar array, in the order of its rows' values."""
     item = F.struct(*columns) if len(columns) > 1 else F.col(columns[0])
-    return values.agg(F.array_sort(F.collect_set(item))).scalar()
+    return values.agg(F.sort_array(F.collect_set(item))).scalar()
 
 
 def ordered_vocabulary(values: DataFrame, column: str = "value", order: str = "ord") -> Column:
     """A vocabulary table as a scalar array in its stated order."""
-    pairs = F.array_sort(F.collect_list(F.struct(order, column)))
+    pairs = F.sort_array(F.collect_list(F.struct(order, column)))
     return values.agg(F.transform(pairs, lambda x: x[column])).scalar()
 
 

@@ -19,7 +19,7 @@ EMOJI_PATTERN = (
     r"\x{1F780}-\x{1F7FF}\x{1F800}-\x{1F8FF}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FAFF}"
     r"\x{2700}-\x{27BF}]+"
 )
-SPACE_PATTERN = r"(?U)\s+"
+SPACE_PATTERN = r"(?U)\s{2,}|[^\S ]"  # all but single plain spaces
 TOKEN_PATTERN = r"[A-Za-z0-9_]+|[\x{4e00}-\x{9fff}]"
 WORD_PATTERN = r"[A-Za-z]{3,}|[\x{4e00}-\x{9fff}]{2,}"
 HASHTAG_PATTERN = r"(?U)#([^#\s]{2,30})#"
@@ -40,18 +40,35 @@ def _column(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def _without_markup(text: Column) -> Column:
+    """The text with URLs and tags replaced by spaces.
+
+    The patterns run only on texts that hold what every match starts with.
+    """
+    lower = F.lower(text)
+    linked = F.contains(lower, F.lit("http")) | F.contains(lower, F.lit("www."))
+    unlinked = F.when(linked, F.regexp_replace(text, URL_PATTERN, " ")).otherwise(text)
+    tagged = F.contains(text, F.lit("<"))
+    return F.when(tagged, F.regexp_replace(unlinked, TAG_PATTERN, " ")).otherwise(unlinked)
+
+
 def clean_text(text: str | Column) -> Column:
     """Drop URLs, tags, emoji and zero-width spaces; squeeze whitespace."""
-    out = F.regexp_replace(_column(text), URL_PATTERN, " ")
-    out = F.regexp_replace(out, TAG_PATTERN, " ")
-    out = F.regexp_replace(out, EMOJI_PATTERN, " ")
-    out = F.regexp_replace(out, "\\x{200B}", " ")
+    source = _column(text)
+    plain = _without_markup(source)
+    wide = F.octet_length(source) > F.length(source)
+    out = F.when(wide, F.regexp_replace(plain, EMOJI_PATTERN, " ")).otherwise(plain)
+    out = F.replace(out, F.lit("\u200b"), F.lit(" "))
     return F.trim(F.regexp_replace(out, SPACE_PATTERN, " "))
 
 
 def tokenize(text: str | Column) -> Column:
-    """Tokens of the cleaned text: word runs and single CJK characters."""
-    return F.regexp_extract_all(clean_text(text), F.lit(TOKEN_PATTERN), F.lit(0))
+    """Tokens of the cleaned text: word runs and single CJK characters.
+
+    Emoji and whitespace are never part of a token and always end one, so
+    only URLs and tags have to be removed first.
+    """
+    return F.regexp_extract_all(_without_markup(_column(text)), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
 def content_words(text: str | Column) -> Column:
@@ -70,29 +87,23 @@ def token_counts(tokens: Column) -> Column:
     equal tokens next to each other, so the counts are run lengths: n log n in
     the length of the text and no shuffle.
     """
-    placed = F.array_sort(
+    placed = F.sort_array(
         F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("pos")))
     )
 
-    def runs(sorted_tokens: Column) -> Column:
-        starts = F.filter(
-            F.transform(
-                sorted_tokens,
-                lambda x, i: F.when(
-                    (i == 0) | (F.get(sorted_tokens, i - 1)["token"] != x["token"]),
-                    F.struct(x["token"].alias("token"), x["pos"].alias("pos"), i.alias("at")),
-                ),
-            ),
-            lambda x: x.isNotNull(),
-        )
+    def runs(ordered: Column) -> Column:
+        size = F.size(ordered)
+        token = lambda i: F.get(ordered, i)["token"]
+        places = F.slice(F.sequence(F.lit(0), size), F.lit(1), size)
+        starts = F.filter(places, lambda i: (i == 0) | (token(i - 1) != token(i)))
         return let(
             starts,
             lambda s: F.transform(
                 s,
-                lambda x, j: F.struct(
-                    x["token"].alias("token"),
-                    (F.coalesce(F.get(s, j + 1)["at"], F.size(sorted_tokens)) - x["at"]).alias("n"),
-                    x["pos"].alias("pos"),
+                lambda i, j: F.struct(
+                    token(i).alias("token"),
+                    (F.coalesce(F.get(s, j + 1), size) - i).alias("n"),
+                    F.get(ordered, i)["pos"].alias("pos"),
                 ),
             ),
         )
@@ -106,7 +117,7 @@ def ranked_tokens(tokens: Column, top_n: int) -> Column:
         token_counts(tokens),
         lambda x: F.struct((-x["n"]).alias("rank"), x["pos"].alias("pos"), x["token"].alias("token")),
     )
-    return F.slice(F.array_sort(keyed), 1, max(1, int(top_n)))
+    return F.slice(F.sort_array(keyed), 1, max(1, int(top_n)))
 
 
 def keywords(text: str | Column, top_n: int = 10) -> Column:
@@ -115,10 +126,14 @@ def keywords(text: str | Column, top_n: int = 10) -> Column:
 
 def entities(text: str | Column) -> Column:
     """Hashtags, then mentions, each once, in order of appearance."""
-    cleaned = clean_text(text)
-    tags = F.regexp_extract_all(cleaned, F.lit(HASHTAG_PATTERN), F.lit(1))
-    mentions = F.regexp_extract_all(cleaned, F.lit(MENTION_PATTERN), F.lit(1))
-    return F.array_distinct(F.concat(tags, mentions))
+    source = _column(text)
+    cleaned = clean_text(source)
+    none = F.array().cast("array<string>")
+    tags = F.when(F.contains(source, F.lit("#")), F.regexp_extract_all(cleaned, F.lit(HASHTAG_PATTERN), F.lit(1)))
+    mentions = F.when(
+        F.contains(source, F.lit("@")), F.regexp_extract_all(cleaned, F.lit(MENTION_PATTERN), F.lit(1))
+    )
+    return F.array_distinct(F.concat(F.coalesce(tags, none), F.coalesce(mentions, none)))
 
 
 def lexicon_sentiment(text: str | Column) -> Column:

@@ -58,7 +58,7 @@ def _signal_sets(posts: DataFrame) -> DataFrame:
     """Total weight per distinct set of signals; pairs are formed per set."""
     return (
         _weighted(posts)
-        .groupBy(F.array_sort(F.transform("entries", lambda e: e["signal"])).alias("signals"))
+        .groupBy(F.sort_array(F.transform("entries", lambda e: e["signal"])).alias("signals"))
         .agg(F.sum("w").alias("w"))
     )
 

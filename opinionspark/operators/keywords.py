@@ -62,7 +62,7 @@ def keywords_tfidf(posts: DataFrame, top_n: int = 10) -> DataFrame:
     # A post has at most as many rows here as its own text has tokens.
     best = scored.groupBy("post_id").agg(
         F.slice(
-            F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "pos", "token"))), 1, top_n
+            F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "pos", "token"))), 1, top_n
         ).alias("best")
     )
     return best.select("post_id", F.posexplode("best").alias("i", "k")).select(
@@ -122,7 +122,7 @@ def keyword_time_matrix(posts: DataFrame, top_n: int = 10, granularity: str = "d
 def _entity_lists(posts: DataFrame) -> DataFrame:
     """How many posts have each list of entities."""
     found = _stored_or(posts, "entities", T.entities("content"))
-    named = F.array_sort(F.array_distinct(F.filter(found, lambda e: F.nullif(e, F.lit("")).isNotNull())))
+    named = F.sort_array(F.array_distinct(F.filter(found, lambda e: F.nullif(e, F.lit("")).isNotNull())))
     return (
         posts.select(named.alias("entities")).filter(F.size("entities") > 0).groupBy("entities").agg(
             F.count(F.lit(1)).alias("n"))
@@ -146,7 +146,7 @@ def entity_cooccurrence(posts: DataFrame, top_n: int = 15) -> DataFrame:
     counts = lists.select("n", F.explode("entities").alias("entity"))
     keep = top_keys(counts, "entity", top_n)
     kept = lists.withColumn("_keep", keep).select(
-        F.array_sort(F.array_intersect("entities", "_keep")).alias("entities"), "n"
+        F.sort_array(F.array_intersect("entities", "_keep")).alias("entities"), "n"
     )
     kept = kept.groupBy("entities").agg(F.sum("n").alias("n"))
     return (

@@ -245,7 +245,7 @@ def topic_sets(mentions: DataFrame) -> DataFrame:
     of different sets stay small. Pairs are formed per distinct set and
     weighted by its post count, not per post.
     """
-    per_post = _with_parent(mentions).groupBy("post_id").agg(F.array_sort(F.collect_set("parent_topic")).alias("topics"))
+    per_post = _with_parent(mentions).groupBy("post_id").agg(F.sort_array(F.collect_set("parent_topic")).alias("topics"))
     return per_post.filter(F.size("topics") >= 2).groupBy("topics").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -285,7 +285,7 @@ def topic_association_matrix(mentions: DataFrame, min_support: int = 2) -> DataF
     supported = pairs.filter(F.col("count") >= min_support)
     ends = F.explode(F.array("a", "b")).alias("topic")
     # Bounded by the taxonomy: the topics of the supported pairs.
-    keep = supported.select(ends).agg(F.array_sort(F.collect_set("topic"))).scalar()
+    keep = supported.select(ends).agg(F.sort_array(F.collect_set("topic"))).scalar()
     both = F.array(
         F.struct(F.col("a").alias("topic1"), F.col("b").alias("topic2")),
         F.struct(F.col("b").alias("topic1"), F.col("a").alias("topic2")),

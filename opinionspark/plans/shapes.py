@@ -42,7 +42,7 @@ def _leading(counts: DataFrame, key: str, k: int, n: Column) -> DataFrame:
     # Tested on the sum, not on the key: see the note on ``zero_filled``.
     best = top(totals.filter(F.col("_total") > 0), k, "_total", key)
     pairs = F.collect_list(F.struct((-F.col("_total")).alias("neg"), F.col(key).alias("key")))
-    return best.agg(F.array_sort(pairs).alias("entries"))
+    return best.agg(F.sort_array(pairs).alias("entries"))
 
 
 def top_entries(counts: DataFrame, key: str, k: int, n: str | Column = "n") -> Column:

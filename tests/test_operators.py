@@ -244,3 +244,15 @@ def test_registry(sample_posts):
 def test_every_tool_runs_on_nested_posts(sample_posts, name):
     for frame in execute(name, sample_posts, output_dir="ignored").values():
         frame.collect()
+
+
+def test_entity_network_keeps_leading_entities(make_posts):
+    from opinionspark.operators import keywords
+
+    texts = ["#aa# @bb @cc", "@bb #aa#", "@cc @dd", "@aa @aa"]
+    posts = make_posts([post(i, t) for i, t in enumerate(texts)])
+    assert rows(keywords.entity_nodes(posts, 3)) == [("aa", 3), ("bb", 2), ("cc", 2)]
+    assert rows(keywords.entity_cooccurrence(posts, 3), "source", "target") == [
+        ("aa", "bb", 2), ("aa", "cc", 1), ("bb", "cc", 1)]
+    stored = make_posts([post(0, "@zz @yy", entities=["p", "q", "", "p"])])
+    assert rows(keywords.entity_cooccurrence(stored)) == [("p", "q", 1)]

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat
+from . import chat, mixing, rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": lambda spark, d: chat.chat_digests(table(spark, d, "conversations")),
+    "op6_source_mixing": lambda spark, d: mixing.mix_sources(table(spark, d, "documents")),
+    "op8_quality_rules": lambda spark, d: rules.quality_rules(table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {

@@ -40,3 +40,10 @@ def text_or_empty(name: str = "text") -> Column:
 def held_out(doc_id: Column) -> Column:
     """Rows that a classifier never learns from: crc32(doc_id as text) mod 5 is 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer file ``name`` is on this machine, and on the executors alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

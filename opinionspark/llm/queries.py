@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, rules
-from .common import table
+from . import chat, mixing, packing, rules
+from .common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": lambda spark, d: chat.chat_digests(table(spark, d, "conversations")),
     "op6_source_mixing": lambda spark, d: mixing.mix_sources(table(spark, d, "documents")),
+    "op10_best_fit_packing": lambda spark, d: packing.pack_documents(
+        table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json")
+    ),
     "op8_quality_rules": lambda spark, d: rules.quality_rules(table(spark, d, "documents")),
 }
 

@@ -67,7 +67,7 @@ class WordEncoder:
         return np.array(out, dtype="<u4")
 
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, place long"
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:

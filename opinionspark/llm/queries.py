@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, rules
+from . import chat, mixing, packing, rules, warc
 from .common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,9 +17,11 @@ QUERIES: dict[str, Query] = {
     "op10_best_fit_packing": lambda spark, d: packing.pack_documents(
         table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json")
     ),
+    "op7_warc": lambda spark, d: warc.archive_pages(table(spark, d, "pages")),
     "op8_quality_rules": lambda spark, d: rules.quality_rules(table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
+    "op7_warc": warc.PAGES_SQL,
     "op1_chat_formatting": chat.DIGESTS_SQL,
 }

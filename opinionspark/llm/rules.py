@@ -123,12 +123,11 @@ def thresholds(groups: DataFrame, least: int = LEAST, reach: float = REACH) -> D
     langs = _merge(groups, "lang").select(
         F.col("lang").alias("l_lang"), F.col("n").alias("l_n"), *[F.col(m).alias(f"l_{m}") for m in MEASURES]
     )
-    every = _merge(groups).withColumnRenamed("n", "a_n").withColumnsRenamed({m: f"a_{m}" for m in MEASURES})
-    chosen = groups.join(langs, F.col("lang").eqNullSafe(F.col("l_lang"))).withColumn("_one", F.lit(1))
-    chosen = chosen.join(every.withColumn("_one", F.lit(1)), "_one")
+    every = _merge(groups).select(F.struct(*MEASURES)).scalar()
+    chosen = groups.join(langs, F.col("lang").eqNullSafe(F.col("l_lang")))
     out = [F.col("lang"), F.col("source")]
     for m, (two_sided, step) in MEASURES.items():
-        sketch = F.when(F.col("n") >= least, F.col(m)).when(F.col("l_n") >= least, F.col(f"l_{m}")).otherwise(F.col(f"a_{m}"))
+        sketch = F.when(F.col("n") >= least, F.col(m)).when(F.col("l_n") >= least, F.col(f"l_{m}")).otherwise(every[m])
         q1, q3 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
         width = reach * F.greatest(q3 - q1, F.lit(step))
         out.append((q1 - width if two_sided else F.lit(float("-inf"))).alias(f"low_{m}"))

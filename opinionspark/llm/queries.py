@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, rules, topk, warc
+from . import chat, minhash, mixing, packing, rules, topk, warc
 from .common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": lambda spark, d: chat.chat_digests(table(spark, d, "conversations")),
+    "op2_minhash_dedup": lambda spark, d: minhash.near_duplicates(table(spark, d, "documents")),
     "op4_exact_top_k": lambda spark, d: topk.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0),
     "op6_source_mixing": lambda spark, d: mixing.mix_sources(table(spark, d, "documents")),
     "op10_best_fit_packing": lambda spark, d: packing.pack_documents(
@@ -24,6 +25,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_minhash_dedup": lambda spark, d: minhash.near_duplicates(table(spark, d, "documents")),
     "op4_exact_top_k": topk.TOP_K_SQL,
     "op7_warc": warc.PAGES_SQL,
     "op1_chat_formatting": chat.DIGESTS_SQL,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, mixing, packing, rules, suffixes, topk, warc
+from . import chat, minhash, mixing, packing, quality, rules, suffixes, topk, warc
 from .common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,9 @@ QUERIES: dict[str, Query] = {
     "op2_minhash_dedup": lambda spark, d: minhash.near_duplicates(table(spark, d, "documents")),
     "op3_suffix_array_dedup": lambda spark, d: suffixes.substring_digests(table(spark, d, "documents")),
     "op4_exact_top_k": lambda spark, d: topk.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0),
+    "op5_quality_classifier": lambda spark, d: quality.quality_scores(
+        table(spark, d, "documents"), table(spark, d, "labels")
+    ),
     "op6_source_mixing": lambda spark, d: mixing.mix_sources(table(spark, d, "documents")),
     "op10_best_fit_packing": lambda spark, d: packing.pack_documents(
         table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json")

@@ -57,22 +57,28 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         first = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of each row's first word and, last, the number of words)."""
+def _word_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and where they end; the ends of rows end words."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = ~_SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = inside[:-1]
+    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
     starts = np.flatnonzero(inside & (~before | edge[:-1]))
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    return starts, np.flatnonzero(inside & (~after | edge[1:])) + 1
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return _word_edges(data, offsets)[0]
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, index of each row's first word and, last, the number of words)."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    starts, ends = _word_edges(data, offsets)
     powers, inverse = _power_tables(n)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, mixing, packing, quality, rules, suffixes, topk, warc
+from . import chat, minhash, mixing, packing, quality, rules, suffixes, topk, toxicity, warc
 from .common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,9 @@ QUERIES: dict[str, Query] = {
         table(spark, d, "documents"), table(spark, d, "labels")
     ),
     "op6_source_mixing": lambda spark, d: mixing.mix_sources(table(spark, d, "documents")),
+    "op9_toxicity": lambda spark, d: toxicity.toxicity_scores(
+        table(spark, d, "documents"), table(spark, d, "labels")
+    ),
     "op10_best_fit_packing": lambda spark, d: packing.pack_documents(
         table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json")
     ),

@@ -57,7 +57,7 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         first = end
 
 
-def _word_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where words start and where they end; the ends of rows end words."""
     n = len(data)
     inside = ~_SPACE[data]
@@ -70,7 +70,7 @@ def _word_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return _word_edges(data, offsets)[0]
+    return word_edges(data, offsets)[0]
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +78,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    starts, ends = _word_edges(data, offsets)
+    starts, ends = word_edges(data, offsets)
     powers, inverse = _power_tables(n)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0

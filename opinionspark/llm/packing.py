@@ -12,6 +12,8 @@ their rank within their length.
 from __future__ import annotations
 
 import bisect
+import functools
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -30,43 +32,73 @@ SIZE = 2048
 END = 0
 #: Search steps per sequence. Spent steps end a search at its best filling so far, which is at least best fit.
 STEPS = 300
-_CACHE = 300_000
+#: Words, and letter runs in lower case, whose ids a Python worker remembers at most.
+_WORDS, _RUNS = 300_000, 600_000
+#: Latin letters, then characters that are neither letters, digits, apostrophes nor outside ASCII.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\sA-Za-zÀ-ÖØ-öø-ÿ0-9'\x80-\U0010ffff]*)\Z")
 
 
 class WordEncoder:
     """Token ids of texts, from the ids of their white-space separated words.
 
     The tokenizer drops white space and never joins what it separates, so a
-    text's ids are its words' ids in order and most words are looked up. Texts
-    with control characters that Python, but not the tokenizer, takes for
-    white space are encoded as a whole.
+    text's ids are its words' ids in order and most words are looked up. It
+    also cuts letters from signs and ignores case, so a new word that is a run
+    of Latin letters and signs is put together from both. Texts with control
+    characters that Python, but not the tokenizer, takes for white space are
+    encoded as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, list[int]] = {}
+        self._words: dict[str, list[int]] = {}
+        self._runs: dict[str, list[int]] = {}
 
-    def _ids(self, text: str) -> list[int]:
+    def whole(self, text: str) -> list[int]:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _run(self, text: str) -> list[int]:
+        ids = self._runs.get(text)
+        if ids is None:
+            ids = self.whole(text)
+            if len(self._runs) >= _RUNS:
+                self._runs.clear()
+            if len(text) <= 40:
+                self._runs[text] = ids
+        return ids
+
+    def _word(self, word: str) -> list[int]:
+        plain = _PLAIN.match(word)
+        if plain is None:
+            ids = self.whole(word)
+        else:
+            ids = self._run(plain[1].lower())
+            if plain[2]:
+                ids = ids + self._run(plain[2])
+        if len(self._words) >= _WORDS:
+            self._words.clear()
+        if len(word) <= 40:
+            self._words[word] = ids
+        return ids
+
     def encode(self, text: str) -> np.ndarray:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.array(self._ids(text), dtype="<u4")
-        known, out = self._known, []
-        if len(known) > _CACHE:
-            known.clear()
+            return np.array(self.whole(text), dtype="<u4")
+        known, out = self._words, []
         for word in text.split():
             ids = known.get(word)
-            if ids is None:
-                ids = self._ids(word)
-                if len(word) <= 40:
-                    known[word] = ids
-            out += ids
+            out += self._word(word) if ids is None else ids
         return np.array(out, dtype="<u4")
 
 
+@functools.lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The Python worker's encoder, whose memory of words serves all its tasks."""
+    return WordEncoder(path)
+
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, place long"
 
 
@@ -78,7 +110,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, part = WordEncoder(tokenizer), {}, TaskContext.get().partitionId()
+        encoder, seen, part = word_encoder(tokenizer), {}, TaskContext.get().partitionId()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):

@@ -3,8 +3,13 @@
 Texts are compared by the weighted Jaccard similarity of their five-word
 shingles, each weighted by tf * idf. Improved consistent weighted sampling
 draws from each text a sample that two texts share with a probability equal to
-their similarity; samples are put into bands, texts that share a band are
-candidates, and candidates are verified by their exact similarity.
+their similarity. Samples are put into bands. Of the texts that share a band,
+those whose whole samples differ too much are parted, which leaves families of
+candidates, and within families the exact similarity is verified.
+
+Texts of a band, and of a family, are compared in tiles of bounded size. A
+comparison emits no pairs but the edges of a spanning forest, at most one per
+text, and skips texts that it has already connected.
 
 The idf of a shingle is the mean idf of its words. Word counts are kept in a
 table of fixed size, so they are broadcast at any size of the corpus, and a
@@ -16,9 +21,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -28,6 +34,10 @@ from .shingles import mixed, shingles, text_slices, word_hashes
 THRESHOLD = 0.8
 #: At similarity 0.8 a pair misses all bands with probability (1 - 0.8^3)^16 = 1e-5.
 BANDS, BAND_ROWS = 16, 3
+#: Texts are candidates if at least so many of their 48 samples agree; at similarity 0.8 fewer do with probability 1e-7.
+LEAST_SAMPLES = 24
+#: A tile of a band has about so many texts, a tile of a family so many bytes of text.
+BAND_TILE, FAMILY_TILE = 2048, 1 << 20
 #: Word counts are kept in so many slots; words in one slot share their count.
 SLOTS = 1 << 16
 #: Shingles that are sampled together; their arrays stay in the processor's cache.
@@ -107,7 +117,7 @@ def _row_runs(first: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def signatures(docs: DataFrame, idf: Broadcast, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """(doc_id, digest, bands): the bands' hashes; both are null for a text without words."""
+    """(doc_id, digest, bands, samples): the bands' hashes, and 16 bits of each sample; null for a text without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(bands * band_rows)
@@ -120,75 +130,132 @@ def signatures(docs: DataFrame, idf: Broadcast, bands: int = BANDS, band_rows: i
                     own, at = slice(first[start], first[end]), first[start : end + 1] - first[start]
                     some = np.flatnonzero(np.diff(at))
                     keys = np.zeros((end - start, bands), np.int64)
+                    samples = np.zeros((end - start, bands * band_rows), np.uint16)
                     if len(some):
                         drawn = sampler.draw(hashes[own], weights[own], at[some]).view(np.uint64)
+                        samples[some] = mixed(drawn) >> np.uint64(48)
                         key = np.broadcast_to(salt, (len(some), bands)).copy()
                         for r in range(band_rows):
                             key = mixed(key ^ drawn[:, r::band_rows])
                         keys[some] = key.view(np.int64)
-                    signed.append((keys, np.diff(at) > 0))
-            keys = np.concatenate([k for k, _ in signed]) if signed else np.zeros((0, bands), np.int64)
-            some = np.concatenate([s for _, s in signed]) if signed else np.zeros(0, bool)
+                    signed.append((keys, np.diff(at) > 0, samples))
+            if not signed:
+                continue
+            keys, some, samples = (np.concatenate(x) for x in zip(*signed))
             sizes = np.concatenate(([0], np.cumsum(np.where(some, bands, 0)))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(keys[some].ravel()), mask=pa.array(~some))
             digest = pa.array([d if s else None for d, s in zip(batch["digest"].to_pylist(), some)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], digest, lists], ["doc_id", "digest", "bands"])
+            packed = pa.array([x.tobytes() if s else None for x, s in zip(samples, some)], pa.binary())
+            names = ["doc_id", "digest", "bands", "samples"]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], digest, lists, packed], names)
 
     text = text_or_empty()
     rows = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
-    return rows.mapInArrow(sign, "doc_id long, digest binary, bands array<long>")
-
-
-def similarities(pairs: DataFrame, idf: Broadcast) -> DataFrame:
-    """(a, b, similarity): the exact weighted Jaccard similarity of rows (a, b, text_a, text_b)."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.zeros(len(batch["a"]))
-            sizes = np.diff(_offsets(batch["text_a"])) + np.diff(_offsets(batch["text_b"]))
-            for start, end in _row_runs(np.concatenate(([0], np.cumsum(sizes))), 1 << 22):
-                sets = []
-                for side in ("text_a", "text_b"):
-                    for _, _, data, offsets in text_slices(batch[side].slice(start, end - start), 1 << 62):
-                        sets.append(shingles(*word_hashes(data, offsets), idf.value))
-                found[start:end] = weighted_jaccard(*sets)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(found)], ["a", "b", "similarity"])
-
-    return pairs.mapInArrow(score, "a long, b long, similarity double")
+    return rows.mapInArrow(sign, "doc_id long, digest binary, bands array<long>, samples binary")
 
 
-def _offsets(column: pa.Array) -> np.ndarray:
-    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
-    return np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-
-
-def weighted_jaccard(left: tuple, right: tuple) -> np.ndarray:
-    """Sum of the lesser over sum of the greater weights, for each row of two equally long sets of rows."""
-    n = len(left[2]) - 1
-    row = np.concatenate([np.repeat(np.arange(n), np.diff(s[2])) for s in (left, right)])
-    hashes, weights = (np.concatenate((left[i], right[i])) for i in (0, 1))
-    order = np.lexsort((hashes, row))
-    row, hashes, weights = row[order], hashes[order], weights[order]
-    total = np.bincount(row, weights, minlength=n)
-    if len(row) < 2:
-        return np.zeros(n)
-    same = np.flatnonzero((row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1]))
-    shared = np.bincount(row[same], np.minimum(weights[same], weights[same + 1]), minlength=n)
-    return np.divide(shared, total - shared, out=np.zeros(n), where=total > 0)
+def _spread(rows: DataFrame, key: str, size: Column, most: int) -> DataFrame:
+    """``rows`` with _i and _j, once for each pair of tiles of its key that its own tile _own is in.
 
+    A key's rows are dealt over as many tiles as its total size has ``most``,
+    by a hash of rep, and every two of its tiles meet in one group.
+    """
+    tiles = stored(
+        rows.groupBy(key).agg(F.ceil(F.sum(size) / most).cast("int").alias("_tiles"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"),
+        "tiles",
+    )
+    own = rows.join(tiles, key).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other")
+    return own.select("*", other).select(
+        *rows.columns, "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j")
+    )
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    whole = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return similarities(whole, idf).filter(F.col("similarity") >= threshold - 1e-9)
 
+def _forest(ids: list[int], sides: np.ndarray, compare) -> list[tuple[int, int]]:
+    """Edges that connect what ``compare`` links: (row, other rows) -> which of them are linked to the row.
 
-def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One text for each id in the pairs, stored; ids and texts that repeat are one row."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id", "left_semi")
-    return stored(rows.dropDuplicates(["doc_id"]), "texts")
+    sides: 0 or 1 for each row. Rows of side 0 are compared with those of side 1,
+    or with each other if there is no side 1. Rows that are connected already
+    aren't compared again.
+    """
+    labels, edges = np.arange(len(ids)), []
+    across = sides.any()
+    targets = np.flatnonzero(sides == 1) if across else np.arange(len(ids))
+    for p in np.flatnonzero(sides == 0):
+        rest = targets if across else targets[targets > p]
+        rest = rest[labels[rest] != labels[p]]
+        if not len(rest):
+            continue
+        hit = rest[compare(p, rest)]
+        if len(hit):
+            joined, one = np.unique(labels[hit], return_index=True)
+            edges += [(ids[p], ids[q]) for q in hit[one]]
+            labels[np.isin(labels, joined)] = labels[p]
+    return edges
+
+
+def _edge_frame(edges: list[tuple[int, int]]) -> pd.DataFrame:
+    return pd.DataFrame({"a": [min(e) for e in edges], "b": [max(e) for e in edges]}, dtype="int64")
+
+
+def _alike_samples(group: pd.DataFrame) -> pd.DataFrame:
+    samples = np.frombuffer(b"".join(group["samples"]), np.uint16).reshape(len(group), -1)
+    sides = ((group["_own"] == group["_j"]) & (group["_i"] != group["_j"])).to_numpy(np.int64)
+    alike = lambda p, rest: (samples[rest] == samples[p]).sum(axis=1) >= LEAST_SAMPLES
+    return _edge_frame(_forest(group["rep"].tolist(), sides, alike))
+
+
+def _similar_texts(idf: Broadcast, threshold: float):
+    """Compares texts of two tiles by their weighted Jaccard similarity."""
+
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rep")
+        sides = ((group["_own"] == group["_j"]) & (group["_i"] != group["_j"])).to_numpy(np.int64)
+        sets = Shingled(group["text"].tolist(), idf.value)
+        return _edge_frame(_forest(group["rep"].tolist(), sides, lambda p, rest: sets.similar(p, rest, threshold)))
+
+    return link
+
+
+class Shingled:
+    """The weighted shingle sets of some texts, for comparing one with many."""
+
+    def __init__(self, texts: list[str], idf: np.ndarray):
+        parts = [
+            shingles(*word_hashes(data, offsets), idf)
+            for _, _, data, offsets in text_slices(pa.array(texts, pa.large_string()))
+        ]
+        hashes, self._weights = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        self._sizes = np.concatenate([np.diff(p[2]) for p in parts])
+        self._first = np.concatenate(([0], np.cumsum(self._sizes)))
+        values, self._ids = np.unique(hashes, return_inverse=True)
+        self._one = np.zeros(len(values))
+        row = np.repeat(np.arange(len(texts)), self._sizes)
+        self.totals = np.bincount(row, self._weights, minlength=len(texts))
+        several = np.bincount(self._ids, minlength=len(values))[self._ids] > 1
+        self._common = np.bincount(row, self._weights * several, minlength=len(texts))
+
+    def similarity(self, p: int, rest: np.ndarray) -> np.ndarray:
+        own = slice(self._first[p], self._first[p + 1])
+        sizes = self._sizes[rest]
+        begin = np.cumsum(sizes) - sizes
+        at = np.arange(int(sizes.sum())) + np.repeat(self._first[:-1][rest] - begin, sizes)
+        self._one[self._ids[own]] = self._weights[own]
+        shared = np.add.reduceat(np.minimum(self._weights[at], self._one[self._ids[at]]), begin)
+        self._one[self._ids[own]] = 0
+        return shared / (self.totals[p] + self.totals[rest] - shared)
+
+    def similar(self, p: int, rest: np.ndarray, threshold: float) -> np.ndarray:
+        """Which of the texts ``rest`` are similar to text p; those that cannot be, by their weights, aren't compared."""
+        least = threshold * (1 - 1e-9)
+        out = np.zeros(len(rest), bool)
+        if self._common[p] < least * self.totals[p]:
+            return out
+        low, high = np.minimum(self.totals[rest], self.totals[p]), np.maximum(self.totals[rest], self.totals[p])
+        able = (low >= least * high) & (self._common[rest] >= least * self.totals[rest])
+        if able.any():
+            out[able] = self.similarity(p, rest[able]) >= threshold - 1e-9
+        return out
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -200,75 +267,44 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     than five words are compared as one shingle. Rows with a null doc_id take
     the class of equal texts, or null. doc_ids are taken for unique: of rows
     that share one, any text may stand for it. Other columns are ignored.
-
-    Equal texts are one from the start. In each bucket of a band all texts are
-    first compared with the bucket's smallest id, which is linear however large
-    the bucket is. Only texts that this leaves outside the bucket's largest
-    class are then compared with the bucket's other classes, so every candidate
-    pair that could still join two classes is verified.
     """
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(word_idf(docs))
     signed = stored(signatures(docs, idf), "signatures")
-    rows = signed.withColumn("key", F.coalesce("digest", F.col("doc_id").cast("string").cast("binary")))
+    key = F.coalesce("digest", F.col("doc_id").cast("string").cast("binary"), F.lit(b""))
+    rows = signed.withColumn("key", key)
     texts = stored(
-        rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "distinct"
-    )
-    banded = texts.filter(F.col("rep").isNotNull() & F.col("bands").isNotNull()).select(
-        "rep", F.explode("bands").alias("band")
+        rows.groupBy("key").agg(
+            F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("samples").alias("samples")
+        ),
+        "distinct",
     )
-    pivots = stored(
-        banded.groupBy("band")
-        .agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > 1)
-        .select("band", "pivot"),
-        "pivots",
+    whole = texts.filter(F.col("rep").isNotNull() & F.col("bands").isNotNull())
+    banded = whole.select("rep", F.explode("bands").alias("band"))
+    shared = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band"), "shared")
+    buckets = stored(banded.join(shared, "band").join(whole.select("rep", "samples"), "rep"), "buckets")
+    edge = "a long, b long"
+    near = _spread(buckets, "band", F.lit(1), BAND_TILE).groupBy("band", "_i", "_j").applyInPandas(
+        lambda g: _alike_samples(g), edge
     )
-    buckets = stored(banded.join(pivots, "band"), "buckets")
-    pairs = stored(
-        buckets.filter(F.col("rep") != F.col("pivot"))
-        .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-        .distinct(),
-        "pairs",
+    families = connected_components(stored(near.distinct(), "near")).select(
+        F.col("node").alias("rep"), F.col("component").alias("family")
     )
-    known = _texts_of(docs, pairs)
-    links = stored(_verified(pairs, known, idf, threshold), "links")
-    classes = _classes(links)
-    rest = stored(_cross_pairs(buckets, classes).join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = stored(_verified(rest, known, idf, threshold), "more")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        classes = _classes(links)
+    families = stored(families, "families")
+    members = docs.select(F.col("doc_id").alias("rep"), text_or_empty().alias("text")).join(families, "rep")
+    members = stored(members.dropDuplicates(["rep"]), "members")
+    tiled = _spread(members, "family", F.octet_length("text"), FAMILY_TILE)
+    links = tiled.groupBy("family", "_i", "_j").applyInPandas(_similar_texts(idf, threshold), edge)
+    classes = stored(connected_components(stored(links, "links")), "classes")
     named = texts.join(classes, F.col("rep") == F.col("node"), "left").select(
         "key", F.coalesce("component", "rep").alias("class_id")
     )
     return rows.select("doc_id", "key").join(stored(named, "named"), "key").select("doc_id", "class_id")
 
 
-def _classes(links: DataFrame) -> DataFrame:
-    return stored(connected_components(links.select("a", "b")), "classes")
-
-
-def _cross_pairs(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): pairs within a bucket that are in different classes, at least one outside the bucket's largest."""
-    labelled = stored(
-        buckets.join(classes, F.col("rep") == F.col("node"), "left").select(
-            "band", "rep", F.coalesce("component", "rep").alias("class")
-        ),
-        "labelled",
-    )
-    sizes = labelled.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"))
-    main = stored(
-        sizes.groupBy("band")
-        .agg(F.max(F.struct("n", "class")).alias("m"), F.count(F.lit(1)).alias("classes"))
-        .filter(F.col("classes") > 1)
-        .select("band", F.col("m.class").alias("main")),
-        "main",
-    )
-    members = stored(labelled.join(main, "band"), "members")
-    outside = members.filter(F.col("class") != F.col("main")).alias("o")
-    both_outside = F.col("m.class") != F.col("m.main")
-    differ = (F.col("o.band") == F.col("m.band")) & (F.col("o.class") != F.col("m.class"))
-    once = ~both_outside | (F.col("o.rep") < F.col("m.rep"))
-    pairs = outside.join(members.alias("m"), differ & once)
-    return pairs.select(F.least("o.rep", "m.rep").alias("a"), F.greatest("o.rep", "m.rep").alias("b")).distinct()
+def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The document that names its class, of each class, with all columns; documents without an id stay."""
+    classes = near_duplicates(docs, threshold)
+    stays = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) | F.col("doc_id").isNull())
+    ids = stays.select(F.col("doc_id").alias("_stays")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, text_or_empty
@@ -163,16 +163,8 @@ def learned(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> A
     return AttentionModel().fit(bags, np.array([r.y for r in rows]))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, *keep: Column | str) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document, from its whole text.
-
-    score: 0 to 1, higher the likelier the label is 1; predicted: 1 from 0.3 on.
-    Only the text is scored. A null or empty text is one empty passage. A null
-    doc_id is scored and not held out. Repeated rows are scored alike, no
-    documents give no rows, without labels every score is that of an untrained
-    model, and other columns are ignored. ``keep`` names columns to return
-    besides, from the same rows.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, per_class: int, *columns: str) -> DataFrame:
+    """(_row, _score): the named columns of each document, and its score."""
     model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, per_class))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,13 +173,32 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
                 model.value.scores(*passages(data, offsets)) for _, _, data, offsets in text_slices(batch["_text"])
             ]
             values = np.concatenate(found) if found else np.zeros(0)
-            kept = [batch[c] for c in batch.schema.names if c != "_text"]
-            names = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(values)], [*names, "_score"])
-
-    rows = docs.select(F.struct("doc_id", *keep).alias("_row"), text_or_empty().alias("_text"))
-    kind = rows.select("_row").schema["_row"].dataType.simpleString()
-    scored = rows.mapInArrow(score, f"_row {kind}, _score double")
-    return scored.select("_row.*", F.coalesce(held_out(F.col("_row.doc_id")), F.lit(False)).alias("held_out"), F.col("_score").alias("score")).withColumn(
-        "predicted", (F.col("score") >= THRESHOLD).cast("int")
+            yield pa.RecordBatch.from_arrays([batch["_row"], pa.array(values)], ["_row", "_score"])
+
+    rows = docs.select(F.struct(*columns).alias("_row"), text_or_empty().alias("_text"))
+    kind = rows.schema["_row"].dataType.simpleString()
+    return rows.mapInArrow(score, f"_row {kind}, _score double")
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document, from its whole text.
+
+    score: 0 to 1, higher the likelier the label is 1; predicted: 1 from 0.3 on.
+    Only the text is scored. A null or empty text is one empty passage. A null
+    doc_id is scored and not held out. Repeated rows are scored alike, no
+    documents give no rows, without labels every score is that of an untrained
+    model, and other columns are ignored.
+    """
+    doc_id, score = F.col("_row.doc_id"), F.col("_score")
+    return _scored(docs, labels, per_class, "doc_id").select(
+        doc_id.alias("doc_id"),
+        F.coalesce(held_out(doc_id), F.lit(False)).alias("held_out"),
+        score.alias("score"),
+        (score >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """The documents that are predicted to have label 1, with all their columns."""
+    scored = _scored(docs, labels, per_class, *docs.columns)
+    return scored.filter(F.col("_score") >= THRESHOLD).select("_row.*")

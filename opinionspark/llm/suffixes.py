@@ -346,8 +346,8 @@ def _ident(digest: Column) -> Column:
     return F.conv(F.substring(F.hex(digest), 1, 15), 16, 10).cast("long")
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """(id, digest, text, copy, found): each text with the spans that strings of earlier documents cover.
+def dedup_substrings(docs: DataFrame, *columns: str) -> DataFrame:
+    """(id, digest, text, row, copy, found): each text, with ``columns`` in row, and the spans that strings of earlier documents cover.
 
     A text is its UTF-8 bytes; a null text is empty. Every byte goes that lies
     in a 50-byte string which also starts in a document with a smaller doc_id.
@@ -367,6 +367,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         F.coalesce("doc_id", F.lit(_LAST)).alias("id"),
         F.unhex(F.md5(text.cast("binary"))).alias("digest"),
         text.alias("text"),
+        F.struct("doc_id", *columns).alias("row"),
     )
     ids = stored(rows.select("id", "digest"), "ids")
     owners = stored(ids.groupBy("digest").agg(F.min("id").alias("rep")), "owners")
@@ -379,7 +380,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         ),
         "anchors",
     )
-    texts = rows.join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"])
+    texts = rows.select("id", "digest", "text").join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"])
     regions = region_table(texts, buckets)
     covered = stored(regions.groupBy("bucket").applyInPandas(_covered, "id long, spans binary"), "covered")
     spans = covered.groupBy("id").agg(F.collect_list("spans").alias("found"))
@@ -392,29 +393,43 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     return rows.join(marks, ["id", "digest"])
 
 
-def _applied(rows: DataFrame, result, schema: str) -> DataFrame:
-    """``result(id, bytes, spans, kept)`` of each row (id, text, found, copy) as a row of ``schema``."""
+def substring_digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    types = [*[pa.int64()] * 4, pa.string()]
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            columns = [batch[c] for c in ("id", "text", "found", "copy")]
-            for id_, text, found, copy in zip(*columns):
+            for id_, text, found, copy in zip(*(batch[c] for c in ("id", "text", "found", "copy"))):
                 raw = text.as_py().encode()
-                out.append(result(id_.as_py(), raw, *_kept(raw, found.as_py(), copy.as_py())))
-            names, kinds = zip(*(c.split() for c in schema.split(", ")))
-            types = [{"long": pa.int64(), "string": pa.string()}[k] for k in kinds]
-            yield _batch(out, list(names), types)
+                spans, kept = _kept(raw, found.as_py(), copy.as_py())
+                doc_id = None if id_.as_py() == _LAST else id_.as_py()
+                out.append((doc_id, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+            yield _batch(out, names, types)
 
-    return rows.select("id", "text", "found", "copy").mapInArrow(apply, schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return dedup_substrings(docs).select("id", "text", "found", "copy").mapInArrow(digest, schema)
 
 
-def substring_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The documents with what is kept of their texts, and n_chars, if they have it, counted anew.
 
-    def digest(id_: int, raw: bytes, spans: list[tuple[int, int]], kept: bytes) -> tuple:
-        doc_id = None if id_ == _LAST else id_
-        return doc_id, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()
+    A character of which only some bytes are kept goes whole.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return _applied(dedup_substrings(docs), digest, schema)
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                _kept(text.as_py().encode(), found.as_py(), copy.as_py())[1].decode(errors="ignore")
+                for text, found, copy in zip(*(batch[c] for c in ("text", "found", "copy")))
+            ]
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, pa.string())], ["row", "kept"])
+
+    rows = dedup_substrings(docs, *others).select("row", "text", "found", "copy")
+    kept = rows.mapInArrow(keep, f"row {rows.schema['row'].dataType.simpleString()}, kept string")
+    of = {c: F.col(f"row.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("kept")}
+    if "n_chars" in of:
+        of["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[of[c].alias(c) for c in docs.columns])

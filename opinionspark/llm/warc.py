@@ -119,7 +119,7 @@ class ArchiveWriter:
         self._files, self._folder = FileSystem.from_uri(folder)
         self._raw, self._most, self._out = dictionary, most, None
         known = _dictionary(dictionary)
-        if known:
+        if known is not None:
             known.precompute_compress(level=3)
         self._compressor = zstandard.ZstdCompressor(level=3, dict_data=known)
         self.done: list[tuple[str, int, int]] = []
@@ -129,8 +129,8 @@ class ArchiveWriter:
             task = TaskContext.get()
             name = f"pages-{task.partitionId() if task else 0:06d}-{uuid.uuid4().hex}.warc.zst"
             self._path, self._records = f"{self._folder}/{name}", 0
-            self._out = self._files.open_output_stream(self._path)
-            if _dictionary(self._raw):
+            self._out = self._files.open_output_stream(self._path, compression=None)
+            if _dictionary(self._raw) is not None:
                 self._out.write(struct.pack("<II", DICTIONARY_FRAME, len(self._raw)) + self._raw)
         self._out.write(self._compressor.compress(record))
         self._records += 1
@@ -215,7 +215,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path in batch["path"].to_pylist():
                 rows = []
-                with files.open_input_stream(path) as stream:
+                with files.open_input_stream(path, compression=None) as stream:
                     for fields, block in archived(stream):
                         head, _, payload = block.partition(b"\r\n\r\n")
                         length = int(head.rpartition(b"Content-Length: ")[2])

@@ -32,7 +32,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op2_minhash_dedup": lambda spark, d: minhash.near_duplicates(table(spark, d, "documents")),
     "op4_exact_top_k": topk.TOP_K_SQL,
     "op7_warc": warc.PAGES_SQL,
     "op1_chat_formatting": chat.DIGESTS_SQL,

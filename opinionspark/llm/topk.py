@@ -94,8 +94,11 @@ def _matrix(vectors: list, width: int) -> np.ndarray:
 
 
 def _exact_dot(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    q = [int(x) for x in query]
-    return np.array([float(0)] + [sum(int(a) * b for a, b in zip(v, q)) for v in vectors], dtype=object)[1:]
+    """Inner products of integers of any size, cut to the range of a long."""
+    q, top = [int(x) for x in query], 2**63 - 1
+    out = np.empty(len(vectors), dtype=object)
+    out[:] = [max(-top - 1, min(top, sum(int(a) * b for a, b in zip(v, q)))) for v in vectors]
+    return out
 
 
 def search_shard(shard: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -105,20 +108,19 @@ def search_shard(shard: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataF
     width = max(shard["v"].map(len).max(), queries["v"].map(len).max(), 1)
     tree = Tree(shard["vec_id"].to_numpy(np.int64), _matrix(shard["v"].tolist(), width))
     asked = _matrix(queries["v"].tolist(), width)
-    exact = np.abs(tree.vectors).max() * np.abs(asked).max() * width < 2**53
-    bounds = tree.bounds(asked)
+    with np.errstate(over="ignore", invalid="ignore"):
+        exact = np.abs(tree.vectors).max() * np.abs(asked).max() * width < 2**53
+        bounds = tree.bounds(asked)
     dot = np.matmul
-    if not exact:  # beyond a double's integers: Python's, and bounds with room for rounding
-        dot, bounds = _exact_dot, bounds + np.abs(asked) @ np.maximum(np.abs(tree.low), np.abs(tree.high)).T * 1e-9 + 1
+    if not exact:  # beyond a double's integers: every leaf is visited and Python's integers count
+        dot, bounds = _exact_dot, np.full(bounds.shape, np.inf)
     rows = []
-    for query_id, query, own, score, vec_id in zip(
+    for query_id, query, own, score, worst in zip(
         queries["query_id"].tolist(), asked, bounds.tolist(), queries["score"].tolist(), queries["worst"].tolist()
     ):
-        known = (score, -int(vec_id)) if score == score and score is not None else (-np.inf, 0)
-        rows += [(query_id, -i, s) for s, i in tree.search(query_id, query, own, k, known, dot)]
-    top = 2**63 - 1
-    out = pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
-    return out.assign(score=[max(-top - 1, min(top, int(s))) for s in out["score"]])
+        known = (score, -int(worst)) if exact and not pd.isna(score) else (-np.inf, 0)
+        rows += [(query_id, -i, int(s)) for s, i in tree.search(query_id, query, own, k, known, dot)]
+    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"], dtype="int64")
 
 
 def whole(vector: Column) -> Column:

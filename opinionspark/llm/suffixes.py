@@ -196,39 +196,69 @@ def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-def _shared(group: pd.DataFrame) -> pd.DataFrame:
-    """(ident, anchors, often): the anchors that several texts have, per text."""
-    ident = np.concatenate(
-        [np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)) for i, c in zip(group["idents"], group["counts"])]
+def _by_slot(ids: np.ndarray, columns: dict[str, np.ndarray], slots: int) -> pd.DataFrame:
+    """(slot, ids, counts, and the columns): values of ids, packed into a row for each slot that ids are dealt to."""
+    slot = (mixed(ids.view(np.uint64)) % _U(slots)).astype(np.int64)
+    order = np.lexsort((ids, slot))
+    ids, slot, columns = ids[order], slot[order], {k: c[order] for k, c in columns.items()}
+    rows = []
+    for a, b in _runs(slot):
+        own = ids[a:b]
+        edge = np.array([x for x, _ in _runs(own)])
+        counts = np.diff(np.append(edge, len(own))).astype(np.uint32)
+        rows.append((slot[a], own[edge].tobytes(), counts.tobytes(), *[c[a:b].tobytes() for c in columns.values()]))
+    return pd.DataFrame(rows, columns=["slot", "ids", "counts", *columns])
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """[from, to) of the runs of equal values."""
+    if not len(values):
+        return []
+    edge = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))).tolist()
+    return list(zip(edge, [*edge[1:], len(values)]))
+
+
+def _unpacked(group: pd.DataFrame, ids: str = "ids") -> np.ndarray:
+    return np.concatenate(
+        [np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)) for i, c in zip(group[ids], group["counts"])]
     )
+
+
+def _gathered(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(id, and the columns): the values of each id from all packed rows of its slot."""
+
+    def gather(group: pd.DataFrame) -> pd.DataFrame:
+        ids = _unpacked(group)
+        order = np.argsort(ids, kind="stable")
+        values = {c: np.frombuffer(b"".join(group[c]), kind)[order] for c, kind in columns.items()}
+        runs = _runs(ids[order])
+        out = {"id": ids[order][[a for a, _ in runs]]} | {c: [v[a:b].tobytes() for a, b in runs] for c, v in values.items()}
+        return pd.DataFrame(out)
+
+    schema = ", ".join(["id long", *[f"{c} binary" for c in columns]])
+    return rows.groupBy("slot").applyInPandas(gather, schema)
+
+
+def _shared(group: pd.DataFrame, most: int, slots: int) -> pd.DataFrame:
+    """The anchors that several texts have and whether each is frequent, for each text, packed by slot."""
+    ident = _unpacked(group, "idents")
     anchors = np.frombuffer(b"".join(group["anchors"]), np.uint64)
     order = np.argsort(anchors, kind="stable")
     anchors, ident = anchors[order], ident[order]
-    edge = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
+    edge = np.array([a for a, _ in _runs(anchors)])
     times = np.diff(np.append(edge, len(anchors)))
     several = np.minimum.reduceat(ident, edge) != np.maximum.reduceat(ident, edge)
     keep = np.repeat(several, times)
-    often = np.repeat(times > OFTEN, times)[keep]
-    anchors, ident = anchors[keep], ident[keep]
-    order = np.argsort(ident, kind="stable")
-    anchors, ident, often = anchors[order], ident[order], often[order]
-    edge = np.flatnonzero(np.concatenate(([True], ident[1:] != ident[:-1]))) if len(ident) else np.zeros(0, int)
-    ends = np.append(edge[1:], len(ident))
-    return pd.DataFrame(
-        {
-            "ident": ident[edge],
-            "anchors": [anchors[a:b].tobytes() for a, b in zip(edge, ends)],
-            "often": [often[a:b].tobytes() for a, b in zip(edge, ends)],
-        }
-    )
+    often = np.repeat(times > most, times)
+    return _by_slot(ident[keep], {"anchors": anchors[keep], "often": often[keep]}, slots)
 
 
 def region_table(texts: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, ids, places, sizes, anchors, bytes): the regions of texts (id, text, anchors, often), packed."""
+    """(bucket, ids, idents, places, sizes, anchors, bytes): the regions of texts (id, ident, text, anchors, often), packed."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["id"].to_pylist()
+            ids = list(zip(batch["id"].to_pylist(), batch["ident"].to_pylist()))
             shared, often = batch["anchors"].to_pylist(), batch["often"].to_pylist()
             parts = []
             for first, end, data, offsets in text_slices(batch["text"], 1 << 19):
@@ -236,9 +266,9 @@ def region_table(texts: DataFrame, buckets: int) -> DataFrame:
                 edges = np.searchsorted(row, np.arange(end - first + 1))
                 for k in range(end - first):
                     own = slice(edges[k], edges[k + 1])
-                    wanted = np.frombuffer(b"".join(shared[first + k]), np.uint64)
+                    wanted = np.frombuffer(shared[first + k], np.uint64)
                     order = np.argsort(wanted)
-                    frequent = np.frombuffer(b"".join(often[first + k]), bool)[order]
+                    frequent = np.frombuffer(often[first + k], bool)[order]
                     wanted = wanted[order]
                     if not len(wanted):
                         continue
@@ -255,28 +285,30 @@ def region_table(texts: DataFrame, buckets: int) -> DataFrame:
                         parts.append((ids[first + k], text, own_hash, starts, np.ones(len(starts), np.int64)))
             yield from _packed_regions(parts, buckets)
 
-    schema = "bucket int, ids binary, places binary, sizes binary, anchors binary, bytes binary"
-    return texts.select("id", "text", "anchors", "often").mapInArrow(cut, schema)
+    schema = "bucket int, ids binary, idents binary, places binary, sizes binary, anchors binary, bytes binary"
+    return texts.select("id", "ident", "text", "anchors", "often").mapInArrow(cut, schema)
 
 
 def _packed_regions(parts: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
-    names = ["bucket", "ids", "places", "sizes", "anchors", "bytes"]
+    names = ["bucket", "ids", "idents", "places", "sizes", "anchors", "bytes"]
     if not parts:
         return
     owner = np.repeat(np.arange(len(parts)), [len(p[2]) for p in parts])
     anchor, place, count = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
-    ids = np.array([p[0] for p in parts], dtype=np.int64)
+    ids, idents = np.array([p[0] for p in parts], dtype=np.int64).T
     rows = []
     for b, at in _deal((anchor >> _U(32)) % _U(buckets), buckets):
         size = count[at] + LENGTH - 1
         text = b"".join([parts[o][1][s : s + n].tobytes() for o, s, n in zip(owner[at].tolist(), place[at].tolist(), size.tolist())])
-        rows.append((b, ids[owner[at]].tobytes(), place[at].tobytes(), size.tobytes(), anchor[at].tobytes(), text))
-    yield _batch(rows, names, [pa.int32(), *[pa.binary()] * 5])
+        numbers = (ids[owner[at]], idents[owner[at]], place[at], size, anchor[at])
+        rows.append((b, *[x.tobytes() for x in numbers], text))
+    yield _batch(rows, names, [pa.int32(), *[pa.binary()] * 6])
 
 
-def _covered(group: pd.DataFrame) -> pd.DataFrame:
-    """(id, spans): the bytes of each document that strings of earlier documents cover, from one bucket's regions."""
-    ids, place, size = (np.frombuffer(b"".join(group[c]), np.int64) for c in ("ids", "places", "sizes"))
+def _covered(group: pd.DataFrame, slots: int) -> pd.DataFrame:
+    """The bytes of each document that strings of earlier documents cover, from one bucket's regions, packed by slot."""
+    columns = ("ids", "idents", "places", "sizes")
+    ids, ident, place, size = (np.frombuffer(b"".join(group[c]), np.int64) for c in columns)
     anchor = np.frombuffer(b"".join(group["anchors"]), np.uint64)
     raw = b"".join(group["bytes"])
     begin = np.concatenate(([0], np.cumsum(size)[:-1]))
@@ -293,17 +325,12 @@ def _covered(group: pd.DataFrame) -> pd.DataFrame:
             end += 1
         own = order[start:end]
         start = end
-        _cover_chunk(raw, ids[own], place[own], size[own], begin[own], (out_id, out_from, out_to))
-    if not out_id:
-        return pd.DataFrame({"id": np.zeros(0, np.int64), "spans": []})
-    doc, low, high = np.concatenate(out_id), np.concatenate(out_from), np.concatenate(out_to)
-    order = np.argsort(doc, kind="stable")
-    doc, spans = doc[order], np.stack((low, high), axis=1)[order]
-    edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-    return pd.DataFrame({"id": doc[edge], "spans": [s.tobytes() for s in np.split(spans, edge[1:])]})
+        _cover_chunk(raw, ids[own], ident[own], place[own], size[own], begin[own], (out_id, out_from, out_to))
+    spans = np.stack((np.concatenate(out_from), np.concatenate(out_to)), axis=1)
+    return _by_slot(np.concatenate(out_id), {"spans": spans}, slots)
 
 
-def _cover_chunk(raw, ids, place, size, begin, out) -> None:
+def _cover_chunk(raw, ids, ident, place, size, begin, out) -> None:
     known: dict[bytes, int] = {}
     which = np.empty(len(ids), np.int64)
     for k, (b, n) in enumerate(zip(begin.tolist(), size.tolist())):
@@ -312,7 +339,7 @@ def _cover_chunk(raw, ids, place, size, begin, out) -> None:
     np.minimum.at(owners, which, ids)
     first = first_owners(list(known), owners)
     later = ids > owners[which]
-    for column, values in zip(out, (ids[later], place[later], place[later] + size[later])):
+    for column, values in zip(out, (ident[later], place[later], place[later] + size[later])):
         column.append(values)
     # The region's first owner: only strings that a still earlier document has.
     own = np.flatnonzero(~later)
@@ -321,18 +348,18 @@ def _cover_chunk(raw, ids, place, size, begin, out) -> None:
         hit = np.flatnonzero(first[which[k]] < owners[which[k]])
         edge = np.flatnonzero(np.concatenate(([True], np.diff(hit) > 1)))
         low, high = hit[edge], hit[np.append(edge[1:], len(hit)) - 1] + LENGTH
-        out[0].append(np.full(len(low), ids[k]))
+        out[0].append(np.full(len(low), ident[k]))
         out[1].append(place[k] + low)
         out[2].append(place[k] + high)
 
 
-def _kept(text: bytes, spans: list[bytes] | None, copy: bool) -> tuple[list[tuple[int, int]], bytes]:
+def _kept(text: bytes, spans: bytes | None, copy: bool) -> tuple[list[tuple[int, int]], bytes]:
     """The maximal removed runs of a text and what is left of it."""
     if copy:
         return ([(0, len(text))], b"") if len(text) >= LENGTH else ([], text)
     if not spans:
         return [], text
-    all_ = np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)
+    all_ = np.frombuffer(spans, np.int64).reshape(-1, 2)
     all_ = all_[np.argsort(all_[:, 0], kind="stable")]
     reach = np.maximum.accumulate(all_[:, 1])
     new = np.concatenate(([True], all_[1:, 0] > reach[:-1]))
@@ -346,7 +373,7 @@ def _ident(digest: Column) -> Column:
     return F.conv(F.substring(F.hex(digest), 1, 15), 16, 10).cast("long")
 
 
-def dedup_substrings(docs: DataFrame, *columns: str) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *columns: str, often: int = OFTEN) -> DataFrame:
     """(id, digest, text, row, copy, found): each text, with ``columns`` in row, and the spans that strings of earlier documents cover.
 
     A text is its UTF-8 bytes; a null text is empty. Every byte goes that lies
@@ -358,7 +385,7 @@ def dedup_substrings(docs: DataFrame, *columns: str) -> DataFrame:
     rows, and other columns are ignored.
 
     Of equal texts only that with the smallest id is searched: the others go
-    whole.
+    whole. Strings of anchors that occur more than ``often`` times are dealt one by one.
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -370,30 +397,31 @@ def dedup_substrings(docs: DataFrame, *columns: str) -> DataFrame:
         F.struct("doc_id", *columns).alias("row"),
     )
     ids = stored(rows.select("id", "digest"), "ids")
-    owners = stored(ids.groupBy("digest").agg(F.min("id").alias("rep")), "owners")
-    packed = anchor_table(rows.select(_ident(F.col("digest")).alias("ident"), "text"), buckets)
-    shared = packed.groupBy("bucket").applyInPandas(_shared, "ident long, anchors binary, often binary")
-    lists = shared.groupBy("ident").agg(F.collect_list("anchors").alias("anchors"), F.collect_list("often").alias("often"))
+    ident = _ident(F.col("digest"))
+    owners = stored(ids.groupBy("digest").agg(F.min("id").alias("rep")).withColumn("ident", ident), "owners")
+    packed = anchor_table(rows.select(ident.alias("ident"), "text"), buckets)
+    slot = "slot long, ids binary, counts binary"
+    shared = packed.groupBy("bucket").applyInPandas(
+        lambda g: _shared(g, often, buckets), f"{slot}, anchors binary, often binary"
+    )
+    lists = _gathered(shared, {"anchors": "u8", "often": "?"}).withColumnRenamed("id", "ident")
     wanted = stored(
-        lists.join(owners.withColumn("ident", _ident(F.col("digest"))), "ident").select(
-            F.col("rep").alias("id"), "digest", "anchors", "often"
-        ),
-        "anchors",
+        lists.join(owners, "ident").select(F.col("rep").alias("id"), "digest", "ident", "anchors", "often"), "anchors"
     )
     texts = rows.select("id", "digest", "text").join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"])
     regions = region_table(texts, buckets)
-    covered = stored(regions.groupBy("bucket").applyInPandas(_covered, "id long, spans binary"), "covered")
-    spans = covered.groupBy("id").agg(F.collect_list("spans").alias("found"))
+    covered = regions.groupBy("bucket").applyInPandas(lambda g: _covered(g, buckets), f"{slot}, spans binary")
+    spans = stored(_gathered(covered, {"spans": "i8, i8"}).select(F.col("id").alias("ident"), F.col("spans").alias("found")), "spans")
     marks = (
         ids.distinct()
         .join(owners, "digest")
-        .join(spans, "id", "left")
+        .join(spans, "ident", "left")
         .select("id", "digest", (F.col("id") > F.col("rep")).alias("copy"), "found")
     )
     return rows.join(marks, ["id", "digest"])
 
 
-def substring_digests(docs: DataFrame) -> DataFrame:
+def substring_digests(docs: DataFrame, often: int = OFTEN) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     types = [*[pa.int64()] * 4, pa.string()]
@@ -409,7 +437,7 @@ def substring_digests(docs: DataFrame) -> DataFrame:
             yield _batch(out, names, types)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return dedup_substrings(docs).select("id", "text", "found", "copy").mapInArrow(digest, schema)
+    return dedup_substrings(docs, often=often).select("id", "text", "found", "copy").mapInArrow(digest, schema)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

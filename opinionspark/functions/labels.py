@@ -45,7 +45,9 @@ def parse_polarity(reply: Column) -> Column:
 
 
 def parse_attributes(reply: Column, vocab: Column) -> Column:
-    parsed = F.from_json(F.trim(reply), "array<string>")
+    # Within brackets, text before or after the array makes the reply invalid.
+    whole = F.from_json(F.concat(F.lit("["), F.trim(reply), F.lit("]")), "array<array<string>>")
+    parsed = F.when(F.size(whole) == 1, F.get(whole, F.lit(0)))
     kept = F.filter(parsed, lambda a: F.array_contains(vocab, a))
     return F.coalesce(kept, F.array(F.lit(NEUTRAL_ATTRIBUTE)))
 

@@ -136,12 +136,26 @@ def entities(text: str | Column) -> Column:
     return F.array_distinct(F.concat(F.coalesce(tags, none), F.coalesce(mentions, none)))
 
 
+def _chinese_lexicon_words(text: Column) -> Column:
+    """The Chinese lexicon words of a text where they occur, the longest first and none inside another.
+
+    Chinese is written without spaces, so tokens of the text can't be compared.
+    """
+    words = sorted((w for w in (*POSITIVE_WORDS, *NEGATIVE_WORDS) if not w.isascii()), key=lambda w: (-len(w), w))
+    found = F.regexp_extract_all(_without_markup(text), F.lit("|".join(words)), F.lit(0))
+    return F.when(text.rlike(r"[\x{4e00}-\x{9fff}]"), found).otherwise(F.array().cast("array<string>"))
+
+
 def lexicon_sentiment(text: str | Column) -> Column:
     """Lexicon score as ``struct<label, score, positive, negative>``."""
 
-    def score(tokens: Column) -> Column:
-        pos = F.size(F.filter(tokens, lambda t: t.isin(*POSITIVE_WORDS)))
-        neg = F.size(F.filter(tokens, lambda t: t.isin(*NEGATIVE_WORDS)))
+    def count(words: Column, chinese: Column, lexicon: tuple[str, ...]) -> Column:
+        latin = F.size(F.filter(words, lambda t: t.isin(*[w for w in lexicon if w.isascii()])))
+        return latin + F.size(F.filter(chinese, lambda t: t.isin(*[w for w in lexicon if not w.isascii()])))
+
+    def score(found: Column) -> Column:
+        pos = count(found["tokens"], found["chinese"], POSITIVE_WORDS)
+        neg = count(found["tokens"], found["chinese"], NEGATIVE_WORDS)
         label = F.when(pos > neg, "positive").when(pos < neg, "negative").otherwise("neutral")
         return F.struct(
             label.alias("label"),
@@ -150,7 +164,8 @@ def lexicon_sentiment(text: str | Column) -> Column:
             neg.alias("negative"),
         )
 
-    return let(tokenize(text), score)
+    source = _column(text)
+    return let(F.struct(tokenize(text).alias("tokens"), _chinese_lexicon_words(source).alias("chinese")), score)
 
 
 def repair_mojibake(text: str | Column) -> Column:

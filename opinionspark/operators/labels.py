@@ -23,22 +23,27 @@ def label_column(task: str, reply: Column, vocab: Column | None = None) -> Colum
 
 
 def apply_labels(posts: DataFrame, replies: DataFrame, vocabularies: dict[str, Column]) -> DataFrame:
-    """Fill missing labels of posts from a reply table (post_id, task, response).
+    """Fill missing labels of posts from a reply table (post_id, task, response[, reply_no]).
 
-    Replies are pivoted to one row per post (one reply per task), so a single
-    join serves all tasks. A label that exists is kept.
+    Replies are pivoted to one row per post, so a single join serves all
+    tasks. Of several replies to a task the one with the highest ``reply_no``
+    counts, or without that column the greatest text. A label that exists is
+    kept, and one without a reply stays null, so the post can be resumed.
     """
+    latest = F.col("reply_no" if "reply_no" in replies.columns else "response")
     tasks = ["sentiment_polarity", *vocabularies]
     wide = replies.groupBy("post_id").agg(
-        *[F.max(F.when(F.col("task") == t, F.col("response"))).alias(f"_{t}") for t in tasks]
+        *[F.max_by("response", F.when(F.col("task") == t, latest)).alias(f"_{t}") for t in tasks]
     )
     # A vocabulary may be a scalar subquery, so it becomes a column before it
     # is used inside lambdas.
     joined = posts.join(wide, "post_id", "left").withColumns({f"_vocab_{t}": v for t, v in vocabularies.items()})
     filled = {
-        t: F.coalesce(F.col(t), label_column(t, F.coalesce(f"_{t}", F.lit("")), F.col(f"_vocab_{t}")))
+        t: F.coalesce(F.col(t), F.when(F.col(f"_{t}").isNotNull(), label_column(t, F.col(f"_{t}"), F.col(f"_vocab_{t}"))))
         for t in vocabularies
     }
-    reply = F.coalesce("_sentiment_polarity", F.lit(""))
-    filled["sentiment_polarity"] = F.coalesce("sentiment_polarity", label_column("sentiment_polarity", reply))
+    level = label_column("sentiment_polarity", F.col("_sentiment_polarity"))
+    filled["sentiment_polarity"] = F.coalesce(
+        "sentiment_polarity", F.when(F.col("_sentiment_polarity").isNotNull(), level)
+    )
     return joined.withColumns(filled).drop(*[f"_{t}" for t in tasks], *[f"_vocab_{t}" for t in vocabularies])

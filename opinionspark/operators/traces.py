@@ -97,9 +97,10 @@ def _told(texts: DataFrame, summaries: DataFrame) -> DataFrame:
     )
     sizes = sized.agg(F.collect_set("_size")).scalar()
     wanted = texts.withColumn("_sizes", sizes).select("insight_id", "text", F.explode("_sizes").alias("_size"))
-    found = wanted.select("insight_id", "text", "_size", F.explode(_grams(F.col("text"), F.col("_size"))).alias("_gram"))
-    met = found.join(rarest, ["_size", "_gram"]).filter(F.contains("text", "summary"))
-    return met.select("insight_id", "summary")
+    # The substrings travel without the text; it is fetched for the few that are met.
+    found = wanted.select("insight_id", "_size", F.explode(_grams(F.col("text"), F.col("_size"))).alias("_gram"))
+    met = found.join(rarest, ["_size", "_gram"]).select("insight_id", "summary")
+    return met.join(texts, "insight_id").filter(F.contains("text", "summary")).select("insight_id", "summary").distinct()
 
 
 def insight_evidence(insights: DataFrame, executions: DataFrame) -> DataFrame:

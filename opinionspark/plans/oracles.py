@@ -180,8 +180,8 @@ _CTES = {
     "CASE WHEN s_suppkey % 7 = 0 THEN 0 ELSE s_suppkey % 3 END AS charts, "
     "CASE WHEN s_suppkey % 7 = 0 THEN 0 ELSE s_suppkey % 2 END AS data, s_suppkey % 7 = 0 AS error, "
     "s_suppkey % 5 <> 2 AS generates_chart FROM supplier",
-    "insights": "SELECT 'insight_' || item_id AS insight_id, lower(CASE item_id % 4 WHEN 0 THEN substr(text, 1, 12) || "
-    "' supplier#' || lpad(CAST(item_id % 90 AS VARCHAR), 9, '0') WHEN 1 THEN 'zq' ELSE text END) AS text FROM benchmark",
+    "insights": "SELECT 'insight_' || item_id AS insight_id, lower(CASE item_id % 4 WHEN 0 THEN text || "
+    "' supplier#' || lpad(CAST(item_id % 90 AS VARCHAR), 9, '0') ELSE text END) AS text FROM benchmark",
     "hits": "SELECT insight_id, id, status, category FROM insights, runs WHERE contains(text, tool_name) "
     "OR contains(text, lower(summary)) OR len(list_filter(string_split(tool_name, '_'), "
     "lambda p: length(p) > 2 AND contains(text, p))) > 0",
@@ -345,7 +345,7 @@ ORACLES: dict[str, str] = {
     ),
     "sentiment_bucket": q("posts_o", f"SELECT {_SENT} AS bucket, count(*) AS count FROM posts_o GROUP BY 1"),
     "time_key": q("posts_e", f"SELECT {HOUR('publish_time')} AS time, count(*) AS count FROM posts_e GROUP BY 1"),
-    "explode_topics": q("mentions first_topic", "SELECT post_id, parent_topic, sub_topic FROM first_topic"),
+    "explode_topics": q("mentions", "SELECT post_id, parent_topic, sub_topic FROM mentions"),
     "explode_attributes": q(
         "posts_o",
         """SELECT attribute, count(*) AS count FROM (SELECT attr1 AS attribute FROM posts_o WHERE has_attribute
@@ -368,7 +368,8 @@ ORACLES: dict[str, str] = {
         ELSE text END AS preview FROM documents""",
     "clean_text": f"""SELECT 'document' AS kind, doc_id AS id, md5({CLEAN('text')}) AS digest,
         CAST(length({CLEAN('text')}) AS INTEGER) AS size FROM documents UNION ALL SELECT 'page', page_id,
-        md5({CLEAN('html')}), CAST(length({CLEAN('html')}) AS INTEGER) FROM pages""",
+        md5({CLEAN('html')}), CAST(length({CLEAN('html')}) AS INTEGER) FROM pages UNION ALL SELECT 'turn',
+        conv_id * 100000 + turn, md5({CLEAN('text')}), CAST(length({CLEAN('text')}) AS INTEGER) FROM conversations""",
     "tokenize": f"""SELECT doc_id AS post_id, CAST(len(t) AS INTEGER) AS tokens, md5(coalesce(array_to_string(t, ' '), '')) AS digest
         FROM (SELECT doc_id, regexp_extract_all({CLEAN('text')}, '{_TOKENS}') AS t FROM documents)""",
     "content_words": q("posts_d words", "SELECT post_id, word, count(*) AS n FROM words GROUP BY 1, 2"),
@@ -889,10 +890,14 @@ ORACLES: dict[str, str] = {
     ),
     "entity_nodes": q("posts_d ents enttop", "SELECT * FROM enttop"),
     "entity_cooccurrence": q(
-        "posts_d ents enttop",
-        """SELECT a.entity AS source, b.entity AS target, count(*) AS weight FROM ents a JOIN ents b ON a.post_id = b.post_id
-        AND a.entity < b.entity WHERE a.entity IN (SELECT entity FROM enttop) AND b.entity IN (SELECT entity FROM enttop)
+        "posts_d",
+        """SELECT a.entity AS source, b.entity AS target, count(*) AS weight FROM ents_t a JOIN ents_t b ON a.post_id = b.post_id
+        AND a.entity < b.entity WHERE a.entity IN (SELECT entity FROM enttop_t) AND b.entity IN (SELECT entity FROM enttop_t)
         GROUP BY 1, 2""",
+        posts_t="SELECT post_id, publish_time, content || ' #' || lang || '# @' || source || ' #' || source || '#' AS content "
+        "FROM posts_d JOIN documents ON doc_id = post_id",
+        ents_t=_CTES["ents"].replace("posts_d", "posts_t"),
+        enttop_t=_CTES["enttop"].replace("ents", "ents_t"),
     ),
     "lexicon_distribution": q(
         "posts_d toks lex",
@@ -901,9 +906,9 @@ ORACLES: dict[str, str] = {
     ),
     "normalize_queries": """SELECT b.item_id, coalesce(s.queries, '') AS queries FROM benchmark b LEFT JOIN (
         SELECT item_id, string_agg(w, '|' ORDER BY p) AS queries FROM (SELECT *, row_number() OVER (PARTITION BY item_id
-        ORDER BY p) AS rn FROM (SELECT item_id, trim(substr(trim(w), 1, 2)) AS w, min(pos) AS p FROM (SELECT item_id,
+        ORDER BY p) AS rn FROM (SELECT item_id, trim(w) AS w, min(pos) AS p FROM (SELECT item_id,
         unnest(string_split(text, '.')) AS w, generate_subscripts(string_split(text, '.'), 1) AS pos FROM benchmark)
-        GROUP BY 1, 2 HAVING trim(substr(trim(w), 1, 2)) <> '')) WHERE rn <= 5 GROUP BY 1) s USING (item_id)""",
+        GROUP BY 1, 2 HAVING trim(w) <> '')) WHERE rn <= 5 GROUP BY 1) s USING (item_id)""",
     "flatten_documents": q("search docs", "SELECT row_id, pos, query, title, url, snippet, source FROM docs"),
     "dedup_documents": q(
         "search docs",
@@ -955,8 +960,8 @@ ORACLES: dict[str, str] = {
     "evidence_confidence": q(
         "runs insights hits",
         """SELECT insight_id, n AS evidence, CASE WHEN n >= 2 THEN 'high' WHEN n = 1 THEN 'medium' ELSE 'low' END AS confidence
-        FROM (SELECT i.insight_id, count(h.id) AS n FROM insights i LEFT JOIN (SELECT * FROM hits WHERE category = '') h
-        ON h.insight_id = i.insight_id GROUP BY 1)""",
+        FROM (SELECT i.insight_id, CASE WHEN count(h.id) > 0 THEN count(h.id) ELSE (SELECT least(2, count(*)) FROM runs
+        WHERE status = 'success') END AS n FROM insights i LEFT JOIN hits h ON h.insight_id = i.insight_id GROUP BY 1)""",
     ),
     "event_log_normalize": q("log", "SELECT run_id, seq, ts, event, stage, node, branch_id, status FROM log"),
     "current_location": q(
@@ -977,7 +982,10 @@ ORACLES: dict[str, str] = {
 
 # Written and read back, or run as a stream: the same results as above.
 ORACLES["write_results"] = ORACLES["geo_sentiment"]
-ORACLES["write_graph"] = ORACLES["belief_edges"]
+ORACLES["write_graph"] = q(
+    "posts_o signals edges nodes",
+    "SELECT * FROM edges UNION ALL SELECT signal, category, co_occurrence_weight, 'node' FROM nodes",
+)
 ORACLES["incremental_enrich"] = ORACLES["nlp_enrich"]
 ORACLES["write_enriched"] = q(
     "posts_e",
@@ -996,11 +1004,8 @@ ORACLES["stream_current_location"] = q(
     last="""SELECT run_id, branch_id, max({'seq': seq, 'event': event, 'stage': stage, 'node': node}) AS l FROM raw
     GROUP BY 1, 2""",
 )
-# A window is final once the newest event is an hour past its end.
-_CLOSED = "WHERE strptime(time, '%Y-%m-%d %H:%M') + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
-ORACLES["stream_sentiment_series"] = q("posts_e series", f"SELECT * FROM series {_CLOSED}")
+ORACLES["stream_sentiment_series"] = q("posts_e series", "SELECT * FROM series")
 ORACLES["stream_participants"] = q(
     "posts_e",
-    f"""SELECT * FROM (SELECT {HOUR('publish_time')} AS time, count(DISTINCT user_id) AS active_users FROM posts_e
-    GROUP BY 1) {_CLOSED}""",
+    f"SELECT {HOUR('publish_time')} AS time, count(DISTINCT user_id) AS active_users FROM posts_e GROUP BY 1",
 )

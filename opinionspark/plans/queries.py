@@ -24,7 +24,7 @@ from ..sources import tables as V
 from ..streaming.enrich import incremental_enrich as incremental_enrich_stream
 from ..streaming.enrich import post_stream
 from ..streaming.location import branch_state_stream, locate
-from ..streaming.series import participants_stream, sentiment_series_stream
+from ..streaming.series import ended, participants_stream, sentiment_series_stream
 from .checkpoints import shared_dir
 from .shapes import focus_filter, row_count
 
@@ -93,6 +93,16 @@ def _raw_lines(spark, d) -> DataFrame:
     )
 
 
+def read_posts(spark, d):
+    """Order posts written as JSON lines and read by the public reader."""
+    path = _scratch(spark)
+    _raw_lines(spark, d).write.text(path)
+    return P.read_posts(spark, path, "jsonl").select(
+        "post_id", "username", F.col("publish_time").cast("string").alias("publish_time"), "location", *_COUNTS,
+        "sentiment_polarity",
+    )
+
+
 def normalize_posts(spark, d):
     parsed = _raw_lines(spark, d).select(F.from_json("value", P.RAW_POST).alias("p")).select("p.*")
     return P.normalize_posts(parsed).select(
@@ -114,14 +124,19 @@ def remaining_posts(spark, d):
 
 
 def enhancement_rate(spark, d):
-    posts = V.posts_with_first_topic(spark, d, "sentiment_polarity", "sentiment_attribute", "publisher")
-    return P.enhancement_rate(posts)
+    """The rate of posts that were stored and read as enriched posts."""
+    path = _scratch(spark)
+    V.posts_with_first_topic(spark, d, "sentiment_polarity", "sentiment_attribute", "publisher").write.parquet(path)
+    return P.read_enriched(spark, path)[1]
 
 
 def read_vocab(spark, d):
-    return V.table(spark, d, "part").select(
-        F.col("p_brand").alias("parent_topic"), F.col("p_type").alias("sub_topic")
-    ).distinct()
+    """A taxonomy file of the parts' brands and types, read by the public reader."""
+    path = _scratch(spark)
+    pairs = V.table(spark, d, "part").select(F.col("p_brand").alias("parent_topic"), F.col("p_type").alias("sub_topic"))
+    parents = pairs.groupBy("parent_topic").agg(F.collect_set("sub_topic").alias("sub_topics"))
+    parents.agg(F.to_json(F.collect_list(F.struct("*")))).write.text(path)
+    return P.read_taxonomy(spark, path)
 
 
 def sentiment_bucket_counts(spark, d):
@@ -136,7 +151,10 @@ def time_keys(spark, d):
 
 
 def explode_topics(spark, d):
-    posts = V.posts_with_first_topic(spark, d, "sentiment_polarity")
+    """Posts with all their topics in one list, exploded again."""
+    places = F.sort_array(F.collect_list(F.struct("position", "parent_topic", "sub_topic")))
+    listed = F.transform("t", lambda x: F.struct(x["parent_topic"].alias("parent_topic"), x["sub_topic"].alias("sub_topic")))
+    posts = V.topic_mentions(spark, d).groupBy("post_id").agg(places.alias("t")).select("post_id", listed.alias("topics"))
     return topics.explode_topics(posts).select("post_id", "parent_topic", "sub_topic")
 
 
@@ -172,8 +190,11 @@ def clean_text(spark, d):
     pages = V.text_table(spark, d, "pages", "page_id").select(
         F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text")
     )
+    turns = V.table(spark, d, "conversations").select(
+        F.lit("turn").alias("kind"), (F.col("conv_id") * 100_000 + F.col("turn")).alias("id"), "text"
+    )
     shown = let(T.clean_text("text"), lambda c: F.struct(F.md5(c).alias("digest"), F.length(c).alias("size")))
-    return docs.unionByName(pages).select("kind", "id", shown.alias("s")).select("kind", "id", "s.digest", "s.size")
+    return docs.unionByName(pages).unionByName(turns).select("kind", "id", shown.alias("s")).select("kind", "id", "s.digest", "s.size")
 
 
 def tokenize(spark, d):
@@ -330,6 +351,17 @@ def _sample(strategy, size=10, **params):
     return run
 
 
+def sample_for_report(spark, d):
+    return profile.sample_for_report(V.order_posts(spark, d, "sentiment_polarity")).select("post_id", "sentiment_polarity")
+
+
+def entity_cooccurrence(spark, d):
+    """Entities of documents that carry their language and source as tags and mentions."""
+    posts = V.document_posts(spark, d)
+    tags = F.concat(F.lit(" #"), "location", F.lit("# @"), "username", F.lit(" #"), "username", F.lit("#"))
+    return keywords.entity_cooccurrence(posts.withColumn("content", F.concat("content", tags)))
+
+
 def nlp_enrich(spark, d):
     rows = keywords.nlp_enrich(V.document_posts(spark, d))
     return rows.select(
@@ -344,8 +376,9 @@ def nlp_enrich(spark, d):
 
 
 def normalize_queries(spark, d):
-    """Query lists made of the words of the benchmark passages."""
-    words = F.transform(F.split("text", r"\."), lambda w: F.concat(F.lit(" "), F.substring(F.trim(w), 1, 2)))
+    """Query lists made of the sentences of the benchmark passages, with spaces around and repeats."""
+    words = F.transform(F.split("text", r"\."), lambda w: F.concat(F.lit(" "), F.trim(w), F.lit("  ")))
+    words = F.concat(words, words)
     cleaned = documents.normalize_queries(words)
     return V.table(spark, d, "benchmark").select("item_id", F.concat_ws("|", cleaned).alias("queries"))
 
@@ -381,9 +414,8 @@ def insight_evidence(spark, d):
 
 
 def evidence_confidence(spark, d):
-    texts, runs = V.insights(spark, d), V.tool_executions(spark, d)
-    found = traces.insight_evidence(texts, runs.filter(F.col("category") == ""))
-    return traces.evidence_confidence(texts, found.filter("matched"))
+    texts = V.insights(spark, d)
+    return traces.evidence_confidence(texts, traces.insight_evidence(texts, V.tool_executions(spark, d)))
 
 
 def _rounds(spark, d):
@@ -446,8 +478,16 @@ def write_graph(spark, d):
     path = _scratch(spark)
     posts = V.order_posts(spark, d, "belief_signals", *_COUNTS)
     P.write_graph(graphs.belief_nodes(posts), graphs.belief_edges(posts), path)
-    schema = "source STRING, target STRING, weight DOUBLE, type STRING"
-    return spark.read.schema(schema).option("header", True).csv(f"{path}/edges")
+    edges = spark.read.schema("source STRING, target STRING, weight DOUBLE, type STRING")
+    nodes = spark.read.schema("signal STRING, category STRING, co_occurrence_weight DOUBLE")
+    stored = edges.option("header", True).csv(f"{path}/edges")
+    known = nodes.option("header", True).csv(f"{path}/nodes").select(
+        F.col("signal").alias("source"),
+        F.col("category").alias("target"),
+        F.col("co_occurrence_weight").alias("weight"),
+        F.lit("node").alias("type"),
+    )
+    return stored.unionByName(known)
 
 
 def _table_stream(spark, d, name):
@@ -488,12 +528,16 @@ def _finished(stream: DataFrame, spark) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def _all_event_posts(spark, d):
+    return ended(V.event_posts_of(_event_stream(spark, d)), _scratch(spark))
+
+
 def stream_sentiment_series(spark, d):
-    return _finished(sentiment_series_stream(V.event_posts_of(_event_stream(spark, d))), spark)
+    return _finished(sentiment_series_stream(_all_event_posts(spark, d)), spark)
 
 
 def stream_participants(spark, d):
-    return _finished(participants_stream(V.event_posts_of(_event_stream(spark, d))), spark)
+    return _finished(participants_stream(_all_event_posts(spark, d)), spark)
 
 
 def stream_current_location(spark, d):
@@ -515,7 +559,7 @@ _EVENT_COLUMNS = ("run_id", "seq", "event", "node", "branch_id", "status")
 
 QUERIES: dict[str, Query] = {
     # sources
-    "read_posts": normalize_posts,
+    "read_posts": read_posts,
     "read_enriched": enhancement_rate,
     "read_vocab": read_vocab,
     "resume_enrichment": resume_enrichment,
@@ -571,7 +615,7 @@ QUERIES: dict[str, Query] = {
     "sample_posts_random": _sample("random"),
     "sample_posts_influential": _sample("influential"),
     "sample_posts_diverse": _sample("diverse", 12),
-    "sample_for_report": _sample("random", 10),
+    "sample_for_report": sample_for_report,
     # windows and trends
     "focus_window": _orders("publish_time")(timeline.focus_window),
     "turning_points": _events(sentiment.turning_points),
@@ -657,7 +701,7 @@ QUERIES: dict[str, Query] = {
     "keyword_frequency": _docs(keywords.keyword_frequency),
     "keyword_time_matrix": _docs(keywords.keyword_time_matrix),
     "entity_nodes": _docs(keywords.entity_nodes),
-    "entity_cooccurrence": _docs(keywords.entity_cooccurrence),
+    "entity_cooccurrence": entity_cooccurrence,
     "lexicon_distribution": _docs(keywords.lexicon_distribution),
     # documents, traces, logs
     "normalize_queries": normalize_queries,

@@ -157,7 +157,7 @@ _TOOLS = (
          lambda posts, granularity="hour": {"series": sentiment.sentiment_bucket_trend(posts, granularity)}, True),
     Tool("sentiment_attribute_trend_chart", SENTIMENT,
          lambda posts, granularity="day", top_n=6: {
-             "series": sentiment.attribute_trend(posts, granularity, min(top_n, 10)),
+             "series": sentiment.attribute_trend(posts, granularity, top_n),
              "focus_window": timeline.focus_window(posts)}, True),
     Tool("sentiment_focus_window_chart", FOCUS,
          lambda posts, window_days=14: {

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.values import percent
-from .schema import ENRICHED_FIELDS, POST_KEY, RAW_POST
-
-TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
+from .schema import BELIEF, ENRICHED_FIELDS, FILE_POST, POST_KEY, RAW_POST, TOPIC, VARIED
 
 
 def normalize_posts(raw: DataFrame) -> DataFrame:
@@ -42,18 +41,86 @@ def normalize_posts(raw: DataFrame) -> DataFrame:
     )
 
 
+def _listed(text: Column) -> Column:
+    """The elements of a JSON list, objects as JSON text; a single value is a list of one; null stays null."""
+    value = F.trim(text)
+    return F.when(F.startswith(value, F.lit("[")), F.from_json(value, "array<string>")).when(
+        value != "", F.array(value)
+    ).when(text.isNotNull(), F.array().cast("array<string>"))
+
+
+def _text(item: Column, *names: str) -> Column:
+    """The first non-empty of some fields of a JSON object."""
+    return F.coalesce(*[F.nullif(F.get_json_object(item, f"$.{n}"), F.lit("")) for n in names])
+
+
+def _belief(item: Column) -> Column:
+    """A belief entry in one shape, whichever of its known spellings it has; a bare string is a category."""
+    subs = _listed(_text(item, "subcategories", "Subcategories"))
+    own = F.filter(F.array(_text(item, "subcategory", "Subcategory")), lambda x: x.isNotNull())
+    listed = F.concat(own, F.coalesce(subs, F.array().cast("array<string>")))
+    given = F.struct(
+        _text(item, "category", "Category").alias("category"), F.when(F.size(listed) > 0, listed).alias("subcategories")
+    )
+    bare = F.struct(item.alias("category"), F.lit(None).cast("array<string>").alias("subcategories"))
+    return F.when(F.startswith(item, F.lit("{")), given).otherwise(bare).cast(BELIEF)
+
+
+def _topic(item: Column) -> Column:
+    """A topic entry; a bare string is a parent topic."""
+    given = F.struct(
+        F.get_json_object(item, "$.parent_topic").alias("parent_topic"), F.get_json_object(item, "$.sub_topic").alias("sub_topic")
+    )
+    bare = F.struct(item.alias("parent_topic"), F.lit(None).cast("string").alias("sub_topic"))
+    return F.when(F.startswith(item, F.lit("{")), given).otherwise(bare).cast(TOPIC)
+
+
+def shaped(raw: DataFrame) -> DataFrame:
+    """Posts of a file, with lists where the file has a list, a single value or an object."""
+    made = {"belief_signals": _belief, "topics": _topic}
+    return raw.withColumns(
+        {c: F.transform(_listed(F.col(c)), made[c]) if c in made else _listed(F.col(c)) for c in VARIED if c in raw.columns}
+    )
+
+
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet posts; those without an id get their place in the files, taken in order of their names.
+
+    The place doesn't depend on how files are split into tasks.
+    """
+    rows = spark.read.parquet(path)
+    if "post_id" not in rows.columns:
+        rows = rows.withColumn("post_id", F.lit(None).cast("long"))
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = placed.groupBy("_file").agg(F.max("_row").alias("_last"))
+    before = F.sum(F.col("_last") + 1).over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_file", F.coalesce(before, F.lit(0)).alias("_start"))
+    made = F.coalesce("post_id", F.col("_start") + F.col("_row"))
+    return placed.join(starts, "_file").withColumn("post_id", made).drop("_file", "_row", "_start")
+
+
 def read_posts(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Posts from a JSON array file (or files), JSON lines, or Parquet.
+    """Posts from a JSON array file (``json``), JSON lines (``jsonl``), or Parquet.
 
-    JSON posts have no id. One is made from partition and row position, so
-    keep a stored table (``write_enriched``) when ids must stay the same.
+    A broken record is an error: no post is lost in silence. ``json_rejects``
+    lists the broken lines of JSON lines. Scalars where lists belong, and all
+    spellings of belief entries, are read alike.
+
+    JSON posts without an id get one from partition and row position, so keep
+    a stored table (``write_enriched``) when ids must stay the same. A JSON
+    array file is one task; JSON lines and Parquet are the forms for large data.
     """
     if fmt == "parquet":
-        return normalize_posts(spark.read.parquet(path))
-    reader = spark.read.schema(RAW_POST).option("multiLine", fmt == "json")
-    raw = reader.json(path)
-    # A JSON array file is one split, so the generated ids follow its order.
-    return normalize_posts(raw.withColumn("post_id", F.coalesce("post_id", F.monotonically_increasing_id())))
+        return normalize_posts(_numbered(spark, path))
+    raw = spark.read.schema(FILE_POST).option("multiLine", fmt == "json").option("mode", "FAILFAST").json(path)
+    return normalize_posts(shaped(raw.withColumn("post_id", F.coalesce("post_id", F.monotonically_increasing_id()))))
+
+
+def json_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(line): the lines of JSON lines that aren't JSON objects."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    bad = F.try_parse_json("value").isNull() | ~F.startswith(F.trim("value"), F.lit("{"))
+    return lines.filter(bad).select(F.col("value").alias("line"))
 
 
 def enhancement_rate(posts: DataFrame) -> DataFrame:
@@ -74,9 +141,9 @@ def read_enriched(spark: SparkSession, path: str, fmt: str = "parquet") -> tuple
 
 def read_taxonomy(spark: SparkSession, path: str, parent: str = "parent_topic", subs: str = "sub_topics",
                   sub: str = "sub_topic") -> DataFrame:
-    """A two-level vocabulary file as (parent, sub) rows."""
+    """A two-level vocabulary file, one JSON array, as (parent, sub) rows."""
     schema = f"{parent} STRING, {subs} ARRAY<STRING>"
-    nested = spark.read.schema(schema).option("multiLine", True).json(path)
+    nested = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
     return nested.select(parent, F.explode(subs).alias(sub))
 
 
@@ -128,9 +195,22 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").option("header", True).csv(f"{path}/edges")
 
 
+def _digest() -> Column:
+    """128 bits that stand for a post's key, nulls included, so that no text is a shuffle key."""
+    return F.md5(F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in POST_KEY])))
+
+
+def _same_key() -> Column:
+    same = F.lit(True)
+    for k in POST_KEY:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key.{k}"))
+    return same
+
+
 def _first_per_key(done: DataFrame, fields: list[str]) -> DataFrame:
-    return done.groupBy(*[F.col(k).alias(f"_{k}") for k in POST_KEY]).agg(
-        F.min_by(F.struct(*fields), F.col("post_id")).alias("_old")
+    first = F.min_by(F.struct(F.struct(*fields).alias("old"), F.struct(*POST_KEY).alias("key")), F.col("post_id"))
+    return done.groupBy(_digest().alias("_digest")).agg(first.alias("f")).select(
+        "_digest", F.col("f.old").alias("_old"), F.col("f.key").alias("_key")
     )
 
 
@@ -142,21 +222,16 @@ def resume_enrichment(posts: DataFrame, done: DataFrame) -> DataFrame:
     """
     fields = [c for c in done.columns if c in posts.columns and c not in POST_KEY and c != "post_id"]
     old = _first_per_key(done, fields)
-    same = F.lit(True)
-    for k in POST_KEY:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    joined = posts.join(old, same, "left")
+    joined = posts.withColumn("_own", _digest()).join(old, (F.col("_own") == F.col("_digest")) & _same_key(), "left")
     merged = [F.coalesce(F.col(f"_old.{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in posts.columns]
     return joined.select(*merged, F.col("_old").isNotNull().alias("resumed"))
 
 
 def remaining_posts(posts: DataFrame, done: DataFrame) -> DataFrame:
     """Posts an earlier run has not finished."""
-    keys = done.select(*[F.col(k).alias(f"_{k}") for k in POST_KEY])
-    same = F.lit(True)
-    for k in POST_KEY:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return posts.join(keys, same, "left_anti")
+    keys = done.select(_digest().alias("_digest"), F.struct(*POST_KEY).alias("_key"))
+    own = posts.withColumn("_own", _digest())
+    return own.join(keys, (F.col("_own") == F.col("_digest")) & _same_key(), "left_anti").drop("_own")
 
 
 def head_sample(posts: DataFrame, n: int = 20) -> DataFrame:

@@ -44,6 +44,11 @@ RAW_POST = T.StructType(
     ]
 )
 
+# Fields that files give as lists, single values or objects; they are read as
+# their JSON text and brought into one shape by ``shaped``.
+VARIED = ("image_urls", "sentiment_attribute", "topics", "belief_signals", "keywords", "entities")
+FILE_POST = T.StructType([T.StructField(f.name, T.StringType()) if f.name in VARIED else f for f in RAW_POST.fields])
+
 SEARCH_RESULT = T.StructType(
     [
         T.StructField("title", T.StringType()),
@@ -53,14 +58,6 @@ SEARCH_RESULT = T.StructType(
         T.StructField("source", T.StringType()),
     ]
 )
-SEARCH_ROW = T.StructType(
-    [
-        T.StructField("row_id", T.LongType()),
-        T.StructField("query", T.StringType()),
-        T.StructField("results", T.ArrayType(SEARCH_RESULT)),
-    ]
-)
-
 EVENT = T.StructType(
     [
         T.StructField("run_id", T.StringType()),

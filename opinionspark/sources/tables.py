@@ -207,12 +207,10 @@ def tool_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Insight texts: the benchmark passages, some naming a supplier."""
+    """Insight texts: the benchmark passages, a quarter of them naming a supplier, a quarter in capitals."""
     item = F.col("item_id")
     name = F.concat(F.lit(" supplier#"), F.lpad((item % 90).cast("string"), 9, "0"))
-    text = F.when(item % 4 == 0, F.concat(F.substring("text", 1, 12), name)).when(
-        item % 4 == 1, F.lit("zq")
-    ).otherwise(F.col("text"))
+    text = F.when(item % 4 == 0, F.concat("text", name)).when(item % 4 == 1, F.upper("text")).otherwise(F.col("text"))
     return table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("insight_"), item.cast("string")).alias("insight_id"), text.alias("text")
     )

@@ -13,6 +13,19 @@ def _timed(posts: DataFrame, late: str) -> DataFrame:
     return posts.withColumn("event_time", F.col("publish_time").cast("timestamp")).withWatermark("event_time", late)
 
 
+def ended(posts: DataFrame, path: str, marker: str = "9000-01-01 00:00:00") -> DataFrame:
+    """A stream of posts whose input is finished, so that its last windows close too.
+
+    A post far in the future moves the watermark past all windows. Its own
+    window never closes, so nothing of it is ever shown.
+    """
+    end = posts.sparkSession.range(1).select(
+        *[F.lit(marker if f.name == "publish_time" else None).cast(f.dataType).alias(f.name) for f in posts.schema.fields]
+    )
+    end.write.parquet(path)
+    return posts.unionByName(posts.sparkSession.readStream.schema(posts.schema).parquet(path))
+
+
 def sentiment_series_stream(posts: DataFrame, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Count, mean and shares per window. A window closes once it is ``late`` old."""
     p = polarity()

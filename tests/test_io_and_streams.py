@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import post
@@ -71,8 +73,8 @@ def test_label_replies(spark):
     reply = F.col("reply")
     assert parsed(L.parse_polarity(reply), [" 4 ", "six", "0", "6", "12345678901", "-1"]) == [4, 3, 3, 3, 3, 3]
     vocab = F.array(F.lit("a"), F.lit("b"))
-    assert parsed(L.parse_attributes(reply, vocab), ['["b","z","a"]', "[]", "oops", '{"a":1}']) == [
-        ["b", "a"], [], ["中立"], ["中立"]]
+    assert parsed(L.parse_attributes(reply, vocab), ['["b","z","a"]', "[]", "oops", '{"a":1}', '["a"] and so on', '["a"],["b"]']) == [
+        ["b", "a"], [], *[["中立"]] * 4]
     assert parsed(L.parse_publisher(reply, vocab, "b"), [" a ", "z"]) == ["a", "b"]
     assert parsed(L.parse_publisher(reply, vocab, "q"), ["z"]) == [None]
     assert parsed(L.parse_decision(reply, vocab), ['"b or a"', "b", "none"]) == ["a", "b", "a"]
@@ -94,7 +96,47 @@ def test_labels_fill_only_gaps(spark, make_posts):
         "post_id LONG, task STRING, response STRING")
     out = labels.apply_labels(posts, replies, {"publisher": F.array(F.lit("a"), F.lit("b"))})
     assert [(r.sentiment_polarity, r.publisher) for r in out.orderBy("post_id").collect()] == [
-        (1, None), (5, "b"), (3, None)]
+        (1, None), (5, "b"), (None, None)]
+    numbered = spark.createDataFrame(
+        [(1, "sentiment_polarity", "5", 1), (1, "sentiment_polarity", "2", 2)],
+        "post_id LONG, task STRING, response STRING, reply_no INT")
+    assert labels.apply_labels(posts, numbered, {}).filter("post_id = 1").first().sentiment_polarity == 2
+
+
+def test_files_lose_nothing(spark, tmp_path):
+    """Scalars where lists belong, all spellings of beliefs, and broken files."""
+    rows = [
+        {"content": "a", "sentiment_attribute": "hope", "topics": [{"parent_topic": "p", "sub_topic": "s"}],
+         "belief_signals": [{"Category": "c", "subcategory": "s1"}, "bare", {"category": "d", "Subcategories": ["x", "y"]}]},
+        {"content": "b", "sentiment_attribute": ["u", "v"], "belief_signals": "one", "image_urls": [], "like_count": 7},
+        {"content": "c", "sentiment_attribute": None, "belief_signals": {"category": "e"}},
+    ]
+    path = tmp_path / "posts.json"
+    path.write_text(json.dumps(rows), encoding="utf-8")
+    (tmp_path / "posts.jsonl").write_text("\n".join(map(json.dumps, rows)), encoding="utf-8")
+    for name, fmt in (("posts.json", "json"), ("posts.jsonl", "jsonl")):
+        got = {r.content: r for r in P.read_posts(spark, str(tmp_path / name), fmt).collect()}
+        assert [got[k].sentiment_attribute for k in "abc"] == [["hope"], ["u", "v"], None]
+        assert [(b.category, b.subcategories) for b in got["a"].belief_signals] == [
+            ("c", ["s1"]), ("bare", None), ("d", ["x", "y"])]
+        assert [(b.category, b.subcategories) for b in got["b"].belief_signals] == [("one", None)]
+        assert [(b.category, b.subcategories) for b in got["c"].belief_signals] == [("e", None)]
+        assert got["a"].topics[0].sub_topic == "s" and got["b"].like_count == 7 and got["b"].image_urls == []
+    path.write_text(json.dumps(rows)[:-30], encoding="utf-8")
+    with pytest.raises(Exception):
+        P.read_posts(spark, str(path)).collect()
+    (tmp_path / "bad.jsonl").write_text(json.dumps(rows[0]) + "\n{broken\n[1]\n", encoding="utf-8")
+    with pytest.raises(Exception):
+        P.read_posts(spark, str(tmp_path / "bad.jsonl"), "jsonl").collect()
+    assert sorted(r.line for r in P.json_rejects(spark, str(tmp_path / "bad.jsonl")).collect()) == ["[1]", "{broken"]
+
+
+def test_parquet_ids_are_stable(spark, tmp_path):
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10, 1, 1).selectExpr("cast(id as string) as content").write.parquet(str(tmp_path / f"p{k}"))
+        os.rename(glob.glob(str(tmp_path / f"p{k}" / "*.parquet"))[0], tmp_path / f"part-{k}.parquet")
+    path = str(tmp_path / "part-*.parquet")
+    assert {(r.post_id, r.content) for r in P.read_posts(spark, path, "parquet").collect()} == {(i, str(i)) for i in range(30)}
 
 
 def _files(spark, make_posts, path, batches):

@@ -74,7 +74,7 @@ def test_content_words(spark):
 
 
 def test_lexicon(spark):
-    values = ["good good bad", "bad worry", "Good", "", "赞 差"]
+    values = ["good good bad", "bad worry", "Good", "", "赞 差", "我很喜欢这个产品，非常满意", "服务糟糕，太失望", "我不满意"]
     out = _column(spark, T.lexicon_sentiment("content"), values)
     assert [(x.label, x.score, x.positive, x.negative) for x in out] == [
         ("positive", 1, 2, 1),
@@ -82,6 +82,9 @@ def test_lexicon(spark):
         ("neutral", 0, 0, 0),
         ("neutral", 0, 0, 0),
         ("neutral", 0, 1, 1),
+        ("positive", 2, 2, 0),
+        ("negative", -2, 0, 2),
+        ("negative", -1, 0, 1),
     ]
 
 

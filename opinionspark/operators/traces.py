@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import rnd
-from ..plans.shapes import top
+from ..plans.checkpoints import checkpoint
 
 # What tells the dimension of a tool, in order of precedence.
 CATEGORY_HINTS = (
@@ -81,77 +81,82 @@ def _grams(text: Column, size: Column) -> Column:
 
 
 def _told(texts: DataFrame, summaries: DataFrame) -> DataFrame:
-    """(insight_id, summary) for every summary that occurs in a text.
+    """(run_id, insight_id, summary) for every summary of a run that occurs in one of its texts.
 
     A summary in a text has all its substrings there too. Each summary is
     looked up by its rarest substring of a fixed length, so a phrase that most
     summaries share is not a meeting point, and verified where it is found.
+    The substrings travel without the text; it is fetched for those that meet.
     """
     sized = summaries.withColumn("_size", F.least(F.length("summary"), F.lit(_GRAM)))
-    parts = sized.select("summary", "_size", F.explode(_grams(F.col("summary"), F.col("_size"))).alias("_gram"))
-    spread = parts.groupBy("_size", "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    parts = sized.select("run_id", "summary", "_size", F.explode(_grams(F.col("summary"), F.col("_size"))).alias("_gram"))
+    spread = parts.groupBy("run_id", "_size", "_gram").agg(F.count(F.lit(1)).alias("_n"))
     rarest = (
-        parts.join(spread, ["_size", "_gram"])
-        .groupBy("summary", "_size")
+        parts.join(spread, ["run_id", "_size", "_gram"])
+        .groupBy("run_id", "summary", "_size")
         .agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
     )
     sizes = sized.agg(F.collect_set("_size")).scalar()
-    wanted = texts.withColumn("_sizes", sizes).select("insight_id", "text", F.explode("_sizes").alias("_size"))
-    # The substrings travel without the text; it is fetched for the few that are met.
-    found = wanted.select("insight_id", "_size", F.explode(_grams(F.col("text"), F.col("_size"))).alias("_gram"))
-    met = found.join(rarest, ["_size", "_gram"]).select("insight_id", "summary")
-    return met.join(texts, "insight_id").filter(F.contains("text", "summary")).select("insight_id", "summary").distinct()
+    wanted = texts.withColumn("_sizes", sizes).select("run_id", "insight_id", "text", F.explode("_sizes").alias("_size"))
+    grams = F.explode(_grams(F.col("text"), F.col("_size"))).alias("_gram")
+    met = wanted.select("run_id", "insight_id", "_size", grams).join(rarest, ["run_id", "_size", "_gram"])
+    told = met.select("run_id", "insight_id", "summary").join(texts, ["run_id", "insight_id"])
+    return told.filter(F.contains("text", "summary")).select("run_id", "insight_id", "summary").distinct()
+
+
+def _of_run(frame: DataFrame) -> Column:
+    """The run a row belongs to; a table of one run needs no such column."""
+    return F.coalesce("run_id", F.lit("")) if "run_id" in frame.columns else F.lit("")
 
 
 def insight_evidence(insights: DataFrame, executions: DataFrame) -> DataFrame:
-    """Executions that an insight text names.
+    """Executions of an insight's own run that its text names.
 
     A match is a text that contains the tool name, a part of it longer than
-    two characters, or the execution's summary. Tool names are a closed list:
-    each insight is checked against the distinct names in its own row, then
-    joined by name. Distinct summaries are found by their substrings.
-    Insights without a match get the last two successful executions.
+    two characters, or the execution's summary. Each insight is checked
+    against the distinct tool names of its run, a closed list, in its own row,
+    then joined by run and name. Distinct summaries are found by their
+    substrings. Insights without a match get the run's last two successful
+    executions. Runs are told apart by ``run_id`` where the tables have it.
     """
-    texts = insights.select("insight_id", F.lower("text").alias("text"))
+    texts = insights.select(_of_run(insights).alias("run_id"), "insight_id", F.lower("text").alias("text"))
     runs = executions.select(
-        "execution_no", "id", "status", F.lower("tool_name").alias("tool"), F.lower("summary").alias("summary")
+        _of_run(executions).alias("run_id"),
+        "execution_no",
+        "id",
+        "status",
+        F.lower("tool_name").alias("tool"),
+        F.lower("summary").alias("summary"),
     )
-    names = runs.filter(F.col("tool") != "").agg(F.collect_set("tool")).scalar()
+    shown = ("run_id", "insight_id", "execution_no", "id", "status")
 
     def named(text: Column, tool: Column) -> Column:
         parts = F.filter(F.split(tool, "_"), lambda p: F.length(p) > 2)
         return F.contains(text, tool) | F.exists(parts, lambda p: F.contains(text, p))
 
-    by_name = (
-        texts.withColumn("_names", names)
-        .select("insight_id", F.explode(F.filter("_names", lambda t: named(F.col("text"), t))).alias("tool"))
-        .join(runs.select("tool", "execution_no", "id", "status"), "tool")
-        .select("insight_id", "execution_no", "id", "status")
-    )
-    summaries = runs.filter(F.col("summary") != "").select("summary").distinct()
-    by_summary = (
-        _told(texts, summaries)
-        .join(runs.select("summary", "execution_no", "id", "status"), "summary")
-        .select("insight_id", "execution_no", "id", "status")
-    )
+    names = runs.filter(F.col("tool") != "").groupBy("run_id").agg(F.collect_set("tool").alias("_names"))
+    found = F.explode(F.filter("_names", lambda t: named(F.col("text"), t))).alias("tool")
+    by_name = texts.join(names, "run_id").select("run_id", "insight_id", found).join(runs, ["run_id", "tool"]).select(*shown)
+    summaries = runs.filter(F.col("summary") != "").select("run_id", "summary").distinct()
+    by_summary = _told(texts, summaries).join(runs, ["run_id", "summary"]).select(*shown)
     matched = by_name.unionByName(by_summary).distinct().withColumn("matched", F.lit(True))
-    recent = top(executions.filter(F.col("status") == "success"), 2, "execution_no").agg(
-        F.collect_list(F.struct("execution_no", "id", "status"))
-    ).scalar()
-    alone = texts.select("insight_id").join(matched.select("insight_id"), "insight_id", "left_anti")
-    fallback = alone.withColumn("_recent", recent).select(
-        "insight_id", F.inline("_recent"), F.lit(False).alias("matched")
-    )
+    # The last two of each run; the rank's limit is applied ahead of the shuffle too.
+    latest = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("execution_no"), "id"))
+    two = runs.filter(F.col("status") == "success").withColumn("_rank", latest).filter("_rank <= 2")
+    recent = two.groupBy("run_id").agg(F.collect_list(F.struct("execution_no", "id", "status")).alias("_recent"))
+    alone = texts.select("run_id", "insight_id").join(matched, ["run_id", "insight_id"], "left_anti")
+    fallback = alone.join(recent, "run_id").select("run_id", "insight_id", F.inline("_recent"), F.lit(False).alias("matched"))
     return matched.unionByName(fallback)
 
 
 def evidence_confidence(insights: DataFrame, evidence: DataFrame) -> DataFrame:
     """Confidence of each insight by its number of evidence records."""
-    counts = evidence.groupBy("insight_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = evidence.groupBy("run_id", "insight_id").agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0))
     level = F.when(n >= 2, "high").when(n == 1, "medium").otherwise("low")
-    return insights.select("insight_id").join(counts, "insight_id", "left").select(
-        "insight_id", n.alias("evidence"), level.alias("confidence")
+    own = insights.select(_of_run(insights).alias("run_id"), "insight_id")
+    return own.join(counts, ["run_id", "insight_id"], "left").select(
+        "run_id", "insight_id", n.alias("evidence"), level.alias("confidence")
     )
 
 
@@ -180,12 +185,13 @@ def latest_conclusions(rounds: DataFrame) -> DataFrame:
     return latest.select("discussion", "round", F.trim("c").alias("conclusion")).filter(F.col("conclusion") != "")
 
 
-def event_log_normalize(events: DataFrame, chunk: int = 100_000) -> DataFrame:
+def event_log_normalize(events: DataFrame) -> DataFrame:
     """Trimmed events, branch ``main`` by default, renumbered from 1 per run.
 
-    A run may hold a third of all events, so its numbering is not one window:
-    events are numbered inside chunks of the sequence range and every chunk
-    adds the size of the chunks before it.
+    A run may hold a third of all events, and its numbers may be missing or
+    repeat, so its numbering is neither one window nor cut by old numbers: all
+    events are sorted over range partitions, each partition adds the sizes of
+    those before it, and each run subtracts the place of its first event.
     """
     words = ("ts", "event", "stage", "node", "status", "error")
     clean = events.select(
@@ -193,18 +199,26 @@ def event_log_normalize(events: DataFrame, chunk: int = 100_000) -> DataFrame:
         F.coalesce("seq", F.lit(0)).alias("old_seq"),
         *[F.trim(F.coalesce(w, F.lit(""))).alias(w) for w in words],
         F.coalesce(F.nullif(F.trim("branch_id"), F.lit("")), F.lit("main")).alias("branch_id"),
-    ).withColumn("_chunk", F.floor(F.col("old_seq") / chunk))
-    sizes = clean.groupBy("run_id", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(
-        Window.partitionBy("run_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = sizes.select("run_id", "_chunk", F.coalesce(before, F.lit(0)).alias("_before"))
-    order = ("old_seq", "ts", "event", "branch_id", "stage", "node", "status")
-    inside = F.row_number().over(Window.partitionBy("run_id", "_chunk").orderBy(*order))
+    order = ("run_id", "old_seq", "ts", "event", "branch_id", "stage", "node", "status")
+    ranged = clean.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = checkpoint(ranged.withColumn("_id", F.monotonically_increasing_id())).select(
+        "*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_row")
+    )
+    # One row per partition.
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    firsts = (
+        placed.groupBy("run_id", "_part").agg(F.min("_row").alias("_row"))
+        .join(starts, "_part")
+        .groupBy(F.col("run_id").alias("_run"))
+        .agg(F.min(F.col("_before") + F.col("_row")).alias("_first"))
+    )
     return (
-        clean.withColumn("_place", inside)
-        .join(offsets, ["run_id", "_chunk"])
-        .select("run_id", (F.col("_before") + F.col("_place")).alias("seq"), *words, "branch_id")
+        placed.join(starts, "_part")
+        .join(firsts, F.col("run_id").eqNullSafe(F.col("_run")))
+        .select("run_id", (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("seq"), *words, "branch_id")
     )
 
 

@@ -415,7 +415,8 @@ def insight_evidence(spark, d):
 
 def evidence_confidence(spark, d):
     texts = V.insights(spark, d)
-    return traces.evidence_confidence(texts, traces.insight_evidence(texts, V.tool_executions(spark, d)))
+    found = traces.insight_evidence(texts, V.tool_executions(spark, d))
+    return traces.evidence_confidence(texts, found).select("insight_id", "evidence", "confidence")
 
 
 def _rounds(spark, d):
@@ -444,7 +445,7 @@ def latest_conclusions(spark, d):
 
 
 def _event_log(spark, d):
-    return traces.event_log_normalize(V.status_events(spark, d), chunk=1000)
+    return traces.event_log_normalize(V.status_events(spark, d))
 
 
 def event_log_normalize(spark, d):

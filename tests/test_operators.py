@@ -204,18 +204,19 @@ def test_resume(make_posts):
     assert [r.post_id for r in P.remaining_posts(todo, done).orderBy("post_id").collect()] == [0, 2]
 
 
-def test_event_log_numbers_do_not_depend_on_chunks(spark):
-    events = [("r", s, "t", "enter", "s", "n", None, "", "") for s in [5, 1, 1, 300, 12, 7]] + [
+@pytest.mark.parametrize("numbers", [[5, 1, 1, 300, 12, 7], [None] * 6])
+def test_event_log_numbers(spark, numbers):
+    events = [("r", s, "t", "enter", "s", "n", None, "", "") for s in numbers] + [
         ("q", 3, "t", "exit", "s", "n", " ", "failed", "")]
     from opinionspark.sources.schema import EVENT
 
     frame = spark.createDataFrame(events, EVENT)
-    for chunk in (2, 100_000):
-        out = traces.event_log_normalize(frame, chunk)
-        assert sorted(r.seq for r in out.filter("run_id = 'r'").collect()) == [1, 2, 3, 4, 5, 6]
-        assert {r.branch_id for r in out.collect()} == {"main"}
-        assert [(r.run_id, r.current_node) for r in traces.current_location(out).orderBy("run_id").collect()] == [
-            ("q", ""), ("r", "n")]
+    out = traces.event_log_normalize(frame.repartition(4))
+    assert sorted(r.seq for r in out.filter("run_id = 'r'").collect()) == [1, 2, 3, 4, 5, 6]
+    assert [r.seq for r in out.filter("run_id = 'q'").collect()] == [1]
+    assert {r.branch_id for r in out.collect()} == {"main"}
+    assert [(r.run_id, r.current_node) for r in traces.current_location(out).orderBy("run_id").collect()] == [
+        ("q", ""), ("r", "n")]
 
 
 def test_insight_matches_short_and_long_summaries(spark):
@@ -231,6 +232,22 @@ def test_insight_matches_short_and_long_summaries(spark):
         ("i1", "e1", True), ("i2", "e2", True), ("i3", "e3", False), ("i3", "e4", False), ("i4", "e1", True)]
 
 
+def test_insights_meet_executions_of_their_run_only(spark):
+    insights = spark.createDataFrame(
+        [("r1", "i1", "we saw abc"), ("r2", "i1", "we saw abc"), ("r2", "i2", "a trend"), ("r3", "i1", "abc")],
+        "run_id STRING, insight_id STRING, text STRING")
+    runs = spark.createDataFrame(
+        [("r1", 1, "e1", "success", "xy_trend", "abc"), ("r2", 1, "e2", "success", "qq_trend", "zz zz"),
+         ("r2", 2, "e3", "failed", "", "other")],
+        "run_id STRING, execution_no LONG, id STRING, status STRING, tool_name STRING, summary STRING")
+    found = traces.insight_evidence(insights, runs)
+    assert sorted((r.run_id, r.insight_id, r.id, r.matched) for r in found.collect()) == [
+        ("r1", "i1", "e1", True), ("r2", "i1", "e2", False), ("r2", "i2", "e2", True)]
+    levels = traces.evidence_confidence(insights, found).collect()
+    assert sorted((r.run_id, r.insight_id, r.confidence) for r in levels) == [
+        ("r1", "i1", "medium"), ("r2", "i1", "medium"), ("r2", "i2", "medium"), ("r3", "i1", "low")]
+
+
 def test_registry(sample_posts):
     assert len(TOOLS) == 42
     assert set(registry.chart_tools()) | set(registry.data_tools()) == set(TOOLS)

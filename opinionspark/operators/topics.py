@@ -35,6 +35,11 @@ def explode_topics(posts: DataFrame, *columns: str) -> DataFrame:
     )
 
 
+def _nested(mentions: DataFrame) -> bool:
+    """Whether these are posts with topic lists, not single mentions."""
+    return "topics" in mentions.columns
+
+
 def _filled(name: str) -> Column:
     return F.nullif(F.col(name), F.lit(""))
 
@@ -75,8 +80,11 @@ def topic_pairs_top(mentions: DataFrame, posts: DataFrame, k: int = 10) -> DataF
 
 
 def topic_coverage(mentions: DataFrame, posts: DataFrame) -> DataFrame:
-    """How many posts have topics at all."""
-    covered = mentions.agg(F.count_distinct("post_id").alias("posts_with_topics"))
+    """How many posts have topics at all; ``mentions`` may be posts with their topic lists, which need no shuffle."""
+    if _nested(mentions):
+        covered = mentions.agg(F.count_if(F.size("topics") > 0).alias("posts_with_topics"))
+    else:
+        covered = mentions.agg(F.count_distinct("post_id").alias("posts_with_topics"))
     total = row_count(posts)
     return covered.withColumn("total_posts", total).withColumn(
         "percentage", percent(F.col("posts_with_topics"), F.col("total_posts"))
@@ -243,8 +251,13 @@ def topic_sets(mentions: DataFrame) -> DataFrame:
 
     The sets come from a closed taxonomy, so both a post's set and the number
     of different sets stay small. Pairs are formed per distinct set and
-    weighted by its post count, not per post.
+    weighted by its post count, not per post. Posts with topic lists have their
+    set in the row; single mentions are grouped by post first.
     """
+    if _nested(mentions):
+        parents = F.filter(F.transform("topics", lambda t: t["parent_topic"]), lambda p: F.nullif(p, F.lit("")).isNotNull())
+        per_post = mentions.select(F.sort_array(F.array_distinct(parents)).alias("topics"))
+        return per_post.filter(F.size("topics") >= 2).groupBy("topics").agg(F.count(F.lit(1)).alias("n"))
     per_post = _with_parent(mentions).groupBy("post_id").agg(F.sort_array(F.collect_set("parent_topic")).alias("topics"))
     return per_post.filter(F.size("topics") >= 2).groupBy("topics").agg(F.count(F.lit(1)).alias("n"))
 
@@ -313,7 +326,7 @@ def topic_network_nodes(mentions: DataFrame, min_support: int = 3, k: int = 20)
     """Topics on the network's edges with their mention counts."""
     edges = top(pair_counts(mentions).filter(F.col("count") >= min_support), k, "count", "a", "b")
     names = edges.select(F.explode(F.array("a", "b")).alias("topic")).agg(F.collect_set("topic")).scalar()
-    counts = _parent_counts(mentions)
+    counts = _parent_counts(explode_topics(mentions) if _nested(mentions) else mentions)
     return counts.filter(F.array_contains(names, F.col("parent_topic"))).select(
         F.col("parent_topic").alias("topic"), F.col("n").alias("count")
     )

@@ -65,7 +65,7 @@ def _topic_frequency(posts):
     return {
         "topics": topics.topic_frequency(m, posts),
         "top_topic_pairs": topics.topic_pairs_top(m, posts),
-        "coverage": topics.topic_coverage(m, posts),
+        "coverage": topics.topic_coverage(posts, posts),
     }
 
 
@@ -81,18 +81,16 @@ def _topic_evolution(posts, granularity="day", top_n=5):
 
 
 def _topic_pairs(posts, min_support=2):
-    m = _mentions(posts)
     return {
-        "cooccurrence_pairs": topics.topic_cooccurrence(m, posts, min_support),
-        "association_matrix": topics.topic_association_matrix(m, min_support),
+        "cooccurrence_pairs": topics.topic_cooccurrence(posts, posts, min_support),
+        "association_matrix": topics.topic_association_matrix(posts, min_support),
     }
 
 
 def _topic_network(posts, min_support=3):
-    m = _mentions(posts)
     return {
-        "nodes": topics.topic_network_nodes(m, min_support),
-        "edges": topics.topic_network_edges(m, min_support),
+        "nodes": topics.topic_network_nodes(posts, min_support),
+        "edges": topics.topic_network_edges(posts, min_support),
     }
 
 

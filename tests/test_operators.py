@@ -248,6 +248,27 @@ def test_insights_meet_executions_of_their_run_only(spark):
         ("r1", "i1", "medium"), ("r2", "i1", "medium"), ("r2", "i2", "medium"), ("r3", "i1", "low")]
 
 
+def test_topic_lists_and_single_mentions_agree(make_posts):
+    def topic(parent):
+        return {"parent_topic": parent, "sub_topic": "s"}
+
+    lists = [["a", "b", "a"], ["b", "a"], ["c"], [], None, ["a", "", "c", "b"], ["c", "b"], ["a", None]]
+    posts = make_posts([post(i, topics=None if t is None else [topic(p) for p in t]) for i, t in enumerate(lists)])
+    flat = topics.explode_topics(posts)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for found in (
+        lambda m: topics.topic_coverage(m, posts),
+        lambda m: topics.topic_cooccurrence(m, posts),
+        lambda m: topics.topic_association_matrix(m, 1),
+        lambda m: topics.topic_network_nodes(m, 1),
+        lambda m: topics.topic_network_edges(m, 1),
+    ):
+        assert rows(found(posts)) == rows(found(flat))
+    assert topics.topic_coverage(posts, posts).first().posts_with_topics == 6
+    plan = topics.topic_cooccurrence(posts, posts)._jdf.queryExecution().toString()
+    assert "hashpartitioning(post_id" not in plan
+
+
 def test_registry(sample_posts):
     assert len(TOOLS) == 42
     assert set(registry.chart_tools()) | set(registry.data_tools()) == set(TOOLS)

@@ -198,11 +198,51 @@ def _edge_frame(edges: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame({"a": [min(e) for e in edges], "b": [max(e) for e in edges]}, dtype="int64")
 
 
-def _alike_samples(group: pd.DataFrame) -> pd.DataFrame:
-    samples = np.frombuffer(b"".join(group["samples"]), np.uint16).reshape(len(group), -1)
-    sides = ((group["_own"] == group["_j"]) & (group["_i"] != group["_j"])).to_numpy(np.int64)
-    alike = lambda p, rest: (samples[rest] == samples[p]).sum(axis=1) >= LEAST_SAMPLES
-    return _edge_frame(_forest(group["rep"].tolist(), sides, alike))
+def _alike_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges between texts of a band whose samples agree enough.
+
+    Rows come sorted by band and pair of tiles. There are many small groups, so
+    they aren't handed over one by one: all rows are first compared with their
+    group's first row at once, and only groups that this doesn't connect are
+    looked into. The last group of a batch waits for the next.
+    """
+    waiting = None
+    for batch in batches:
+        columns = [batch[c].to_numpy() for c in ("band", "_i", "_j", "_own", "rep")]
+        samples = np.frombuffer(b"".join(batch["samples"].to_pylist()), np.uint16).reshape(len(batch["rep"]), -1)
+        rows = [np.concatenate(x) for x in zip(waiting, [*columns, samples])] if waiting else [*columns, samples]
+        if not len(rows[0]):
+            continue
+        band, i, j = rows[:3]
+        new = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        last = int(new[-1]) if len(new) else 0
+        waiting = [x[last:] for x in rows]
+        yield _edges_batch(_band_edges([x[:last] for x in rows], np.append(0, new[:-1]) if last else new))
+    if waiting:
+        yield _edges_batch(_band_edges(waiting, np.array([0])))
+
+
+def _band_edges(rows: list[np.ndarray], first: np.ndarray) -> list[tuple[int, int]]:
+    """The edges of whole groups that begin at ``first``."""
+    _, i, j, own, rep, samples = rows
+    if not len(first):
+        return []
+    sizes = np.diff(np.append(first, len(rep)))
+    lead = np.repeat(first, sizes)
+    near = (samples == samples[lead]).sum(axis=1) >= LEAST_SAMPLES
+    simple = np.minimum.reduceat(near & (i == j), first)
+    direct = np.repeat(simple, sizes) & (lead != np.arange(len(rep)))
+    edges = list(zip(rep[lead[direct]].tolist(), rep[direct].tolist()))
+    for k in np.flatnonzero(~simple):
+        at = slice(first[k], first[k] + sizes[k])
+        mine, sides = samples[at], ((own[at] == j[at]) & (i[at] != j[at])).astype(np.int64)
+        edges += _forest(rep[at].tolist(), sides, lambda p, rest: (mine[rest] == mine[p]).sum(axis=1) >= LEAST_SAMPLES)  # noqa: B023
+    return edges
+
+
+def _edges_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    columns = [pa.array([f(e) for e in edges], pa.int64()) for f in (min, max)]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
 
 def _similar_texts(idf: Broadcast, threshold: float):
@@ -284,9 +324,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band"), "shared")
     buckets = stored(banded.join(shared, "band").join(whole.select("rep", "samples"), "rep"), "buckets")
     edge = "a long, b long"
-    near = _spread(buckets, "band", F.lit(1), BAND_TILE).groupBy("band", "_i", "_j").applyInPandas(
-        lambda g: _alike_samples(g), edge
-    )
+    group = ("band", "_i", "_j")
+    tiles = _spread(buckets, "band", F.lit(1), BAND_TILE).repartition(*group).sortWithinPartitions(*group)
+    near = tiles.mapInArrow(_alike_samples, edge)
     families = connected_components(stored(near.distinct(), "near")).select(
         F.col("node").alias("rep"), F.col("component").alias("family")
     )

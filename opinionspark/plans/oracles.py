@@ -402,13 +402,15 @@ ORACLES: dict[str, str] = {
     "similar_pairs": q(
         _SIMILAR,
         f"""SELECT a, b, {R('similarity', 6)} AS similarity, x.copies AS copies_a, y.copies AS copies_b FROM alike
-        JOIN reps x ON x.rep = a JOIN reps y ON y.rep = b""",
+        JOIN reps x ON x.rep = a JOIN reps y ON y.rep = b UNION ALL
+        SELECT rep, rep, 1e0, copies, copies FROM reps WHERE copies > 1""",
     ),
     "similar_pairs_jaccard": q(
         "posts_d toks",
         f"""SELECT a, b, {R(f'{_JACCARD}', 6)} AS similarity, x.copies AS copies_a, y.copies AS copies_b FROM (
         SELECT p.rep AS a, r.rep AS b, count(*) AS inter FROM bag p JOIN bag r ON p.tok = r.tok AND p.rep < r.rep GROUP BY 1, 2)
-        JOIN sets x ON x.rep = a JOIN sets y ON y.rep = b WHERE {R(f'{_JACCARD}', 9)} >= 0.6""",
+        JOIN sets x ON x.rep = a JOIN sets y ON y.rep = b WHERE {R(f'{_JACCARD}', 9)} >= 0.6 UNION ALL
+        SELECT rep, rep, 1e0, copies, copies FROM sets WHERE copies > 1""",
         tokset="SELECT DISTINCT post_id, tok FROM toks",
         setkey="SELECT post_id, string_agg(tok, ' ' ORDER BY tok) AS key, count(*) AS size FROM tokset GROUP BY 1",
         sets="SELECT key, min(post_id) AS rep, count(*) AS copies, max(size) AS size FROM setkey GROUP BY 1",

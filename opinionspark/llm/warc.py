@@ -98,17 +98,29 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if len(raw) >= 8 else None
 
 
-def sampled_dictionary(records: DataFrame) -> bytes:
-    """The dictionary of the records with the smallest hashes: at most 8 MB reach the driver."""
-    part = F.substring("payload", 1, SAMPLE_BYTES).alias("payload")
-    order = F.xxhash64("digest", "page_id")
+def sampled_dictionary(pages: DataFrame) -> bytes:
+    """The dictionary of the pages with the smallest hashes: at most 8 MB of them reach the driver.
+
+    The hashes are found first, from small columns, as a sort with a limit
+    sends the driver as many rows from every task.
+    """
+    order = F.xxhash64("page_id", "url")
+    last = pages.select(order.alias("h")).orderBy("h").limit(SAMPLE_RECORDS).agg(F.max("h")).first()[0]
+    if last is None:
+        return b""
+    payload = text_or_empty("html").cast("binary")
     rows = (
-        records.filter(F.col("refers_to").isNull())
-        .select("page_id", F.substring("url", 1, 2048).alias("url"), part, "digest", order.alias("_order"))
-        .orderBy("_order")
+        pages.filter(order <= last)
         .limit(SAMPLE_RECORDS)
+        .select(
+            "page_id",
+            F.substring("url", 1, 2048).alias("url"),
+            F.substring(payload, 1, SAMPLE_BYTES).alias("payload"),
+            F.sha1(payload).alias("digest"),
+        )
         .collect()
     )
+    rows.sort(key=lambda r: (r.digest, str(r.page_id)))
     return build_dictionary([record_bytes(r.page_id, r.url, bytes(r.payload), r.digest, None) for r in rows])
 
 
@@ -245,7 +257,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     """
     records = planned_records(pages)
     folder = scratch(pages.sparkSession, "warc")
-    return read_archives(write_archives(records, folder, sampled_dictionary(records)), folder)
+    return read_archives(write_archives(records, folder, sampled_dictionary(pages)), folder)
 
 
 #: The rows of archive_pages.

@@ -181,7 +181,7 @@ def test_archives(spark, tmp_path, most):
     pages = spark.createDataFrame([(*p, "x", 1) for p in PAGES], "page_id long, url string, html string, digest string, last int")
     records = warc.planned_records(pages)
     folder = f"file://{tmp_path}/w"
-    manifest = warc.write_archives(records, folder, warc.sampled_dictionary(records), most)
+    manifest = warc.write_archives(records, folder, warc.sampled_dictionary(pages), most)
     got = warc.read_archives(manifest, folder).collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute_pages(PAGES)
     assert manifest.agg(F.sum("records")).first()[0] == len(PAGES)

@@ -23,7 +23,7 @@ from ..sources import posts as P
 from ..sources import tables as V
 from ..streaming.enrich import incremental_enrich as incremental_enrich_stream
 from ..streaming.enrich import post_stream
-from ..streaming.location import branch_state_stream, locate
+from ..streaming.location import branch_state_stream, latest_states, locate, store_changes
 from ..streaming.series import ended, participants_stream, sentiment_series_stream
 from .checkpoints import shared_dir
 from .shapes import focus_filter, row_count
@@ -542,18 +542,11 @@ def stream_participants(spark, d):
 
 
 def stream_current_location(spark, d):
-    """Branch states kept by a stream; each batch replaces the stored states."""
+    """Branch states kept by a stream; each batch stores the branches it changed."""
     path = _scratch(spark)
     states = branch_state_stream(V.status_events_of(_event_stream(spark, d)))
-    query = (
-        states.writeStream.outputMode("complete")
-        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out"))
-        .option("checkpointLocation", f"{path}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return locate(P.read_result(spark, f"{path}/out"))
+    store_changes(states, f"{path}/out", f"{path}/state").awaitTermination()
+    return locate(latest_states(P.read_result(spark, f"{path}/out")))
 
 
 _EVENT_COLUMNS = ("run_id", "seq", "event", "node", "branch_id", "status")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def branch_state_stream(events: DataFrame) -> DataFrame:
@@ -19,6 +20,28 @@ def branch_state_stream(events: DataFrame) -> DataFrame:
     return grouped.select("run_id", "branch_id", "l.seq", "l.event", "l.stage", "l.node")
 
 
+def store_changes(states: DataFrame, path: str, state: str) -> StreamingQuery:
+    """Writes the branches that a batch changed, and only those, to a folder of that batch.
+
+    A batch that is run again after a failure overwrites its own folder.
+    """
+    return (
+        states.writeStream.outputMode("update")
+        .foreachBatch(lambda changed, batch: changed.write.mode("overwrite").parquet(f"{path}/batch={batch}"))
+        .option("checkpointLocation", state)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_states(stored: DataFrame) -> DataFrame:
+    """One row per branch of all stored changes; a branch's states only grow, so the greatest is the last."""
+    last = F.max(F.struct("seq", "event", "stage", "node"))
+    return stored.groupBy("run_id", "branch_id").agg(last.alias("l")).select(
+        "run_id", "branch_id", "l.seq", "l.event", "l.stage", "l.node"
+    )
+
+
 def locate(branches: DataFrame) -> DataFrame:
     """Stage and node of each run's latest open branch, from the branch states."""
     is_open = F.col("event") == "enter"

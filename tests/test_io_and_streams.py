@@ -15,7 +15,7 @@ from opinionspark.operators import graphs, keywords, labels
 from opinionspark.sources import posts as P
 from opinionspark.sources.schema import EVENT
 from opinionspark.streaming.enrich import incremental_enrich, post_stream
-from opinionspark.streaming.location import branch_state_stream, locate
+from opinionspark.streaming.location import branch_state_stream, latest_states, locate, store_changes
 from opinionspark.streaming.series import sentiment_series_stream
 
 
@@ -197,9 +197,6 @@ def test_streamed_location(spark, tmp_path):
     for i, part in enumerate((events[2:], events[:2])):
         spark.createDataFrame(part, EVENT).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
     stream = spark.readStream.schema(EVENT).parquet(str(tmp_path / "in" / "*"))
-    query = (
-        branch_state_stream(stream).writeStream.outputMode("complete").format("memory").queryName("branches")
-        .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    assert sorted(tuple(r) for r in locate(spark.table("branches")).collect()) == [("q", "", "", 0), ("r", "s1", "n1", 1)]
+    store_changes(branch_state_stream(stream), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    states = latest_states(spark.read.parquet(str(tmp_path / "out")))
+    assert sorted(tuple(r) for r in locate(states).collect()) == [("q", "", "", 0), ("r", "s1", "n1", 1)]

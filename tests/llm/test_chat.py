@@ -3,7 +3,6 @@ from __future__ import annotations
 import hashlib
 
 import duckdb
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -70,7 +69,3 @@ def test_long_conversation_and_text(spark):
 def test_stays_in_the_jvm(spark):
     plan = chat.chat_digests(frame(spark, [(1, 0, "user", "a")]))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
-
-
-if __name__ == "__main__":
-    pytest.main([__file__])

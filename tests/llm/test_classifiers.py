@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from conftest import TESTDATA
 from opinionspark.llm import quality, toxicity
 from opinionspark.llm.queries import QUERIES
 
@@ -98,4 +97,3 @@ def test_windows_overlap_and_cover():
     windows, length, first = words.windows()
     assert len(windows) == first[-1] == 6 and length.tolist() == [32, 32, 32, 32, 32, 20]
     assert {w for row, n in zip(windows, length) for w in row[:n]} == set(range(100))
-    assert TESTDATA

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import stored, text_or_empty
+from .common import parts_of, stored, text_or_empty
 from .shingles import mixed, shingles, text_slices, word_hashes
 
 THRESHOLD = 0.8
@@ -47,7 +47,7 @@ _TOGETHER = 1 << 15
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (slot, n): in how many texts each slot's words are; slot -1 counts texts with words."""
     total, texts = np.zeros(SLOTS, np.int64), 0
-    for batch in batches:
+    for batch in parts_of(batches):
         for _, _, data, offsets in text_slices(batch["text"]):
             words, rows = word_hashes(data, offsets)
             row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
@@ -122,7 +122,7 @@ def signatures(docs: DataFrame, idf: Broadcast, bands: int = BANDS, band_rows: i
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(bands * band_rows)
         salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
-        for batch in batches:
+        for batch in parts_of(batches):
             signed = []
             for _, _, data, offsets in text_slices(batch["text"]):
                 hashes, weights, first = shingles(*word_hashes(data, offsets), idf.value)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, text_or_empty
+from .common import parts_of, stored, text_or_empty
 
 SIZE = 2048
 #: Id that ends each document.
@@ -33,7 +33,7 @@ END = 0
 #: Search steps per sequence. Spent steps end a search at its best filling so far, which is at least best fit.
 STEPS = 300
 #: Words, and letter runs in lower case, whose ids a Python worker remembers at most.
-_WORDS, _RUNS = 300_000, 600_000
+_WORDS, _RUNS = 200_000, 500_000
 #: Latin letters, then characters that are neither letters, digits, apostrophes nor outside ASCII.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\sA-Za-zÀ-ÖØ-öø-ÿ0-9'\x80-\U0010ffff]*)\Z")
 
@@ -53,26 +53,31 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._words: dict[str, list[int]] = {}
-        self._runs: dict[str, list[int]] = {}
+        self._words: dict[str, tuple[int, ...]] = {}
+        self._runs: dict[str, tuple[int, ...]] = {}
+        # Remembered ids share their number objects.
+        self._numbers = list(range(self._tokenizer.get_vocab_size()))
 
     def whole(self, text: str) -> list[int]:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _run(self, text: str) -> list[int]:
+    def _shared(self, text: str) -> tuple[int, ...]:
+        return tuple([self._numbers[i] for i in self.whole(text)])
+
+    def _run(self, text: str) -> tuple[int, ...]:
         ids = self._runs.get(text)
         if ids is None:
-            ids = self.whole(text)
+            ids = self._shared(text)
             if len(self._runs) >= _RUNS:
                 self._runs.clear()
             if len(text) <= 40:
                 self._runs[text] = ids
         return ids
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> tuple[int, ...]:
         plain = _PLAIN.match(word)
         if plain is None:
-            ids = self.whole(word)
+            ids = self._shared(word)
         else:
             ids = self._run(plain[1].lower())
             if plain[2]:
@@ -111,7 +116,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, part = word_encoder(tokenizer), {}, TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in parts_of(batches):
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 ids = np.append(encoder.encode(text.as_py()), END).astype("<u4")

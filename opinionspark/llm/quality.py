@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, text_or_empty
+from .common import held_out, parts_of, text_or_empty
 from .learning import Adam, labelled_sample, sigmoid
 from .shingles import text_slices, word_hashes, word_starts
 
@@ -168,7 +168,7 @@ def _scored(docs: DataFrame, labels: DataFrame, per_class: int, *columns: str) -
     model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, per_class))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             found = [
                 model.value.scores(*passages(data, offsets)) for _, _, data, offsets in text_slices(batch["_text"])
             ]

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import parts_of, release_memory, stored, text_or_empty
 from .shingles import mixed, text_slices
 
 LENGTH, GRAM = 50, 18
 #: Anchors that occur more often have their strings dealt one by one, by their own hash.
 OFTEN = 4096
 #: Text that is sorted together in a task.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _U = np.uint64
 _BYTE = np.random.Generator(np.random.PCG64(50)).integers(1, 2**63, 256, dtype=np.uint64)
 #: Stands for a null doc_id: later than all others.
@@ -174,7 +174,7 @@ def anchor_table(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, idents, counts, anchors): the anchors of each text, packed per batch and bucket."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             ident = batch["ident"].to_numpy()
             found = [(a, ident[first + row]) for first, _, d, o in text_slices(batch["text"], 1 << 19) for a, row, _, _ in [anchor_runs(d, o)]]
             if not found:
@@ -250,6 +250,7 @@ def _shared(group: pd.DataFrame, most: int, slots: int) -> pd.DataFrame:
     several = np.minimum.reduceat(ident, edge) != np.maximum.reduceat(ident, edge)
     keep = np.repeat(several, times)
     often = np.repeat(times > most, times)
+    release_memory()
     return _by_slot(ident[keep], {"anchors": anchors[keep], "often": often[keep]}, slots)
 
 
@@ -257,7 +258,7 @@ def region_table(texts: DataFrame, buckets: int) -> DataFrame:
     """(bucket, ids, idents, places, sizes, anchors, bytes): the regions of texts (id, ident, text, anchors, often), packed."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             ids = list(zip(batch["id"].to_pylist(), batch["ident"].to_pylist()))
             shared, often = batch["anchors"].to_pylist(), batch["often"].to_pylist()
             parts = []
@@ -326,6 +327,7 @@ def _covered(group: pd.DataFrame, slots: int) -> pd.DataFrame:
         own = order[start:end]
         start = end
         _cover_chunk(raw, ids[own], ident[own], place[own], size[own], begin[own], (out_id, out_from, out_to))
+    release_memory()
     spans = np.stack((np.concatenate(out_from), np.concatenate(out_to)), axis=1)
     return _by_slot(np.concatenate(out_id), {"spans": spans}, slots)
 
@@ -427,7 +429,7 @@ def substring_digests(docs: DataFrame, often: int = OFTEN) -> DataFrame:
     types = [*[pa.int64()] * 4, pa.string()]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             out = []
             for id_, text, found, copy in zip(*(batch[c] for c in ("id", "text", "found", "copy"))):
                 raw = text.as_py().encode()
@@ -448,7 +450,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             texts = [
                 _kept(text.as_py().encode(), found.as_py(), copy.as_py())[1].decode(errors="ignore")
                 for text, found, copy in zip(*(batch[c] for c in ("text", "found", "copy")))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, text_or_empty
+from .common import held_out, parts_of, text_or_empty
 from .learning import Adam, labelled_sample, sigmoid
 from .shingles import mixed, text_slices, word_edges, word_hashes
 
@@ -270,7 +270,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     network = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, per_class))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             found = []
             for _, _, data, offsets in text_slices(batch["text"], 1 << 20):
                 scores, first = network.value.scores(Words(data, offsets))

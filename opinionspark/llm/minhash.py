@@ -331,7 +331,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.col("node").alias("rep"), F.col("component").alias("family")
     )
     families = stored(families, "families")
-    members = docs.select(F.col("doc_id").alias("rep"), text_or_empty().alias("text")).join(families, "rep")
+    # Texts are shuffled at every size: families grow with the corpus and aren't for broadcasting.
+    rows_of = docs.select(F.col("doc_id").alias("rep"), text_or_empty().alias("text"))
+    members = rows_of.join(families.hint("merge"), "rep")
     members = stored(members.dropDuplicates(["rep"]), "members")
     tiled = _spread(members, "family", F.octet_length("text"), FAMILY_TILE)
     links = tiled.groupBy("family", "_i", "_j").applyInPandas(_similar_texts(idf, threshold), edge)

@@ -24,7 +24,7 @@ from ..sources import tables as V
 from ..streaming.enrich import incremental_enrich as incremental_enrich_stream
 from ..streaming.enrich import post_stream
 from ..streaming.location import branch_state_stream, latest_states, locate, store_changes
-from ..streaming.series import ended, participants_stream, sentiment_series_stream
+from ..streaming.series import UNTIL_END, participants_stream, run_to_end, sentiment_series_stream
 from .checkpoints import shared_dir
 from .shapes import focus_filter, row_count
 
@@ -515,30 +515,19 @@ def _event_stream(spark, d):
     return _table_stream(spark, d, "events")
 
 
-def _finished(stream: DataFrame, spark) -> DataFrame:
-    """A stream run to its end into a table."""
+def _finished(spark, posts, series):
+    """The windows of a stream of posts that is run to its end, as a table."""
     path = _scratch(spark)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{path}/out")
-        .option("checkpointLocation", f"{path}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
-
-
-def _all_event_posts(spark, d):
-    return ended(V.event_posts_of(_event_stream(spark, d)), _scratch(spark))
+    schema = run_to_end(posts, lambda p: series(p, late=UNTIL_END), path)
+    return spark.read.schema(schema).parquet(f"{path}/out")
 
 
 def stream_sentiment_series(spark, d):
-    return _finished(sentiment_series_stream(_all_event_posts(spark, d)), spark)
+    return _finished(spark, V.event_posts_of(_event_stream(spark, d)), sentiment_series_stream)
 
 
 def stream_participants(spark, d):
-    return _finished(participants_stream(_all_event_posts(spark, d)), spark)
+    return _finished(spark, V.event_posts_of(_event_stream(spark, d)), participants_stream)
 
 
 def stream_current_location(spark, d):

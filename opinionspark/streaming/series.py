@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.values import percent, polarity, rnd
 
@@ -13,19 +16,56 @@ def _timed(posts: DataFrame, late: str) -> DataFrame:
     return posts.withColumn("event_time", F.col("publish_time").cast("timestamp")).withWatermark("event_time", late)
 
 
-def ended(posts: DataFrame, path: str, marker: str = "9000-01-01 00:00:00") -> DataFrame:
-    """A stream of posts whose input is finished, so that its last windows close too.
+#: Nothing of a finished input is late, in whatever order its files come: its windows stay open until its end.
+UNTIL_END = "3000 years"
 
-    A post far in the future moves the watermark past all windows. Its own
-    window never closes, so nothing of it is ever shown.
-    """
-    end = posts.sparkSession.range(1).select(
-        *[F.lit(marker if f.name == "publish_time" else None).cast(f.dataType).alias(f.name) for f in posts.schema.fields]
+
+def _marker(posts: DataFrame, time: str = "9000-01-01 00:00:00") -> DataFrame:
+    return posts.sparkSession.range(1).select(
+        *[F.lit(time if f.name == "publish_time" else None).cast(f.dataType).alias(f.name) for f in posts.schema.fields]
     )
-    end.write.parquet(path)
+
+
+def ended(posts: DataFrame, path: str) -> DataFrame:
+    """A stream of posts and of the still empty folder ``path``, into which ``mark_end`` puts the end of the input."""
+    _marker(posts).limit(0).write.parquet(path)
     return posts.unionByName(posts.sparkSession.readStream.schema(posts.schema).parquet(path))
 
 
+def mark_end(posts: DataFrame, path: str) -> None:
+    """Closes the last windows of a stream made by ``ended``, once all posts are read and it is run again.
+
+    A post far in the future moves the watermark past all windows, and posts
+    read after it are late; so the stream first has to run to the end of its
+    posts. The marker's own window never closes, so nothing of it is ever shown.
+    """
+    _marker(posts).write.mode("append").parquet(path)
+
+
+def run_to_end(posts: DataFrame, series: Callable[[DataFrame], DataFrame], path: str) -> StructType:
+    """All windows of a finished input, written below ``path``/out; gives their schema.
+
+    The stream runs to the end of the posts, gets the marker and runs on from
+    the same checkpoint.
+    """
+    stream = series(ended(posts, f"{path}/end"))
+
+    def run() -> None:
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", f"{path}/out")
+            .option("checkpointLocation", f"{path}/state")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    run()
+    mark_end(posts, f"{path}/end")
+    run()
+    return stream.schema
+
+
 def sentiment_series_stream(posts: DataFrame, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Count, mean and shares per window. A window closes once it is ``late`` old."""
     p = polarity()

@@ -16,7 +16,7 @@ from opinionspark.sources import posts as P
 from opinionspark.sources.schema import EVENT
 from opinionspark.streaming.enrich import incremental_enrich, post_stream
 from opinionspark.streaming.location import branch_state_stream, latest_states, locate, store_changes
-from opinionspark.streaming.series import sentiment_series_stream
+from opinionspark.streaming.series import UNTIL_END, participants_stream, run_to_end, sentiment_series_stream
 
 
 def write_json(path, value):
@@ -187,6 +187,20 @@ def test_late_posts_are_dropped_and_counted(spark, make_posts, tmp_path):
     assert out == {"2024-01-01 01:00": 2, "2024-01-01 08:00": 1, "2024-01-01 09:00": 1}
 
 
+@pytest.mark.parametrize("hours", [range(6), [5, 0, 4, 1, 3, 2]])
+def test_finished_streams_show_all_windows(spark, make_posts, tmp_path, hours):
+    """One file per batch and more files than two batches take, in order of time or not."""
+    source = str(tmp_path / "in")
+    hour = lambda h: [post(10 * h + i, time=f"2024-01-01 {h:02d}:{i}0:00", user=f"u{i % 3}", sentiment_polarity="4") for i in range(5)]
+    _files(spark, make_posts, source, [hour(h) for h in hours])
+    for series, column, n in ((sentiment_series_stream, "count", 5), (participants_stream, "active_users", 3)):
+        path = str(tmp_path / column)
+        stream = post_stream(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
+        schema = run_to_end(stream, lambda p: series(p, late=UNTIL_END), path)  # noqa: B023
+        rows = spark.read.schema(schema).parquet(f"{path}/out").collect()
+        assert sorted((r.time, r[column]) for r in rows) == [(f"2024-01-01 {h:02d}:00", n) for h in range(6)]
+
+
 def test_streamed_location(spark, tmp_path):
     events = [
         ("r", 1, "t", "enter", "s1", "n1", "main", "", ""),

@@ -11,9 +11,10 @@ Texts of a band, and of a family, are compared in tiles of bounded size. A
 comparison emits no pairs but the edges of a spanning forest, at most one per
 text, and skips texts that it has already connected.
 
-The idf of a shingle is the mean idf of its words. Word counts are kept in a
-table of fixed size, so they are broadcast at any size of the corpus, and a
-large group of copies doesn't make its own shingles weightless.
+The idf of a shingle is the mean idf of its words, so that a large group of
+copies doesn't make its own shingles weightless. Words are counted exactly;
+those of two or more texts are broadcast, and a word that isn't among them is
+known to be in one text.
 """
 
 from __future__ import annotations
@@ -38,35 +39,86 @@ BANDS, BAND_ROWS = 16, 3
 LEAST_SAMPLES = 24
 #: A tile of a band has about so many texts, a tile of a family so many bytes of text.
 BAND_TILE, FAMILY_TILE = 2048, 1 << 20
-#: Word counts are kept in so many slots; words in one slot share their count.
-SLOTS = 1 << 16
+#: A task's word counts go on to the shuffle when there are so many.
+_MOST_COUNTS = 1 << 20
 #: Shingles that are sampled together; their arrays stay in the processor's cache.
 _TOGETHER = 1 << 15
 
 
+class WordIdf:
+    """ln((1 + texts) / (1 + texts with the word)) + 1 of words by their hashes; exact, as absent words are in one text."""
+
+    def __init__(self, words: np.ndarray, n: np.ndarray, texts: int):
+        order = np.argsort(words)
+        self._words, self._n, self.texts = words[order], n[order].astype(np.uint32), texts
+        # Hashes are uniform: their top bits lead to runs of about two words.
+        self._bits = max(1, (len(words) >> 1).bit_length())
+        edges = np.arange(1 << self._bits, dtype=np.uint64) << np.uint64(64 - self._bits)
+        self._first = np.append(np.searchsorted(self._words, edges), len(words)).astype(np.uint32)
+
+    def counts(self, words: np.ndarray) -> np.ndarray:
+        """In how many texts each word is."""
+        out = np.ones(len(words), np.uint32)
+        run = (words >> np.uint64(64 - self._bits)).astype(np.int64)
+        at, end, left = self._first[run].astype(np.int64), self._first[run + 1], np.arange(len(words))
+        while True:
+            more = np.flatnonzero(at < end)
+            if not len(more):
+                return out
+            at, end, left = at[more], end[more], left[more]
+            here = self._words[at]
+            hit = here == words[left]
+            out[left[hit]] = self._n[at[hit]]
+            on = here < words[left]
+            at, end, left = at[on] + 1, end[on], left[on]
+
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        return np.log((1 + self.texts) / (1.0 + self.counts(words))) + 1
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (slot, n): in how many texts each slot's words are; slot -1 counts texts with words."""
-    total, texts = np.zeros(SLOTS, np.int64), 0
+    """Rows (word, n): in how many texts each word is; a null word counts texts with words."""
+    texts, held, size = 0, [], 0
+
+    def summed(held: list) -> tuple[np.ndarray, np.ndarray]:
+        words, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        return words, np.bincount(at, np.concatenate([h[1] for h in held])).astype(np.int64)
+
+    def rows(words: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+
     for batch in parts_of(batches):
         for _, _, data, offsets in text_slices(batch["text"]):
-            words, rows = word_hashes(data, offsets)
-            row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-            slot = (words >> np.uint64(48)).astype(np.int64)
-            seen = np.unique(row * SLOTS + slot) % SLOTS
-            total += np.bincount(seen, minlength=SLOTS)
-            texts += int(np.count_nonzero(np.diff(rows)))
-    used = np.flatnonzero(total)
-    slots = np.append(used, -1).astype(np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.append(total[used], texts))], ["slot", "n"])
-
-
-def word_idf(docs: DataFrame) -> np.ndarray:
-    """ln((1 + texts) / (1 + texts with the word)) + 1 by slot, over all documents; 65,537 rows reach the driver."""
-    rows = docs.select(text_or_empty().alias("text")).mapInArrow(_counts, "slot int, n long")
-    n = np.zeros(SLOTS + 1)
-    for r in rows.groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        n[r.slot] = r.n
-    return np.log((1 + n[-1]) / (1 + n[:-1])) + 1
+            hashes, first = word_hashes(data, offsets)
+            texts += int(np.count_nonzero(np.diff(first)))
+            if not len(hashes):
+                continue
+            words, at = np.unique(hashes, return_inverse=True)
+            row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            seen = np.unique(row * len(words) + at) % len(words)
+            held.append((words, np.bincount(seen, minlength=len(words))))
+            size += len(words)
+            if size > _MOST_COUNTS:
+                held = [summed(held)]
+                size = len(held[0][0])
+                if size > _MOST_COUNTS // 2:
+                    yield rows(*held[0])
+                    held, size = [], 0
+    if held:
+        yield rows(*summed(held))
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([texts])], ["word", "n"])
+
+
+def word_idf(docs: DataFrame) -> WordIdf:
+    """The idf of words over all documents; the words of two or more texts, 12 bytes each, reach the driver."""
+    rows = docs.select(text_or_empty().alias("text")).mapInArrow(_counts, "word long, n long")
+    sums = rows.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1 or word is null")
+    found = sums.select("word", F.col("n").cast("int").alias("n"), F.when(F.col("word").isNull(), F.col("n")).alias("texts")).toArrow()
+    words, n, texts = (found[c].combine_chunks() for c in ("word", "n", "texts"))
+    some = words.is_valid()
+    return WordIdf(
+        words.filter(some).to_numpy().view(np.uint64), n.filter(some).to_numpy(), sum(texts.drop_null().to_pylist())
+    )
 
 
 class Sampler:
@@ -260,7 +312,7 @@ def _similar_texts(idf: Broadcast, threshold: float):
 class Shingled:
     """The weighted shingle sets of some texts, for comparing one with many."""
 
-    def __init__(self, texts: list[str], idf: np.ndarray):
+    def __init__(self, texts: list[str], idf: WordIdf):
         parts = [
             shingles(*word_hashes(data, offsets), idf)
             for _, _, data, offsets in text_slices(pa.array(texts, pa.large_string()))

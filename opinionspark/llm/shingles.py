@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,12 +87,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return words, np.searchsorted(starts, offsets)
 
 
-def shingles(words: np.ndarray, rows: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(
+    words: np.ndarray, rows: np.ndarray, idf: Callable[[np.ndarray], np.ndarray]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, weights, first of each row) of the distinct shingles of each row, sorted by hash within a row.
 
     A shingle is five words in a row; a text of fewer words is one shingle. Its
     weight is tf * idf: how often the row has it times the mean idf of its
-    words, which the table ``idf`` gives by the top bits of their hashes.
+    words, which ``idf`` gives by their hashes.
     """
     counts = np.diff(rows)
     per_row = np.where(counts >= SHINGLE_WORDS, counts - SHINGLE_WORDS + 1, np.minimum(counts, 1))
@@ -101,7 +103,7 @@ def shingles(words: np.ndarray, rows: np.ndarray, idf: np.ndarray) -> tuple[np.n
     at = rows[:-1][row] + np.arange(len(row)) - first[:-1][row]
     if not len(at):
         return np.zeros(0, np.uint64), np.zeros(0), np.zeros(len(rows), np.int64)
-    own = idf[(words >> _U(64 - (len(idf) - 1).bit_length())).astype(np.int64)]
+    own = idf(words)
     size = np.minimum(counts[row], SHINGLE_WORDS)
     hashes, weights = np.zeros(len(at), np.uint64), np.zeros(len(at))
     for k in range(SHINGLE_WORDS):

@@ -1,8 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,25 @@ def test_samples_agree_as_often_as_texts_are_similar():
     assert abs((drawn[0] == drawn[1]).mean() - similarity) < 0.08
 
 
+def test_words_have_their_own_counts(spark, docs, monkeypatch):
+    """Weights against counts of the words themselves, with more words than any small table has slots."""
+    rng = random.Random(4)
+    rows = [(i, " ".join([f"w{rng.randint(0, 90_000)}" for _ in range(900)] + ["all", f"p{i % 60}"])) for i in range(120)]
+    rows += [(1000, None), (1001, " "), (1002, "all all")]
+    df = Counter(w for _, t in rows for w in set((t or "").split()))
+    data = " ".join(df).encode()
+    hashes, _ = word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    expected = [math.log(122 / (1 + df[w])) + 1 for w in df]
+    for most in (minhash._MOST_COUNTS, 1 << 12):
+        monkeypatch.setattr(minhash, "_MOST_COUNTS", most)
+        assert minhash.word_idf(docs(rows))(hashes) == pytest.approx(expected, abs=1e-12)
+    text = np.frombuffer(b"all p1 w5 p2 all", np.uint8)
+    _, weights, _ = shingles(*word_hashes(text, np.array([0, 16])), minhash.word_idf(docs(rows)))
+    known = dict(zip(df, expected))
+    once = math.log(122 / 2) + 1
+    assert weights == pytest.approx([sum(known.get(w, once) for w in ("all", "p1", "w5", "p2", "all")) / 5])
+
+
 def brute_removed(rows):
     first = {}
     size = suffixes.LENGTH

@@ -23,8 +23,9 @@ from .shingles import mixed, text_slices, word_edges, word_hashes
 
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 32, 16
-#: The sample that is learned from: texts of each class, and windows of one of them.
-PER_CLASS, MOST_WINDOWS = 1500, 32
+#: The sample that is learned from: texts of each class, and windows of one of them, spread over its whole length.
+#: So many windows hold all words of a text of up to 2064 words.
+PER_CLASS, MOST_WINDOWS = 1500, 128
 #: Words in at least so many texts of the sample have embeddings of their own, the most frequent ones.
 LEAST_TEXTS, MOST_WORDS = 5, 8192
 TRIGRAMS, WORD_SIZE, CHAR_SIZE, HIDDEN, GATE = 4096, 12, 12, 12, 8
@@ -196,27 +197,39 @@ class Network:
         return out
 
 
-def _vocabulary(words: Words) -> np.ndarray:
-    """Hashes of the most frequent words of at least LEAST_TEXTS texts, sorted."""
-    row = np.repeat(np.arange(len(words.rows) - 1), np.diff(words.rows))
+def _vocabulary(words: Words, text: np.ndarray) -> np.ndarray:
+    """Hashes of the most frequent words of at least LEAST_TEXTS texts, sorted; ``text`` numbers the text of each row."""
+    row = np.repeat(text, np.diff(words.rows))
     seen = np.unique(row * (len(words.hashes) + 1) + words.index) % (len(words.hashes) + 1)
     texts = np.bincount(seen, minlength=len(words.hashes))
     order = np.argsort(-texts, kind="stable")[:MOST_WORDS]
     return np.sort(words.hashes[order[texts[order] >= LEAST_TEXTS]])
 
 
-def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> Network:
-    """A network of labelled texts, whose classes have the same total weight."""
-    column = pa.array(texts, pa.large_string())
+def spread_windows(data: np.ndarray, most: int) -> list[str]:
+    """At most ``most`` windows of a text's bytes, evenly from its first to its last; one empty one without words."""
+    starts, ends = word_edges(_PLAIN[data], np.array([0, len(data)]))
+    if not len(starts):
+        return [""]
+    windows = max(1, -(-(len(starts) - WINDOW) // STRIDE) + 1)
+    first = np.linspace(0, windows - 1, min(windows, most)).astype(np.int64) * STRIDE
+    last = np.minimum(first + WINDOW, len(starts)) - 1
+    return [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[first], ends[last])]
+
+
+def train(texts: list[list[str]], y: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> Network:
+    """A network of labelled texts, each a list of windows, whose classes have the same total weight."""
+    column = pa.array([w for t in texts for w in t], pa.large_string())
     slices = list(text_slices(column, 1 << 62))
     if not slices:
         return Network(np.zeros(0, np.uint64))
     words = Words(slices[0][2], slices[0][3])
-    network = Network(_vocabulary(words))
+    sizes = [len(t) for t in texts]
+    network = Network(_vocabulary(words, np.repeat(np.arange(len(texts)), sizes)))
     known = network.known(words)
-    windows, length, first = words.windows()
+    windows, length, _ = words.windows()
     draw = np.random.Generator(np.random.PCG64(seed))
-    own = [np.sort(draw.permutation(np.arange(a, b))[:MOST_WINDOWS]) for a, b in zip(first[:-1], first[1:])]
+    own = np.split(np.arange(len(windows)), np.cumsum(sizes)[:-1])
     share = min(max(float(np.mean(y)), 0.01), 0.99)
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     adam = Adam(network.weights, 0.01, 1e-6)
@@ -249,25 +262,37 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 2)
     return network
 
 
-def learned(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
-    """The network of at most ``2 * per_class`` labelled texts; of each, the first 16,384 characters reach the driver."""
-    sample = labelled_sample(docs, labels, "toxic", per_class)
-    rows = sample.select("doc_id", F.substring("text", 1, 16384).alias("text"), "y").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return train([r.text for r in rows], np.array([r.y for r in rows], dtype=np.float32))
+def learned(
+    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_windows: int = MOST_WINDOWS
+) -> Network:
+    """The network of at most ``2 * per_class`` labelled texts; of each, ``most_windows`` windows reach the driver."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts_of(batches):
+            found = [spread_windows(d, most_windows) for _, _, d, _ in text_slices(batch["text"], 0)]
+            windows = pa.array(found, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], windows, batch["y"]], ["doc_id", "windows", "y"])
+
+    sample = labelled_sample(docs, labels, "toxic", per_class).select("doc_id", "text", "y")
+    rows = sample.mapInArrow(cut, "doc_id long, windows array<string>, y double").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.windows))
+    return train([r.windows for r in rows], np.array([r.y for r in rows], dtype=np.float32))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+def toxicity_scores(
+    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_windows: int = MOST_WINDOWS
+) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document, from all windows of its whole text.
 
     score: 0 to 1, higher the likelier the text is toxic; predicted: 1 from 0.5
     on. Only the text is scored. A null or empty text is one window without
     words. A null doc_id is scored and not held out. Repeated rows are scored
     alike, no documents give no rows, without labels every score is that of an
-    untrained network, and other columns are ignored. Training reads the first
-    16,384 characters of its texts, scoring all.
+    untrained network, and other columns are ignored. Training takes
+    ``most_windows`` windows of a text, spread from its first to its last word,
+    or all if it has no more; scoring takes all.
     """
-    network = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, per_class))
+    network = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, per_class, most_windows))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches):

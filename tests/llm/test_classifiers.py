@@ -9,7 +9,7 @@ import pytest
 from opinionspark.llm import quality, toxicity
 from opinionspark.llm.queries import QUERIES
 
-LARGER = "/root/testdata/sf0.01"
+LARGER, ENOUGH = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 ODD = [(1, None), (2, ""), (3, " \n"), (4, "word"), (None, "no id"), (6, "x " * 50_000), (7, "é" * 3000), (8, "a b"), (8, "a b")]
 
 
@@ -39,6 +39,46 @@ def test_held_out_accuracy(spark, name, label, least):
     assert (unseen.predicted == unseen[label]).mean() >= least
 
 
+def of_toxic_class(rows):
+    """(recall, precision) of rows (predicted, known)."""
+    hits = sum(p and k for p, k in rows)
+    return hits / max(1, sum(k for _, k in rows)), hits / max(1, sum(p for p, _ in rows))
+
+
+@pytest.mark.skipif(not os.path.isdir(ENOUGH), reason="no test tables here")
+def test_toxic_texts_are_found(spark):
+    """On a table with 97 held-out toxic texts; a smaller one has 6, too few to tell."""
+    got = QUERIES["op9_toxicity"](spark, ENOUGH).toPandas()
+    unseen = got[got.held_out].merge(pd.read_parquet(f"{ENOUGH}/labels.parquet"), on="doc_id")
+    recall, precision = of_toxic_class(list(zip(unseen.predicted, unseen.toxic)))
+    assert recall >= 0.85 and precision >= 0.7
+
+
+def test_insults_late_in_long_texts_are_learned(spark, docs):
+    """Words that make a text toxic stand beyond its first 16,384 characters, and in one part of it only."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(300):
+        words = [f"{'bcdfgh'[a]}{'aeiou'[b]}{'lmnrst'[c]}" for a, b, c in rng.integers(0, [6, 5, 6], (4600, 3))]
+        if i % 2:
+            at = int(rng.integers(4200, 4400))
+            words[at : at + 200] = ["quazzy"] * 200
+        rows.append((i, " ".join(words)))
+    marks = labels(spark, [(i, None, i % 2, "") for i in range(300)])
+    got = [r for r in toxicity.toxicity_scores(docs(rows), marks).collect() if r.held_out]
+    recall, precision = of_toxic_class([(r.predicted, r.doc_id % 2) for r in got])
+    assert recall >= 0.9 and precision >= 0.9
+
+
+def test_windows_of_training_span_the_text():
+    text = " ".join(f"w{i}" for i in range(9000))
+    windows = toxicity.spread_windows(np.frombuffer(text.encode(), np.uint8), 7)
+    assert len(windows) == 7 and windows[0].startswith("w0 ") and windows[-1].endswith(" w8999")
+    starts = [int(w.split()[0][1:]) for w in windows]
+    assert max(np.diff(starts)) - min(np.diff(starts)) <= toxicity.STRIDE
+    assert toxicity.spread_windows(np.zeros(0, np.uint8), 7) == [""]
+
+
 def test_accepted_keeps_columns(spark, docs):
     marks = labels(spark, [(1, 1, 0, "x")])
     got = quality.accepted(docs(ODD), marks)

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, mixing, packing, quality, rules, suffixes, topk, toxicity, warc
+from . import (
+    chat,
+    language,
+    lexical,
+    merkle,
+    minhash,
+    mixing,
+    packing,
+    quality,
+    rules,
+    suffixes,
+    topk,
+    toxicity,
+    warc,
+)
 from .common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,10 +43,17 @@ QUERIES: dict[str, Query] = {
     ),
     "op7_warc": lambda spark, d: warc.archive_pages(table(spark, d, "pages")),
     "op8_quality_rules": lambda spark, d: rules.quality_rules(table(spark, d, "documents")),
+    "op11_ranked_search": lambda spark, d: lexical.ranked_search(
+        table(spark, d, "documents"), table(spark, d, "benchmark")
+    ),
+    "op12_merkle_manifest": lambda spark, d: merkle.manifest_proofs(table(spark, d, "documents")),
+    "op13_language_id": lambda spark, d: language.languages(table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
     "op4_exact_top_k": topk.TOP_K_SQL,
     "op7_warc": warc.PAGES_SQL,
     "op1_chat_formatting": chat.DIGESTS_SQL,
+    "op11_ranked_search": lexical.SEARCH_SQL,
+    "op12_merkle_manifest": merkle.PROOFS_SQL,
 }

@@ -27,7 +27,7 @@ ODD_TEXTS = [None, "", " \n ", "word", "a\x0bb c\x1cd", "x " * 30_000, "#*$%&|<
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "conversations"):
+    for table in ("documents", "embeddings", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{TESTDATA}/{table}.parquet'")
     frame = QUERIES[name](spark, TESTDATA)
     result = con.execute(ORACLES[name])

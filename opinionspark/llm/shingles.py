@@ -79,12 +79,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     starts, ends = word_edges(data, offsets)
+    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from each start to its end, wherever they stand."""
+    n = len(data)
     powers, inverse = _power_tables(n)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_BYTE[data] * powers[:n], out=sums[1:])
-    words = mixed((sums[ends] - sums[starts]) * inverse[starts])
-    return words, np.searchsorted(starts, offsets)
+    return mixed((sums[ends] - sums[starts]) * inverse[starts])
 
 
 def shingles(

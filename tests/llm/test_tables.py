@@ -11,6 +11,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from conftest import TESTDATA
 from opinionspark.llm import mixing, packing, rules, topk, warc
 from opinionspark.llm.common import tokenizer_path
 from opinionspark.llm.queries import ORACLES, QUERIES
+from opinionspark.llm.shingles import text_slices
 
 ODD_TEXTS = [None, "", " \n ", "word", "a\x0bb c\x1cd", "x " * 30_000, "#*$%&|<> " * 70, "same line\n" * 40, "é ü\r\nß " * 30]
 
@@ -230,6 +232,41 @@ def test_packing(spark, docs):
     assert packing.pack_documents(docs([]), path).collect() == []
 
 
+def test_units_give_the_ids_of_whole_texts():
+    encoder = packing.UnitEncoder(tokenizer_path("word_bpe_49k.json"))
+    assert encoder.by_units
+    rng = random.Random(3)
+    some = [*"abcXYZ0129 \n\t.,!'-<|>éÉßÿ×÷ñÑ", "\u0301", "\x0b", "\x1c", "\xa0", "\u3000", "漢", "ǅ", "İ", "ﬁ", "'s", "<|endoftext|>", "\x00", "\x85", "😀", "ª", "Ⅷ"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    for most in (1 << 10, 1 << 21):
+        for first, _, data, offsets in text_slices(pa.array(texts), most):
+            ids, rows = encoder.encode(data, offsets)
+            for k, (a, b) in enumerate(zip(rows[:-1], rows[1:])):
+                assert ids[a:b].tolist() == encoder.whole(texts[first + k]), texts[first + k]
+    assert not packing.UnitEncoder(tokenizer_path("byte_bpe_50k.json")).by_units
+
+
+def test_units_are_forgotten_by_age(monkeypatch):
+    monkeypatch.setattr(packing, "_REMEMBERED", 3)
+    encoder = packing.UnitEncoder(tokenizer_path("word_bpe_49k.json"))
+    for text in ("some words, some", "other words", "yet more of them", "words and others", "some"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert encoder.encode(data, np.array([0, len(data)]))[0].tolist() == encoder.whole(text)
+        assert len(encoder._young.keys) <= 3
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_other_tokenizers(docs, name):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path(name))
+    rows = [(1, "Some CASED words, É"), (2, None), (3, " a  b ")]
+    got = {r.doc_id: r.ids_crc32 for r in packing.pack_documents(docs(rows), tokenizer_path(name)).collect()}
+    for i, t in rows:
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        assert got[i] == zlib.crc32(ids.tobytes())
+
+
 def exact_bins(lengths, size):
     best = len(lengths)
 
@@ -250,19 +287,53 @@ def exact_bins(lengths, size):
     return best
 
 
-def test_plans_are_near_the_optimum():
+def test_small_plans_are_optimal():
     rng = random.Random(1)
-    worse = 0
-    for _ in range(60):
-        lengths = [rng.randint(1, 20) for _ in range(9)]
-        plan = packing.plan_sequences(Counter(lengths), 20)
+    saved = 0
+    for case in range(120):
+        lengths = [rng.randint(1, 20) if case % 2 else rng.choice([3, 6, 7, 8, 9, 11, 13]) for _ in range(9 + case % 3)]
+        plan = packing.plan_sequences(Counter(lengths), 20, None)
         used = Counter()
         for sequence, times in plan:
             assert sum(sequence) <= 20
             used.update({n: c * times for n, c in Counter(sequence).items()})
         assert used == Counter(lengths)
-        worse += sum(t for _, t in plan) - exact_bins(lengths, 20)
-    assert worse <= 2
+        needed = exact_bins(lengths, 20)
+        assert sum(t for _, t in plan) == needed
+        counts = np.bincount(lengths, minlength=21)
+        assert packing.least_sequences(counts, 20) <= needed
+        saved += sum(t for _, t in packing.best_fit_plan(Counter(lengths), 20)) - needed
+    assert saved > 0  # the search found what best fit doesn't
+
+
+def test_fillings_are_undominated():
+    rng = random.Random(2)
+    for _ in range(60):
+        lengths = [rng.randint(1, 12) for _ in range(7)]
+        counts = np.bincount(lengths, minlength=13)
+        got = [tuple(f) for f in packing.Completion(12, None).fillings(counts, 12, 12)]
+        every = {tuple(sorted((n for k, n in enumerate(lengths) if m >> k & 1), reverse=True)) for m in range(128)}
+        for f in (f for f in every if sum(f) <= 12):
+            outside = Counter(lengths) - Counter(f)
+            parts = [[n for k, n in enumerate(f) if m >> k & 1] for m in range(1 << len(f))]
+            better = any(
+                sum(p) <= y <= sum(p) + 12 - sum(f) and (y > sum(p) or len(p) > 1) for y in outside for p in parts
+            )
+            assert (f in got) != better
+        assert len(got) == len(set(got))
+
+
+def test_searches_end():
+    rng = random.Random(0)
+    hard = Counter(rng.randint(300, 1100) for _ in range(120))
+    best = sum(t for _, t in packing.best_fit_plan(hard, 2048))
+    plan = packing.plan_sequences(hard, steps=20_000)
+    assert sum(t for _, t in plan) <= best
+    assert sum((Counter({n: c * t for n, c in Counter(q).items()}) for q, t in plan), Counter()) == hard
+
+
+def test_large_plans_are_near_the_bound():
+    rng = random.Random(1)
     big = Counter(min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(100_000))
     plan = packing.plan_sequences(big)
     assert sum(t for _, t in plan) <= 1.001 * sum(n * c for n, c in big.items()) / 2048 + 1

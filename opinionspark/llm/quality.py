@@ -20,8 +20,8 @@ from .shingles import text_slices, word_hashes, word_starts
 
 #: Words of a passage.
 PASSAGE = 64
-#: The sample that is learned from: documents of each class, and passages of one of them.
-PER_CLASS, MOST_PASSAGES = 3000, 64
+#: The sample that is learned from: documents of each class at most, and bytes of their texts, each taken whole.
+PER_CLASS, SAMPLE_BYTES = 3000, 1 << 24
 HIDDEN, GATE, EPOCHS = 24, 12, 40
 THRESHOLD = 0.3
 
@@ -141,31 +141,35 @@ class AttentionModel:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, y, n, bag): the passages of each row, of long rows as many as are learned from, evenly chosen."""
-    for batch in batches:
+    """(doc_id, y, bag): all passages of each row."""
+    for batch in parts_of(batches):
         bags = []
         for _, _, data, offsets in text_slices(batch["text"]):
             x, first = passages(data, offsets)
             for a, b in zip(first[:-1], first[1:]):
-                some = np.unique(np.linspace(a, b - 1, min(b - a, MOST_PASSAGES)).round().astype(int))
-                bags.append(x[some].tobytes())
+                bags.append(x[a:b].tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch["doc_id"], batch["y"], pa.array(bags, pa.binary())], ["doc_id", "y", "bag"]
         )
 
 
-def learned(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> AttentionModel:
-    """The model of at most ``2 * per_class`` labelled documents; their passages reach the driver."""
-    sample = labelled_sample(docs, labels, "quality", per_class)
+def learned(
+    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES
+) -> AttentionModel:
+    """The model of at most ``per_class`` labelled documents and ``sample_bytes`` of text a class.
+
+    The passages' features reach the driver, under half as many bytes as the texts have.
+    """
+    sample = labelled_sample(docs, labels, "quality", per_class, sample_bytes).select("doc_id", "text", "y")
     rows = sample.mapInArrow(_bags, "doc_id long, y double, bag binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.bag)))
     bags = [np.frombuffer(r.bag, np.float32).reshape(-1, FEATURES) for r in rows]
     return AttentionModel().fit(bags, np.array([r.y for r in rows]))
 
 
-def _scored(docs: DataFrame, labels: DataFrame, per_class: int, *columns: str) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, sample: tuple[int, int], *columns: str) -> DataFrame:
     """(_row, _score): the named columns of each document, and its score."""
-    model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, per_class))
+    model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, *sample))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches):
@@ -180,17 +184,20 @@ def _scored(docs: DataFrame, labels: DataFrame, per_class: int, *columns: str) -
     return rows.mapInArrow(score, f"_row {kind}, _score double")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+def quality_scores(
+    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES
+) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document, from its whole text.
 
     score: 0 to 1, higher the likelier the label is 1; predicted: 1 from 0.3 on.
     Only the text is scored. A null or empty text is one empty passage. A null
     doc_id is scored and not held out. Repeated rows are scored alike, no
     documents give no rows, without labels every score is that of an untrained
-    model, and other columns are ignored.
+    model, and other columns are ignored. ``per_class`` and ``sample_bytes``
+    bound the labelled rows that are learned from, each of them whole.
     """
     doc_id, score = F.col("_row.doc_id"), F.col("_score")
-    return _scored(docs, labels, per_class, "doc_id").select(
+    return _scored(docs, labels, (per_class, sample_bytes), "doc_id").select(
         doc_id.alias("doc_id"),
         F.coalesce(held_out(doc_id), F.lit(False)).alias("held_out"),
         score.alias("score"),
@@ -198,7 +205,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     )
 
 
-def accepted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """The documents that are predicted to have label 1, with all their columns."""
-    scored = _scored(docs, labels, per_class, *docs.columns)
+def accepted(
+    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES
+) -> DataFrame:
+    """The documents that are predicted to have label 1, with all their columns.
+
+    Null and empty texts are judged as ``quality_scores`` judges them, repeated
+    rows alike, and a table without rows gives none; a column may have any name but ``_row``, ``_text`` and ``_score``.
+    """
+    scored = _scored(docs, labels, (per_class, sample_bytes), *docs.columns)
     return scored.filter(F.col("_score") >= THRESHOLD).select("_row.*")

@@ -23,9 +23,8 @@ from .shingles import mixed, text_slices, word_edges, word_hashes
 
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 32, 16
-#: The sample that is learned from: texts of each class, and windows of one of them, spread over its whole length.
-#: So many windows hold all words of a text of up to 2064 words.
-PER_CLASS, MOST_WINDOWS = 1500, 128
+#: The sample that is learned from: texts of each class at most, and bytes of them, each taken whole.
+PER_CLASS, SAMPLE_BYTES = 1500, 1 << 23
 #: Words in at least so many texts of the sample have embeddings of their own, the most frequent ones.
 LEAST_TEXTS, MOST_WORDS = 5, 8192
 TRIGRAMS, WORD_SIZE, CHAR_SIZE, HIDDEN, GATE = 4096, 12, 12, 12, 8
@@ -38,7 +37,45 @@ _PLAIN[65:91] += 32
 
 
 class Words:
-    """The distinct words of a slice of texts: which word stands where, and each word's character trigrams."""
+    """The distinct words of some texts: which word stands where, and each word's character trigrams."""
+
+    hashes: np.ndarray
+    #: Trigrams of word i are ``trigrams[first[i]:first[i + 1]]``.
+    first: np.ndarray
+    trigrams: np.ndarray
+    #: The word at each place, and the first place of each row.
+    index: np.ndarray
+    rows: np.ndarray
+
+    @classmethod
+    def merged(cls, parts: list[Words]) -> Words:
+        """The words of several slices, whose rows follow each other."""
+        made = cls.__new__(cls)
+        made.hashes, sample, where = np.unique(
+            np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True
+        )
+        size = np.concatenate([np.diff(p.first) for p in parts])
+        begin = np.cumsum(size) - size
+        made.first = np.concatenate(([0], np.cumsum(size[sample])))
+        inner = np.arange(int(made.first[-1])) - np.repeat(made.first[:-1], size[sample])
+        made.trigrams = np.concatenate([p.trigrams for p in parts])[np.repeat(begin[sample], size[sample]) + inner]
+        offset = np.cumsum([0] + [len(p.hashes) for p in parts])
+        made.index = np.concatenate([where[o : o + len(p.hashes)].astype(np.int32)[p.index] for p, o in zip(parts, offset)])
+        places = np.cumsum([0] + [len(p.index) for p in parts])
+        made.rows = np.concatenate([[0], *[p.rows[1:] + o for p, o in zip(parts, places)]])
+        return made
+
+    def packed(self) -> dict[str, bytes]:
+        """What a task sends of them."""
+        kinds = {"hashes": "<u8", "first": "<i4", "trigrams": "<u2", "index": "<i4", "rows": "<i4"}
+        return {k: getattr(self, k).astype(t).tobytes() for k, t in kinds.items()}
+
+    @classmethod
+    def unpacked(cls, sent: dict[str, bytes]) -> Words:
+        made = cls.__new__(cls)
+        for k, t in {"hashes": "<u8", "first": "<i4", "trigrams": "<u2", "index": "<i4", "rows": "<i4"}.items():
+            setattr(made, k, np.frombuffer(sent[k], t))
+        return made
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         lower = _PLAIN[data]
@@ -56,7 +93,7 @@ class Words:
         text[at] = lower[np.repeat(starts, size - 2) + inner]
         self.trigrams = (
             mixed((text[at - 1] << _U(16)) | (text[at] << _U(8)) | text[at + 1]) % _U(TRIGRAMS)
-        ).astype(np.int64)
+        ).astype(np.uint16)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(words of each window, its length, first window of each row); a row without words has one empty window."""
@@ -69,7 +106,7 @@ class Words:
         at = (self.rows[row] + start)[:, None] + np.arange(WINDOW)
         inside = np.arange(WINDOW) < length[:, None]
         none = len(self.hashes)
-        padded = np.append(self.index, none)
+        padded = np.append(self.index, none).astype(np.int32)
         return np.where(inside, padded[np.minimum(at, len(self.index))], none), length, first
 
 
@@ -115,8 +152,11 @@ class Network:
             out[:-1, WORD_SIZE:] = sums / np.diff(first)[:, None]
         return out
 
-    def _read(self, x: np.ndarray, windows: np.ndarray, inside: np.ndarray, k: str) -> dict[str, list]:
-        """Reads windows (transposed: step by step) in one direction; states stay as they are where words end."""
+    def _read(self, x: np.ndarray, windows: np.ndarray, inside: np.ndarray, k: str, keep: bool) -> dict[str, list]:
+        """Reads windows (transposed: step by step) in one direction; states stay as they are where words end.
+
+        Only with ``keep`` is there more in the result than the states.
+        """
         p, n = self.weights, windows.shape[1]
         projected = x @ p[f"{k}W"] + p[f"{k}B"]
         h = np.zeros((n, HIDDEN), np.float32)
@@ -127,16 +167,18 @@ class Network:
             gates = sigmoid(own[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
             z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
             m = np.tanh(own[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-            out["before"][t], out["z"][t], out["r"][t], out["m"][t], out["u"][t] = h, z, r, m, u[:, 2 * HIDDEN :]
+            if keep:
+                out["before"][t], out["z"][t], out["r"][t], out["m"][t], out["u"][t] = h, z, r, m, u[:, 2 * HIDDEN :]
             h = h + inside[t] * z * (m - h)
             out["h"][t] = h
         return out
 
-    def forward(self, x: np.ndarray, windows: np.ndarray, length: np.ndarray) -> dict:
+    def forward(self, x: np.ndarray, windows: np.ndarray, length: np.ndarray, keep: bool = True) -> dict:
+        """The scores of windows; with ``keep`` also what gradients need."""
         p = self.weights
         steps = np.ascontiguousarray(windows.T)
         inside = (np.arange(WINDOW)[:, None] < length).astype(np.float32)[:, :, None]
-        f, b = self._read(x, steps, inside, "f"), self._read(x, steps, inside, "b")
+        f, b = self._read(x, steps, inside, "f", keep), self._read(x, steps, inside, "b", keep)
         h = np.concatenate((np.stack(f["h"]), np.stack(b["h"])), axis=2)
         g = np.tanh(h @ p["A"])
         e = np.where(inside[:, :, 0] > 0, g @ p["a"], -1e4)
@@ -145,17 +187,22 @@ class Network:
         a = e / e.sum(axis=0)
         pooled = (a[:, :, None] * h).sum(axis=0)
         score = sigmoid(pooled @ p["c"] + p["d"][0])
+        if not keep:
+            return {"score": score}
         return {"steps": steps, "inside": inside, "f": f, "b": b, "h": h, "g": g, "a": a, "pooled": pooled, "score": score}
 
-    def scores(self, words: Words, together: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-        """(score of each window, first window of each row)."""
-        windows, length, first = words.windows()
-        x = self.inputs(self.known(words), words.trigrams, words.first)
+    def window_scores(self, x: np.ndarray, windows: np.ndarray, length: np.ndarray, together: int = 2048) -> np.ndarray:
+        """The score of each window, a bounded number at a time."""
         found = [
-            self.forward(x, windows[i : i + together], length[i : i + together])["score"]
+            self.forward(x, windows[i : i + together], length[i : i + together], keep=False)["score"]
             for i in range(0, len(windows), together)
         ]
-        return (np.concatenate(found) if found else np.zeros(0, np.float32)), first
+        return np.concatenate(found) if found else np.zeros(0, np.float32)
+
+    def scores(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(score of each window, first window of each row)."""
+        windows, length, first = words.windows()
+        return self.window_scores(self.inputs(self.known(words), words.trigrams, words.first), windows, length), first
 
     def gradients(self, known, trigrams, first, windows, length, y, weight) -> dict[str, np.ndarray]:
         p = self.weights
@@ -197,54 +244,33 @@ class Network:
         return out
 
 
-def _vocabulary(words: Words, text: np.ndarray) -> np.ndarray:
-    """Hashes of the most frequent words of at least LEAST_TEXTS texts, sorted; ``text`` numbers the text of each row."""
-    row = np.repeat(text, np.diff(words.rows))
+def _vocabulary(words: Words) -> np.ndarray:
+    """Hashes of the most frequent words of at least LEAST_TEXTS rows, sorted."""
+    row = np.repeat(np.arange(len(words.rows) - 1), np.diff(words.rows))
     seen = np.unique(row * (len(words.hashes) + 1) + words.index) % (len(words.hashes) + 1)
     texts = np.bincount(seen, minlength=len(words.hashes))
     order = np.argsort(-texts, kind="stable")[:MOST_WORDS]
     return np.sort(words.hashes[order[texts[order] >= LEAST_TEXTS]])
 
 
-def spread_windows(data: np.ndarray, most: int) -> list[str]:
-    """At most ``most`` windows of a text's bytes, evenly from its first to its last; one empty one without words."""
-    starts, ends = word_edges(_PLAIN[data], np.array([0, len(data)]))
-    if not len(starts):
-        return [""]
-    windows = max(1, -(-(len(starts) - WINDOW) // STRIDE) + 1)
-    first = np.linspace(0, windows - 1, min(windows, most)).astype(np.int64) * STRIDE
-    last = np.minimum(first + WINDOW, len(starts)) - 1
-    return [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[first], ends[last])]
-
-
-def train(texts: list[list[str]], y: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> Network:
-    """A network of labelled texts, each a list of windows, whose classes have the same total weight."""
-    column = pa.array([w for t in texts for w in t], pa.large_string())
-    slices = list(text_slices(column, 1 << 62))
-    if not slices:
+def train(words: Words | None, y: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> Network:
+    """A network of labelled texts, the rows of ``words``, whose classes have the same total weight."""
+    if words is None:
         return Network(np.zeros(0, np.uint64))
-    words = Words(slices[0][2], slices[0][3])
-    sizes = [len(t) for t in texts]
-    network = Network(_vocabulary(words, np.repeat(np.arange(len(texts)), sizes)))
+    network = Network(_vocabulary(words))
     known = network.known(words)
-    windows, length, _ = words.windows()
+    windows, length, first = words.windows()
     draw = np.random.Generator(np.random.PCG64(seed))
-    own = np.split(np.arange(len(windows)), np.cumsum(sizes)[:-1])
     share = min(max(float(np.mean(y)), 0.01), 0.99)
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     adam = Adam(network.weights, 0.01, 1e-6)
     for epoch in range(epochs):
-        x = network.inputs(known, words.trigrams, words.first)
         if epoch < 2:  # any window of a text may be the one
-            best = np.array([o[draw.integers(len(o))] for o in own])
+            best = first[:-1] + draw.integers(np.diff(first))
         else:
-            flat = np.concatenate(own)
-            found = np.concatenate(
-                [network.forward(x, windows[flat[i : i + 4096]], length[flat[i : i + 4096]])["score"] for i in range(0, len(flat), 4096)]
-            )
-            edges = np.concatenate(([0], np.cumsum([len(o) for o in own])))
-            best = np.array([o[found[a:b].argmax()] for o, a, b in zip(own, edges[:-1], edges[1:])])
-        for some in np.array_split(draw.permutation(len(texts)), max(1, len(texts) // 48)):
+            found = network.window_scores(network.inputs(known, words.trigrams, words.first), windows, length)
+            best = np.array([a + found[a:b].argmax() for a, b in zip(first[:-1], first[1:])])
+        for some in np.array_split(draw.permutation(len(y)), max(1, len(y) // 48)):
             at = windows[best[some]]
             # The batch's distinct words only, so that a step costs as much as its windows.
             used, place = np.unique(at, return_inverse=True)
@@ -263,24 +289,31 @@ def train(texts: list[list[str]], y: np.ndarray, epochs: int = EPOCHS, seed: int
 
 
 def learned(
-    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_windows: int = MOST_WINDOWS
+    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES
 ) -> Network:
-    """The network of at most ``2 * per_class`` labelled texts; of each, ``most_windows`` windows reach the driver."""
+    """The network of at most ``per_class`` labelled texts and ``sample_bytes`` of them a class.
+
+    Tasks number the words of each text; its word numbers and its distinct
+    words' hashes and trigrams reach the driver, no more bytes than the text has
+    but for very short words.
+    """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches):
-            found = [spread_windows(d, most_windows) for _, _, d, _ in text_slices(batch["text"], 0)]
-            windows = pa.array(found, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], windows, batch["y"]], ["doc_id", "windows", "y"])
+            sent = [Words(data, offsets).packed() for _, _, data, offsets in text_slices(batch["text"], 0)]
+            columns = [pa.array([x[k] for x in sent], pa.binary()) for k in kinds]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], *columns], ["doc_id", "y", *kinds])
 
-    sample = labelled_sample(docs, labels, "toxic", per_class).select("doc_id", "text", "y")
-    rows = sample.mapInArrow(cut, "doc_id long, windows array<string>, y double").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.windows))
-    return train([r.windows for r in rows], np.array([r.y for r in rows], dtype=np.float32))
+    kinds = ("hashes", "first", "trigrams", "index", "rows")
+    sample = labelled_sample(docs, labels, "toxic", per_class, sample_bytes).select("doc_id", "text", "y")
+    rows = sample.mapInArrow(numbered, "doc_id long, y double, " + ", ".join(f"{k} binary" for k in kinds)).collect()
+    rows.sort(key=lambda r: r.doc_id)
+    words = Words.merged([Words.unpacked(r.asDict()) for r in rows]) if rows else None
+    return train(words, np.array([r.y for r in rows], dtype=np.float32))
 
 
 def toxicity_scores(
-    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_windows: int = MOST_WINDOWS
+    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document, from all windows of its whole text.
 
@@ -288,11 +321,11 @@ def toxicity_scores(
     on. Only the text is scored. A null or empty text is one window without
     words. A null doc_id is scored and not held out. Repeated rows are scored
     alike, no documents give no rows, without labels every score is that of an
-    untrained network, and other columns are ignored. Training takes
-    ``most_windows`` windows of a text, spread from its first to its last word,
-    or all if it has no more; scoring takes all.
+    untrained network, and other columns are ignored. ``per_class`` and
+    ``sample_bytes`` bound the labelled rows that are learned from; training
+    and scoring take all windows of a text.
     """
-    network = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, per_class, most_windows))
+    network = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, per_class, sample_bytes))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches):

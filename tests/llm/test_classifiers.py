@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import os
+import zlib
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from opinionspark.llm import quality, toxicity
+from opinionspark.llm.learning import labelled_sample
 from opinionspark.llm.queries import QUERIES
 
 LARGER, ENOUGH = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -70,13 +72,33 @@ def test_insults_late_in_long_texts_are_learned(spark, docs):
     assert recall >= 0.9 and precision >= 0.9
 
 
-def test_windows_of_training_span_the_text():
-    text = " ".join(f"w{i}" for i in range(9000))
-    windows = toxicity.spread_windows(np.frombuffer(text.encode(), np.uint8), 7)
-    assert len(windows) == 7 and windows[0].startswith("w0 ") and windows[-1].endswith(" w8999")
-    starts = [int(w.split()[0][1:]) for w in windows]
-    assert max(np.diff(starts)) - min(np.diff(starts)) <= toxicity.STRIDE
-    assert toxicity.spread_windows(np.zeros(0, np.uint8), 7) == [""]
+def test_words_of_training_are_those_of_the_whole_text():
+    texts = [" ".join(f"w{i % 70}" for i in range(9000)), "", "w1 other", "Other w1 "]
+    parts = []
+    for t in texts:
+        sent = toxicity.Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])).packed()
+        parts.append(toxicity.Words.unpacked(sent))
+    merged = toxicity.Words.merged(parts)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    once = toxicity.Words(data, np.cumsum([0, *[len(t) for t in texts]]))
+    for k in ("hashes", "first", "trigrams", "index", "rows"):
+        assert getattr(merged, k).tolist() == getattr(once, k).tolist(), k
+    windows, length, first = merged.windows()
+    assert first.tolist() == [0, 562, 563, 564, 565] and int(length[-4:].sum()) == 9000 - 561 * 16 + 4
+
+
+def test_sample_is_bounded_and_whole(spark, docs):
+    rows = [(i, "word " * (1 + i % 9)) for i in range(400)] + [(5, "a"), (7, "z " * 100_000)]
+    marks = labels(spark, [(i, i % 2, 0, "") for i in range(500)])
+    for most_rows, most_bytes in ((1000, 1 << 30), (20, 1 << 30), (1000, 500), (1000, 0)):
+        got = labelled_sample(docs(rows), marks, "quality", most_rows, most_bytes).collect()
+        assert len({r.doc_id for r in got}) == len(got) and not any(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in got)
+        for y in (0.0, 1.0):
+            own = [r for r in got if r.y == y]
+            assert len(own) <= most_rows and sum(len(r.text) for r in own) <= most_bytes
+            assert len(own) > (most_bytes > 0) * min(most_rows, most_bytes // 45, 150) - 1
+        assert all(r.text in {t for i, t in rows if i == r.doc_id} for r in got)
+    assert labelled_sample(docs([]), marks, "quality", 5, 5).collect() == []
 
 
 def test_accepted_keeps_columns(spark, docs):

@@ -311,6 +311,7 @@ def _participants(label: str) -> str:
 
 ORACLES: dict[str, str] = {
     "read_posts": _NORMAL,
+    "read_posts_array": _NORMAL,
     "normalize_posts": _NORMAL,
     "read_enriched": q(
         "posts_o mentions total_o",
@@ -984,6 +985,14 @@ ORACLES: dict[str, str] = {
 
 # Written and read back, or run as a stream: the same results as above.
 ORACLES["write_results"] = ORACLES["geo_sentiment"]
+ORACLES["read_results"] = " UNION ALL ".join(
+    f"SELECT '{operator}' AS operator, '{frame}' AS frame, {name} AS name, {n} AS n FROM ({ORACLES[operator]})"
+    for operator, frame, name, n in (
+        ("geo_sentiment", "locations", "location", "post_count"),
+        ("sentiment_distribution", "levels", "label", "count"),
+        ("publisher_distribution", "publishers", "publisher", "count"),
+    )
+)
 ORACLES["write_graph"] = q(
     "posts_o signals edges nodes",
     "SELECT * FROM edges UNION ALL SELECT signal, category, co_occurrence_weight, 'node' FROM nodes",

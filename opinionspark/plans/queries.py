@@ -21,6 +21,8 @@ from ..functions.values import (
 from ..operators import documents, geo, graphs, keywords, labels, profile, publishers, sentiment, similarity, timeline, topics, traces
 from ..sources import posts as P
 from ..sources import tables as V
+from ..sources.results import read_results as read_stored_results
+from ..sources.results import save_results
 from ..streaming.enrich import incremental_enrich as incremental_enrich_stream
 from ..streaming.enrich import post_stream
 from ..streaming.location import branch_state_stream, latest_states, locate, store_changes
@@ -103,6 +105,17 @@ def read_posts(spark, d):
     )
 
 
+def read_posts_array(spark, d):
+    """Order posts written as JSON array files and read by the public reader."""
+    path = _scratch(spark)
+    parsed = _raw_lines(spark, d).select(F.from_json("value", P.RAW_POST).alias("p")).select("p.*")
+    P.write_json_arrays(parsed, path)
+    return P.read_posts(spark, path).select(
+        "post_id", "username", F.col("publish_time").cast("string").alias("publish_time"), "location", *_COUNTS,
+        "sentiment_polarity",
+    )
+
+
 def normalize_posts(spark, d):
     parsed = _raw_lines(spark, d).select(F.from_json("value", P.RAW_POST).alias("p")).select("p.*")
     return P.normalize_posts(parsed).select(
@@ -466,8 +479,32 @@ def write_results(spark, d):
     return P.read_result(spark, path)
 
 
+def read_results(spark, d):
+    """Three operators' results, saved as one run over an earlier one and read back by name."""
+    path = _scratch(spark)
+    posts = V.order_posts(spark, d, "location", "sentiment_polarity", "publisher", *_COUNTS)
+    frames = {
+        "geo_sentiment": {"locations": geo.geo_sentiment(posts)},
+        "sentiment_distribution": {"levels": sentiment.sentiment_distribution(posts)},
+        "publisher_distribution": {"publishers": publishers.publisher_distribution(posts)},
+    }
+    save_results(spark, path, "first", {"geo_sentiment": {"locations": frames["geo_sentiment"]["locations"].limit(0)}})
+    save_results(spark, path, "second", frames)
+    wanted = {"geo_sentiment": ("location", "post_count"), "sentiment_distribution": ("label", "count"), "publisher_distribution": ("publisher", "count")}
+    found = None
+    for operator, (name, n) in wanted.items():
+        for frame, rows in read_stored_results(spark, path, operator).items():
+            own = rows.select(
+                F.lit(operator).alias("operator"), F.lit(frame).alias("frame"), F.col(name).alias("name"), F.col(n).alias("n")
+            )
+            found = own if found is None else found.unionByName(own)
+    return found
+
+
 def write_enriched(spark, d):
+    """The table's second version, read back by publish date."""
     path = _scratch(spark)
+    P.write_enriched(V.event_posts(spark, d).limit(0), path)
     P.write_enriched(V.event_posts(spark, d), path)
     stored = P.read_result(spark, path)
     return stored.groupBy(F.col("publish_date").cast("string").alias("publish_date")).agg(
@@ -479,10 +516,11 @@ def write_graph(spark, d):
     path = _scratch(spark)
     posts = V.order_posts(spark, d, "belief_signals", *_COUNTS)
     P.write_graph(graphs.belief_nodes(posts), graphs.belief_edges(posts), path)
-    edges = spark.read.schema("source STRING, target STRING, weight DOUBLE, type STRING")
-    nodes = spark.read.schema("signal STRING, category STRING, co_occurrence_weight DOUBLE")
-    stored = edges.option("header", True).csv(f"{path}/edges")
-    known = nodes.option("header", True).csv(f"{path}/nodes").select(
+    nodes, stored = P.read_graph(
+        spark, path, "signal STRING, category STRING, co_occurrence_weight DOUBLE",
+        "source STRING, target STRING, weight DOUBLE, type STRING",
+    )
+    known = nodes.select(
         F.col("signal").alias("source"),
         F.col("category").alias("target"),
         F.col("co_occurrence_weight").alias("weight"),
@@ -543,6 +581,7 @@ _EVENT_COLUMNS = ("run_id", "seq", "event", "node", "branch_id", "status")
 QUERIES: dict[str, Query] = {
     # sources
     "read_posts": read_posts,
+    "read_posts_array": read_posts_array,
     "read_enriched": enhancement_rate,
     "read_vocab": read_vocab,
     "resume_enrichment": resume_enrichment,
@@ -551,6 +590,7 @@ QUERIES: dict[str, Query] = {
     "cap_images": _orders("image_urls")(P.cap_images_stats),
     "write_enriched": write_enriched,
     "write_results": write_results,
+    "read_results": read_results,
     "write_graph": write_graph,
     "incremental_enrich": incremental_enrich,
     # normalisation

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.values import percent
+from .json_records import read_objects
+from .snapshots import read_snapshot, version_folder, write_snapshot, write_version
 from .schema import BELIEF, ENRICHED_FIELDS, FILE_POST, POST_KEY, RAW_POST, TOPIC, VARIED
 
 
@@ -88,7 +93,7 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
 
     The place doesn't depend on how files are split into tasks.
     """
-    rows = spark.read.parquet(path)
+    rows = read_snapshot(spark, path)
     if "post_id" not in rows.columns:
         rows = rows.withColumn("post_id", F.lit(None).cast("long"))
     placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
@@ -100,20 +105,38 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_posts(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Posts from a JSON array file (``json``), JSON lines (``jsonl``), or Parquet.
+    """Posts from JSON array files (``json``), JSON lines (``jsonl``), or Parquet.
 
     A broken record is an error: no post is lost in silence. ``json_rejects``
     lists the broken lines of JSON lines. Scalars where lists belong, and all
     spellings of belief entries, are read alike.
 
-    JSON posts without an id get one from partition and row position, so keep
-    a stored table (``write_enriched``) when ids must stay the same. A JSON
-    array file is one task; JSON lines and Parquet are the forms for large data.
+    Arrays are read by many tasks, wherever their lines end, see
+    ``json_records``; JSON posts are stored as Parquet below the shared folder
+    once. Posts without an id get their place: the bytes, or for Parquet the rows,
+    ahead of them, files in order of their names, whatever the splits.
     """
     if fmt == "parquet":
         return normalize_posts(_numbered(spark, path))
-    raw = spark.read.schema(FILE_POST).option("multiLine", fmt == "json").option("mode", "FAILFAST").json(path)
-    return normalize_posts(shaped(raw.withColumn("post_id", F.coalesce("post_id", F.monotonically_increasing_id()))))
+    found = read_objects(spark, path, FILE_POST).select("object.*", "place")
+    return normalize_posts(shaped(found.withColumn("post_id", F.coalesce("post_id", "place")).drop("place")))
+
+
+def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    mark = "["
+    for batch in batches:
+        lines = []
+        for value in batch["value"].to_pylist():
+            lines.append(mark + value)
+            mark = ","
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if mark == "[" else "]"])], ["value"])
+
+
+def write_json_arrays(rows: DataFrame, path: str) -> None:
+    """Rows as JSON arrays, one file for each partition, with an object on each line; nulls are left out."""
+    objects = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+    objects.mapInArrow(_array_lines, "value string").write.text(path)
 
 
 def json_rejects(spark: SparkSession, path: str) -> DataFrame:
@@ -165,34 +188,42 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.posexplode(items).alias("ord", "item")).select("ord", F.col("item.category").alias("value"))
 
 
-def write_enriched(posts: DataFrame, path: str) -> None:
-    """Save the whole table by publish date; the commit protocol makes it atomic.
+def write_enriched(posts: DataFrame, path: str) -> int:
+    """Save the whole table by publish date as its new version; the one before stays until this one is complete.
 
     The rebalance hint clusters rows by date before the write: adaptive
     execution joins small days into one task, and splits a day that holds a
-    third of all posts over several tasks and files.
+    third of all posts over several tasks and files. Returns the version.
     """
-    (
-        posts.withColumn("publish_date", F.to_date("publish_time"))
-        .hint("rebalance", "publish_date")
-        .write.mode("overwrite")
-        .partitionBy("publish_date")
-        .parquet(path)
-    )
+    dated = posts.withColumn("publish_date", F.to_date("publish_time")).hint("rebalance", "publish_date")
+    return write_snapshot(dated, path, ("publish_date",))
 
 
-def write_result(result: DataFrame, path: str) -> None:
-    result.write.mode("overwrite").parquet(path)
+def write_result(result: DataFrame, path: str) -> int:
+    """Save a result as the new version of its table."""
+    return write_snapshot(result, path)
 
 
 def read_result(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The last version of a table, or a plain Parquet folder."""
+    return read_snapshot(spark, path)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> int:
+    """Node and edge tables as CSV with a header, both in one new version; see ``read_graph``."""
+
+    def write(target: str) -> None:
+        nodes.write.option("header", True).csv(f"{target}/nodes")
+        edges.write.option("header", True).csv(f"{target}/edges")
+
+    return write_version(nodes.sparkSession, path, write)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Node and edge tables as CSV with a header."""
-    nodes.write.mode("overwrite").option("header", True).csv(f"{path}/nodes")
-    edges.write.mode("overwrite").option("header", True).csv(f"{path}/edges")
+def read_graph(spark: SparkSession, path: str, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the last version, with the given schemas."""
+    at = version_folder(spark, path)
+    found = [spark.read.schema(s).option("header", True).csv(f"{at}/{n}") for n, s in (("nodes", nodes), ("edges", edges))]
+    return found[0], found[1]
 
 
 def _digest() -> Column:

@@ -14,6 +14,7 @@ from opinionspark.functions import labels as L
 from opinionspark.operators import graphs, keywords, labels
 from opinionspark.sources import posts as P
 from opinionspark.sources.schema import EVENT
+from opinionspark.sources.snapshots import version_folder
 from opinionspark.streaming.enrich import incremental_enrich, post_stream
 from opinionspark.streaming.location import branch_state_stream, latest_states, locate, store_changes
 from opinionspark.streaming.series import UNTIL_END, participants_stream, run_to_end, sentiment_series_stream
@@ -60,8 +61,9 @@ def test_vocabularies(spark, tmp_path):
 
 def test_graph_files_have_headers(sample_posts, tmp_path):
     P.write_graph(graphs.belief_nodes(sample_posts), graphs.belief_edges(sample_posts), str(tmp_path / "g"))
-    name = next(n for n in os.listdir(tmp_path / "g" / "nodes") if n.endswith(".csv"))
-    with open(tmp_path / "g" / "nodes" / name, encoding="utf-8") as f:
+    folder = os.path.join(version_folder(sample_posts.sparkSession, str(tmp_path / "g")), "nodes")
+    name = next(n for n in os.listdir(folder) if n.endswith(".csv"))
+    with open(os.path.join(folder, name), encoding="utf-8") as f:
         assert f.readline().strip() == "signal,category,co_occurrence_weight"
 
 

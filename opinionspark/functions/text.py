@@ -6,6 +6,8 @@ none of it needs a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,13 +64,32 @@ def clean_text(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(out, SPACE_PATTERN, " "))
 
 
-def tokenize(text: str | Column) -> Column:
-    """Tokens of the cleaned text: word runs and single CJK characters.
+#: From a column of cleaned text to a column of its tokens, array<string>: built-in functions, or a function on
+#: Arrow batches such as a pandas UDF. Every operator on tokens takes one.
+Tokenizer = Callable[[Column], Column]
+
+
+def word_tokens(text: Column) -> Column:
+    """Word runs and single CJK characters."""
+    return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
+
 
-    Emoji and whitespace are never part of a token and always end one, so
-    only URLs and tags have to be removed first.
+def space_tokens(text: Column) -> Column:
+    """What stands between spaces."""
+    return F.filter(F.split(text, " "), lambda t: t != "")
+
+
+def tokenize(text: str | Column, tokenizer: Tokenizer = word_tokens) -> Column:
+    """Tokens of the cleaned text; by default word runs and single CJK characters.
+
+    Emoji and whitespace are never part of such a token and always end one, so
+    only URLs and tags have to be removed first. Another tokenizer gets the
+    text as ``clean_text`` gives it; null tokens are dropped, and null is no tokens.
     """
-    return F.regexp_extract_all(_without_markup(_column(text)), F.lit(TOKEN_PATTERN), F.lit(0))
+    if tokenizer is word_tokens:
+        return word_tokens(_without_markup(_column(text)))
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.array_compact(tokenizer(clean_text(text)).cast("array<string>")), none)
 
 
 def content_words(text: str | Column) -> Column:
@@ -120,8 +141,8 @@ def ranked_tokens(tokens: Column, top_n: int) -> Column:
     return F.slice(F.sort_array(keyed), 1, max(1, int(top_n)))
 
 
-def keywords(text: str | Column, top_n: int = 10) -> Column:
-    return F.transform(ranked_tokens(tokenize(text), top_n), lambda x: x["token"])
+def keywords(text: str | Column, top_n: int = 10, tokenizer: Tokenizer = word_tokens) -> Column:
+    return F.transform(ranked_tokens(tokenize(text, tokenizer), top_n), lambda x: x["token"])
 
 
 def entities(text: str | Column) -> Column:
@@ -146,7 +167,7 @@ def _chinese_lexicon_words(text: Column) -> Column:
     return F.when(text.rlike(r"[\x{4e00}-\x{9fff}]"), found).otherwise(F.array().cast("array<string>"))
 
 
-def lexicon_sentiment(text: str | Column) -> Column:
+def lexicon_sentiment(text: str | Column, tokenizer: Tokenizer = word_tokens) -> Column:
     """Lexicon score as ``struct<label, score, positive, negative>``."""
 
     def count(words: Column, chinese: Column, lexicon: tuple[str, ...]) -> Column:
@@ -165,7 +186,7 @@ def lexicon_sentiment(text: str | Column) -> Column:
         )
 
     source = _column(text)
-    return let(F.struct(tokenize(text).alias("tokens"), _chinese_lexicon_words(source).alias("chinese")), score)
+    return let(F.struct(tokenize(text, tokenizer).alias("tokens"), _chinese_lexicon_words(source).alias("chinese")), score)
 
 
 def repair_mojibake(text: str | Column) -> Column:

@@ -22,8 +22,8 @@ def clean_posts(posts: DataFrame) -> DataFrame:
     return posts.select("post_id", T.clean_text("content").alias("clean"))
 
 
-def post_tokens(posts: DataFrame) -> DataFrame:
-    return posts.select("post_id", T.tokenize("content").alias("tokens"))
+def post_tokens(posts: DataFrame, tokenizer: T.Tokenizer = T.word_tokens) -> DataFrame:
+    return posts.select("post_id", T.tokenize("content", tokenizer).alias("tokens"))
 
 
 def content_word_counts(posts: DataFrame) -> DataFrame:
@@ -32,9 +32,9 @@ def content_word_counts(posts: DataFrame) -> DataFrame:
     return counted.select("post_id", F.col("token").alias("word"), F.col("n").cast("bigint").alias("n"))
 
 
-def keywords_topn(posts: DataFrame, top_n: int = 10) -> DataFrame:
+def keywords_topn(posts: DataFrame, top_n: int = 10, tokenizer: T.Tokenizer = T.word_tokens) -> DataFrame:
     """A post's most frequent tokens; earlier first on equal counts."""
-    ranked = posts.select("post_id", F.posexplode(T.ranked_tokens(T.tokenize("content"), top_n)).alias("i", "k"))
+    ranked = posts.select("post_id", F.posexplode(T.ranked_tokens(T.tokenize("content", tokenizer), top_n)).alias("i", "k"))
     return ranked.select(
         "post_id",
         (F.col("i") + 1).cast("bigint").alias("rank"),
@@ -43,14 +43,14 @@ def keywords_topn(posts: DataFrame, top_n: int = 10) -> DataFrame:
     )
 
 
-def keywords_tfidf(posts: DataFrame, top_n: int = 10) -> DataFrame:
+def keywords_tfidf(posts: DataFrame, top_n: int = 10, tokenizer: T.Tokenizer = T.word_tokens) -> DataFrame:
     """A post's tokens ranked by count × smoothed inverse document frequency.
 
     Document frequencies are one shuffled aggregate over distinct tokens per
     post. The join with them is left to the optimizer: it broadcasts a small
     vocabulary by its measured size and splits skewed tokens otherwise.
     """
-    postings = posts.select("post_id", F.inline(T.token_counts(T.tokenize("content"))))
+    postings = posts.select("post_id", F.inline(T.token_counts(T.tokenize("content", tokenizer))))
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     total = row_count(posts)
     scored = postings.join(df, "token").select(
@@ -77,40 +77,44 @@ def post_entities(posts: DataFrame) -> DataFrame:
     return posts.select("post_id", F.posexplode(T.entities("content")).alias("pos", "entity"))
 
 
-def post_lexicon(posts: DataFrame) -> DataFrame:
-    return posts.select("post_id", T.lexicon_sentiment("content").alias("s")).select("post_id", "s.*")
+def post_lexicon(posts: DataFrame, tokenizer: T.Tokenizer = T.word_tokens) -> DataFrame:
+    return posts.select("post_id", T.lexicon_sentiment("content", tokenizer).alias("s")).select("post_id", "s.*")
 
 
-def nlp_enrich(posts: DataFrame, groups: DataFrame | None = None, keyword_top_n: int = 8) -> DataFrame:
+def nlp_enrich(
+    posts: DataFrame, groups: DataFrame | None = None, keyword_top_n: int = 8, tokenizer: T.Tokenizer = T.word_tokens
+) -> DataFrame:
     """Posts with keywords, entities and lexicon sentiment, and with the
     similarity group when cluster ids (post_id, text_similarity_group) are given."""
     base = posts.drop("text_similarity_group") if groups is not None else posts
     enriched = base.withColumns(
         {
-            "keywords": T.keywords("content", keyword_top_n),
+            "keywords": T.keywords("content", keyword_top_n, tokenizer),
             "entities": T.entities("content"),
-            "lexicon_sentiment": T.lexicon_sentiment("content"),
+            "lexicon_sentiment": T.lexicon_sentiment("content", tokenizer),
         }
     )
     return enriched if groups is None else enriched.join(groups, "post_id", "left")
 
 
-def _keyword_rows(posts: DataFrame, top_n: int) -> DataFrame:
-    words = _stored_or(posts, "keywords", T.keywords("content", top_n))
+def _keyword_rows(posts: DataFrame, top_n: int, tokenizer: T.Tokenizer) -> DataFrame:
+    words = _stored_or(posts, "keywords", T.keywords("content", top_n, tokenizer))
     return posts.select("publish_time", F.explode(words).alias("keyword")).filter(
         F.nullif(F.col("keyword"), F.lit("")).isNotNull()
     )
 
 
-def keyword_frequency(posts: DataFrame, top_n: int = 30) -> DataFrame:
+def keyword_frequency(posts: DataFrame, top_n: int = 30, tokenizer: T.Tokenizer = T.word_tokens) -> DataFrame:
     """Keywords by the number of posts that have them in their keyword list."""
-    counts = _keyword_rows(posts, top_n).groupBy("keyword").agg(F.count(F.lit(1)).alias("count"))
+    counts = _keyword_rows(posts, top_n, tokenizer).groupBy("keyword").agg(F.count(F.lit(1)).alias("count"))
     return top(counts, top_n, "count", "keyword")
 
 
-def keyword_time_matrix(posts: DataFrame, top_n: int = 10, granularity: str = "day") -> DataFrame:
+def keyword_time_matrix(
+    posts: DataFrame, top_n: int = 10, granularity: str = "day", tokenizer: T.Tokenizer = T.word_tokens
+) -> DataFrame:
     """Leading keywords × times that have any of them, zero-filled."""
-    counts = bucketed(_keyword_rows(posts, top_n), granularity).groupBy("bucket", "keyword").agg(
+    counts = bucketed(_keyword_rows(posts, top_n, tokenizer), granularity).groupBy("bucket", "keyword").agg(
         F.count(F.lit(1)).alias("n")
     )
     keep = top_keys(counts, "keyword", top_n)
@@ -156,9 +160,9 @@ def entity_cooccurrence(posts: DataFrame, top_n: int = 15) -> DataFrame:
     )
 
 
-def lexicon_distribution(posts: DataFrame) -> DataFrame:
+def lexicon_distribution(posts: DataFrame, tokenizer: T.Tokenizer = T.word_tokens) -> DataFrame:
     """Posts per lexicon label; a stored label wins."""
-    label = T.lexicon_sentiment("content")["label"]
+    label = T.lexicon_sentiment("content", tokenizer)["label"]
     if "lexicon_sentiment" in posts.columns:
         label = F.coalesce(F.col("lexicon_sentiment.label"), label)
     return posts.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("count"))

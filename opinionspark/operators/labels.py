@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 
+#: From the column of a post's text to the column of a model's reply to one task: built-in functions, or a function on
+#: Arrow batches such as a pandas UDF that calls a model for a whole batch.
+Labeler = Callable[[Column], Column]
+
 
 def label_column(task: str, reply: Column, vocab: Column | None = None) -> Column:
     """The clean value of a reply to one labelling task."""
@@ -47,3 +53,26 @@ def apply_labels(posts: DataFrame, replies: DataFrame, vocabularies: dict[str, C
         "sentiment_polarity", F.when(F.col("_sentiment_polarity").isNotNull(), level)
     )
     return joined.withColumns(filled).drop(*[f"_{t}" for t in tasks], *[f"_vocab_{t}" for t in vocabularies])
+
+
+def label_posts(posts: DataFrame, labelers: dict[str, Labeler], vocabularies: dict[str, Column]) -> DataFrame:
+    """Fill missing labels of posts with the validated replies of a labeler for each task.
+
+    Replies are validated as ``apply_labels`` does. A labeler only gets the texts
+    of posts without a label for its task (null for the others); a null reply
+    leaves the label null.
+    """
+    replies = {f"_{t}": label(F.when(F.col(t).isNull(), F.col("content"))) for t, label in labelers.items()}
+    vocab = {f"_vocab_{t}": vocabularies[t] for t in labelers if t in vocabularies}
+    joined = posts.withColumns(replies).withColumns(vocab)
+    filled = {
+        t: F.coalesce(
+            F.col(t),
+            F.when(
+                F.col(f"_{t}").isNotNull(),
+                label_column(t, F.col(f"_{t}"), F.col(f"_vocab_{t}") if t in vocabularies else None),
+            ),
+        )
+        for t in labelers
+    }
+    return joined.withColumns(filled).drop(*replies, *vocab)

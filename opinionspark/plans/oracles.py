@@ -446,6 +446,12 @@ ORACLES: dict[str, str] = {
         """SELECT post_id, coalesce(sentiment_polarity, 4) AS sentiment_polarity,
         coalesce(publisher_decision, 'F') AS publisher_decision FROM posts_o""",
     ),
+    "label_posts": q(
+        "posts_o",
+        """SELECT post_id, coalesce(sentiment_polarity, CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS sentiment_polarity,
+        coalesce(publisher_decision, CASE WHEN substr(o_orderpriority, 3, 1) = 'U' THEN 'U' ELSE 'H' END)
+        AS publisher_decision FROM posts_o JOIN orders ON o_orderkey = post_id""",
+    ),
     "overview_totals": q(
         "posts_o",
         f"""SELECT count(*) AS total_posts, count(*) FILTER (WHERE sentiment_polarity IS NOT NULL OR has_attribute OR
@@ -985,6 +991,59 @@ ORACLES: dict[str, str] = {
 
 # Written and read back, or run as a stream: the same results as above.
 ORACLES["write_results"] = ORACLES["geo_sentiment"]
+ORACLES["nlp_enrich_groups"] = (
+    f"SELECT e.*, g.text_similarity_group FROM ({ORACLES['nlp_enrich']}) e JOIN ({ORACLES['text_clusters']}) g USING (post_id)"
+)
+# What stands between spaces, in place of word runs.
+for _name in (
+    "tokenize keywords_topn keywords_tfidf lexicon_sentiment nlp_enrich similar_pairs similar_pairs_jaccard text_clusters "
+    "text_cluster_sizes"
+).split():
+    ORACLES[f"{_name}_spaces"] = ORACLES[_name]
+    for _column in ("content", "text"):
+        ORACLES[f"{_name}_spaces"] = ORACLES[f"{_name}_spaces"].replace(
+            f"regexp_extract_all({CLEAN(_column)}, '{_TOKENS}')",
+            f"list_filter(string_split({CLEAN(_column)}, ' '), lambda x: x <> '')",
+        )
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_CHINESE = "".join(chr(0x4E00 + k) for k in range(26))
+# The best cost of each suffix is put in front of those of the shorter ones; then the words are read off from the front.
+ORACLES["tokenize_dictionary"] = f"""
+WITH RECURSIVE known AS (
+  SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-z]+')) AS w FROM benchmark)
+  GROUP BY 1
+), whole AS (SELECT sum(n) AS t FROM known),
+costs AS (SELECT w, length(w) AS l, CAST(round(1000000 * (ln(t) - ln(n))) AS BIGINT) AS c FROM known, whole),
+toks AS (
+  SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(
+    regexp_replace(translate({CLEAN('text')}, '{_UPPER}', '{_LOWER}'), '([a-z]+) ([a-z]+) ([a-z]+)', '\\1\\2\\3', 'g'),
+    '[0-9_]+|[a-z]+') AS t FROM documents)
+), runs AS (SELECT DISTINCT tok AS r FROM toks WHERE tok >= 'a'),
+starts AS (SELECT r, unnest(range(0, length(r))) AS i FROM runs),
+found AS (
+  SELECT s.r, s.i, list({{'c': k.c, 'l': k.l}}) AS cs
+  FROM (SELECT r, i, l, substr(r, i + 1, l) AS w FROM starts, (SELECT DISTINCT l FROM costs) WHERE i + l <= length(r)) s
+  JOIN costs k ON k.w = s.w GROUP BY ALL
+), lists AS (
+  SELECT s.r, list(coalesce(f.cs, [{{'c': CAST(round(1000000 * ln(t)) AS BIGINT), 'l': 1}}]) ORDER BY s.i) AS css
+  FROM starts s LEFT JOIN found f ON f.r = s.r AND f.i = s.i CROSS JOIN whole GROUP BY s.r
+), paths AS (
+  SELECT r, css, length(r) AS i, [CAST(0 AS BIGINT)] AS best, CAST([] AS BIGINT[]) AS lens FROM lists
+  UNION ALL
+  SELECT r, css, i - 1, list_prepend(b.c, best), list_prepend(-b.m, lens) FROM (
+    SELECT *, list_sort(list_transform(css[i], lambda x: {{'c': x.c + best[x.l], 'm': -x.l}}))[1] AS b FROM paths WHERE i > 0)
+), walks AS (
+  SELECT r, lens, CAST(1 AS BIGINT) AS place, CAST([] AS VARCHAR[]) AS words FROM paths WHERE i = 0
+  UNION ALL
+  SELECT r, lens, place + lens[place], list_append(words, substr(r, place, lens[place])) FROM walks
+  WHERE place <= length(r)
+), done AS (SELECT r, words FROM walks WHERE place > length(r)),
+flat AS (
+  SELECT doc_id, pos, CASE WHEN words IS NULL THEN tok ELSE translate(array_to_string(words, ' '), '{_LOWER}', '{_CHINESE}') END AS tok,
+    coalesce(len(words), 1) AS n FROM toks LEFT JOIN done ON r = tok
+)
+SELECT doc_id AS post_id, CAST(coalesce(sum(n), 0) AS INTEGER) AS tokens, md5(coalesce(string_agg(flat.tok, ' ' ORDER BY pos), '')) AS digest
+FROM documents LEFT JOIN flat USING (doc_id) GROUP BY doc_id"""
 ORACLES["read_results"] = " UNION ALL ".join(
     f"SELECT '{operator}' AS operator, '{frame}' AS frame, {name} AS name, {n} AS n FROM ({ORACLES[operator]})"
     for operator, frame, name, n in (

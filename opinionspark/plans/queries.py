@@ -5,10 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import labels as L
+from ..functions import segment
 from ..functions import text as T
 from ..functions.values import (
     content_preview,
@@ -210,9 +213,23 @@ def clean_text(spark, d):
     return docs.unionByName(pages).unionByName(turns).select("kind", "id", shown.alias("s")).select("kind", "id", "s.digest", "s.size")
 
 
-def tokenize(spark, d):
-    tokens = V.document_posts(spark, d).select("post_id", T.tokenize("content").alias("t"))
-    return tokens.select("post_id", F.size("t").alias("tokens"), F.md5(F.concat_ws(" ", "t")).alias("digest"))
+def _token_digests(posts, tokenizer=T.word_tokens):
+    tokens = keywords.post_tokens(posts, tokenizer)
+    return tokens.select("post_id", F.size("tokens").alias("tokens"), F.md5(F.concat_ws(" ", "tokens")).alias("digest"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_CHINESE = "".join(chr(0x4E00 + k) for k in range(26))
+
+
+def tokenize_dictionary(spark, d):
+    """Documents with Chinese characters for letters, every three words in one run, cut by the words of the passages."""
+    lower = F.translate("text", _UPPER, _LOWER)
+    words = V.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(lower, F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    known = words.groupBy(F.translate("w", _LOWER, _CHINESE).alias("word")).agg(F.count(F.lit(1)).alias("freq"))
+    joined = F.regexp_replace(F.translate("content", _UPPER, _LOWER), "([a-z]+) ([a-z]+) ([a-z]+)", "$1$2$3")
+    posts = V.document_posts(spark, d).select("post_id", F.translate(joined, _LOWER, _CHINESE).alias("content"))
+    return _token_digests(posts, segment.dictionary_tokenizer(known))
 
 
 def repair_mojibake(spark, d):
@@ -321,6 +338,23 @@ def apply_labels(spark, d):
     return labels.apply_labels(posts, replies, vocab)
 
 
+@F.pandas_udf(StringType())
+def _level_in_priority(text: pd.Series) -> pd.Series:
+    """A labeler that works on batches: the leading digit of an order's priority, as a model would reply."""
+    return text.str.slice(0, 1)
+
+
+def label_posts(spark, d):
+    """Polarity and decision of posts by two labelers, one on Arrow batches and one of built-in functions."""
+    posts = V.order_posts(spark, d, "sentiment_polarity", "publisher_decision")
+    orders = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("post_id"), F.col("o_orderpriority").alias("content"))
+    decided = lambda text: F.concat(F.lit("I say "), F.substring(text, 3, 1))
+    labelers = {"sentiment_polarity": _level_in_priority, "publisher_decision": decided}
+    vocab = {"publisher_decision": F.array(F.lit("H"), F.lit("U"))}
+    rows = labels.label_posts(posts.join(orders, "post_id"), labelers, vocab)
+    return rows.select("post_id", "sentiment_polarity", "publisher_decision")
+
+
 # --- publishers, correlations --------------------------------------------------
 
 
@@ -375,8 +409,7 @@ def entity_cooccurrence(spark, d):
     return keywords.entity_cooccurrence(posts.withColumn("content", F.concat("content", tags)))
 
 
-def nlp_enrich(spark, d):
-    rows = keywords.nlp_enrich(V.document_posts(spark, d))
+def _enriched(rows):
     return rows.select(
         "post_id",
         F.concat_ws(" ", "keywords").alias("keywords"),
@@ -385,6 +418,14 @@ def nlp_enrich(spark, d):
     )
 
 
+def nlp_enrich_groups(spark, d):
+    """Documents with keywords, entities, lexicon sentiment and the group of similar texts."""
+    posts = V.document_posts(spark, d)
+    rows = keywords.nlp_enrich(posts, similarity.text_clusters(posts))
+    groups = rows.select("post_id", "text_similarity_group")
+    return _enriched(rows).join(groups, "post_id")
+
+
 # --- documents, traces, event log ----------------------------------------------
 
 
@@ -604,13 +645,15 @@ QUERIES: dict[str, Query] = {
     "content_preview": previews,
     # text
     "clean_text": clean_text,
-    "tokenize": tokenize,
+    "tokenize": _docs(_token_digests),
+    "tokenize_dictionary": tokenize_dictionary,
     "content_words": _docs(keywords.content_word_counts),
     "keywords_topn": _docs(keywords.keywords_topn),
     "keywords_tfidf": _docs(keywords.keywords_tfidf),
     "entities": _docs(keywords.post_entities),
     "lexicon_sentiment": _docs(keywords.post_lexicon),
-    "nlp_enrich": nlp_enrich,
+    "nlp_enrich": lambda spark, d: _enriched(keywords.nlp_enrich(V.document_posts(spark, d))),
+    "nlp_enrich_groups": nlp_enrich_groups,
     "repair_mojibake": repair_mojibake,
     # similarity
     "similar_pairs": _docs(similarity.similar_pairs),
@@ -618,6 +661,18 @@ QUERIES: dict[str, Query] = {
     "text_copies": _docs(similarity.text_copies),
     "text_clusters": _docs(similarity.text_clusters),
     "text_cluster_sizes": _docs(similarity.text_cluster_sizes),
+    # the same with another tokenizer
+    "tokenize_spaces": _docs(_token_digests, tokenizer=T.space_tokens),
+    "keywords_topn_spaces": _docs(keywords.keywords_topn, tokenizer=T.space_tokens),
+    "keywords_tfidf_spaces": _docs(keywords.keywords_tfidf, tokenizer=T.space_tokens),
+    "lexicon_sentiment_spaces": _docs(keywords.post_lexicon, tokenizer=T.space_tokens),
+    "nlp_enrich_spaces": lambda spark, d: _enriched(
+        keywords.nlp_enrich(V.document_posts(spark, d), tokenizer=T.space_tokens)
+    ),
+    "similar_pairs_spaces": _docs(similarity.similar_pairs, tokenizer=T.space_tokens),
+    "similar_pairs_jaccard_spaces": _docs(similarity.similar_pairs_jaccard, threshold=0.6, tokenizer=T.space_tokens),
+    "text_clusters_spaces": _docs(similarity.text_clusters, tokenizer=T.space_tokens),
+    "text_cluster_sizes_spaces": _docs(similarity.text_cluster_sizes, tokenizer=T.space_tokens),
     # labels
     "parse_polarity": parse_polarity,
     "parse_attributes": parse_attributes,
@@ -626,6 +681,7 @@ QUERIES: dict[str, Query] = {
     "parse_beliefs": parse_beliefs,
     "parse_decision": parse_decision,
     "apply_labels": apply_labels,
+    "label_posts": label_posts,
     # profiling and sampling
     "overview_totals": overview_totals,
     "overview_empty_fields": overview_empty_fields,

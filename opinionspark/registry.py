@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions import text as T
 from .operators import geo, graphs, keywords, publishers, sentiment, similarity, timeline, topics
 
 # The tool categories.
@@ -219,18 +220,20 @@ _TOOLS = (
              "series": publishers.publisher_focus(posts, window_days, top_n)}, True),
     Tool("belief_network_chart", BELIEF, _beliefs, True),
     Tool("keyword_wordcloud", NLP,
-         lambda posts, top_n=30: {"keywords": keywords.keyword_frequency(posts, top_n)}, True),
+         lambda posts, top_n=30, tokenizer=T.word_tokens: {
+             "keywords": keywords.keyword_frequency(posts, top_n, tokenizer)}, True),
     Tool("entity_cooccurrence_network", NLP,
          lambda posts, top_n=15: {
              "nodes": keywords.entity_nodes(posts, top_n), "edges": keywords.entity_cooccurrence(posts, top_n)}, True),
     Tool("text_cluster_analysis", NLP,
-         lambda posts, threshold=0.85, min_cluster_size=2: {
-             "clusters": similarity.text_cluster_sizes(posts, threshold, min_cluster_size)}, True),
+         lambda posts, threshold=0.85, min_cluster_size=2, tokenizer=T.word_tokens: {
+             "clusters": similarity.text_cluster_sizes(posts, threshold, min_cluster_size, tokenizer=tokenizer)}, True),
     Tool("sentiment_lexicon_comparison", NLP,
-         lambda posts: {"distribution": keywords.lexicon_distribution(posts)}, True),
+         lambda posts, tokenizer=T.word_tokens: {
+             "distribution": keywords.lexicon_distribution(posts, tokenizer)}, True),
     Tool("temporal_keyword_heatmap", NLP,
-         lambda posts, top_n=10, granularity="day": {
-             "matrix": keywords.keyword_time_matrix(posts, top_n, granularity)}, True),
+         lambda posts, top_n=10, granularity="day", tokenizer=T.word_tokens: {
+             "matrix": keywords.keyword_time_matrix(posts, top_n, granularity, tokenizer)}, True),
 )
 
 TOOLS: dict[str, Tool] = {t.name: t for t in _TOOLS}

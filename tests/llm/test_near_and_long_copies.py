@@ -80,7 +80,73 @@ def test_near_duplicates_without_ids_and_rows(spark, docs):
     assert got == sorted([(None, 3), (3, 3), (None, None), (4, 4), (5, 5)], key=repr)
     assert minhash.near_duplicates(docs([])).collect() == []
     kept = minhash.one_of_each_class(docs(rows[1:] + [(9, "a b c d e f")])).collect()
-    assert sorted((r.doc_id or 0) for r in kept) == [0, 3, 4, 5]
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 3, 4, 5]  # the text without any id, and one each
+
+
+def test_rows_that_share_an_id(spark, docs):
+    """Each text of an id keeps its links, in whatever order the rows come."""
+    rng = random.Random(6)
+    a, b = (" ".join(f"{c}{rng.randint(0, 10**6)}" for _ in range(120)) for c in "ab")
+    rows = [(1, a), (1, b), (5, b + " more"), (6, a + " more"), (0, "quite alone " * 9), (7, a)]
+    for order in (rows, rows[::-1]):
+        got = sorted((r.doc_id, r.class_id) for r in minhash.near_duplicates(docs(order)).collect())
+        assert got == [(0, 0), (1, 1), (1, 1), (5, 1), (6, 1), (7, 1)]
+
+
+def test_one_row_of_each_class_stays(spark, docs):
+    text = " ".join(f"t{i}" for i in range(90))
+    rows = [(1, text), (1, text), (1, text), (None, text), (4, text + " more"), (1, "words of another text stand here"), (8, None), (8, None), (9, ""), (None, ""), (None, " "), (None, "no id at all here"), (None, "no id at all here")]
+    kept = minhash.one_of_each_class(docs(rows))
+    assert kept.columns == docs(rows).columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    blank = [g for g in got if g[0] is None and not (g[1] or "").strip()]
+    assert len(blank) == 1
+    assert sorted((g for g in got if g not in blank), key=repr) == sorted(
+        [(1, text), (1, "words of another text stand here"), (8, None), (9, ""), (None, "no id at all here")], key=repr
+    )
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.9])
+def test_other_thresholds(spark, docs, threshold):
+    """Pairs from just above the threshold to well above it are linked, and none below it."""
+    rng = random.Random(7)
+    rows, pairs = [], []
+    for k in range(60):
+        words = [f"{k}x{rng.randint(0, 10**6)}" for _ in range(200)]
+        share = threshold + (1 - threshold) * rng.choice([0.05, 0.2, 0.5])
+        same = round(200 * 2 * share / (1 + share))
+        other = words[:same] + [f"{k}y{rng.randint(0, 10**6)}" for _ in range(200 - same)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        pairs.append((2 * k, 2 * k + 1))
+    table = docs(rows)
+    expected = dict(brute_classes(rows, minhash.word_idf(table), threshold))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(table, threshold).collect()}
+    linked = [b for a, b in pairs if expected[b] == a]
+    assert len(linked) >= 30 and sum(got[b] == expected[b] for b in linked) >= 0.95 * len(linked)
+    assert all(got[i] == i for i in got if expected[i] == i)
+
+
+def test_bands_follow_the_threshold():
+    for threshold in (0.3, 0.5, 0.7, 0.8, 0.9, 1.0):
+        bands, rows, least = minhash.banding(threshold)
+        assert bands * rows <= minhash.SAMPLES and (1 - threshold**rows) ** bands <= 1.1e-5
+        below = sum(math.comb(48, k) * threshold**k * (1 - threshold) ** (48 - k) for k in range(least))
+        assert below <= 1e-6
+    assert minhash.banding(0.8) == (16, 3, 24)
+    for wrong in (0.1, 1.1):
+        with pytest.raises(ValueError):
+            minhash.banding(wrong)
+
+
+def test_rare_words_weigh_alike(spark, docs, monkeypatch):
+    monkeypatch.setattr(minhash, "RAREST", 20)
+    rows = [(i, f"all w{i} p{i % 3} q{i % 15}") for i in range(60)]
+    idf = minhash.word_idf(docs(rows))
+    data = b"all p1 q2 w7 new"
+    hashes, _ = word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    floor = 60 / 20
+    assert idf(hashes) == pytest.approx([math.log(61 / (1 + n)) + 1 for n in (60, 20, 4, floor, floor)])
+    assert len(idf._words) == 1 + 3 + 15
 
 
 def test_samples_agree_as_often_as_texts_are_similar():

@@ -198,6 +198,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
+def _share_of_draws(share: float) -> int:
+    """Below which of all 64-bit numbers so large a share of them lies."""
+    return int(min(share, 1.0) * (2**64 - 1)) - 2**63
+
+
 def learned(
     docs: DataFrame, per_lang: int = PER_LANG, chunks: int = CHUNKS, most_langs: int = MOST_LANGS
 ) -> Network:
@@ -208,10 +213,17 @@ def learned(
     """
     may = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = may.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
-    langs = sorted(r.lang for r in sizes.collect())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id")
-    known = may.filter(F.col("lang").isin(langs)).select("doc_id", "lang").distinct()
-    ids = known.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= per_lang)
+    counted = {r.lang: r.n for r in sizes.collect()}
+    langs = sorted(counted)
+    known = may.select("doc_id", "lang").distinct().withColumn("_draw", F.xxhash64("doc_id", F.lit(13)))
+    # Of a language with many documents only those with a low draw can be chosen, several times as many as needed.
+    low = [
+        F.when((F.col("lang") == lang) & (F.col("_draw") < _share_of_draws((4 * per_lang + 100) / n)), True)
+        for lang, n in sorted(counted.items())
+    ]
+    order = Window.partitionBy("lang").orderBy("_draw", "doc_id")
+    ids = known.filter(F.coalesce(*low, F.lit(False))) if low else known.limit(0)
+    ids = ids.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= per_lang)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches):

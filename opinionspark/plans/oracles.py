@@ -279,6 +279,12 @@ _CORR = "\nUNION ALL ".join(
 )
 
 
+_SETS = {
+    "tokset": "SELECT DISTINCT post_id, tok FROM toks",
+    "setkey": "SELECT post_id, string_agg(tok, ' ' ORDER BY tok) AS key, count(*) AS size FROM tokset GROUP BY 1",
+    "sets": "SELECT key, min(post_id) AS rep, count(*) AS copies, max(size) AS size FROM setkey GROUP BY 1",
+    "bag": "SELECT rep, tok FROM sets JOIN tokset ON rep = post_id",
+}
 _JACCARD = "CAST(inter AS DOUBLE) / (x.size + y.size - inter)"
 
 
@@ -412,10 +418,7 @@ ORACLES: dict[str, str] = {
         SELECT p.rep AS a, r.rep AS b, count(*) AS inter FROM bag p JOIN bag r ON p.tok = r.tok AND p.rep < r.rep GROUP BY 1, 2)
         JOIN sets x ON x.rep = a JOIN sets y ON y.rep = b WHERE {R(f'{_JACCARD}', 9)} >= 0.6 UNION ALL
         SELECT rep, rep, 1e0, copies, copies FROM sets WHERE copies > 1""",
-        tokset="SELECT DISTINCT post_id, tok FROM toks",
-        setkey="SELECT post_id, string_agg(tok, ' ' ORDER BY tok) AS key, count(*) AS size FROM tokset GROUP BY 1",
-        sets="SELECT key, min(post_id) AS rep, count(*) AS copies, max(size) AS size FROM setkey GROUP BY 1",
-        bag="SELECT rep, tok FROM sets JOIN tokset ON rep = post_id",
+        **_SETS,
     ),
     "text_copies": q(
         "posts_d toks bagged keyed reps", "SELECT post_id, rep FROM keyed JOIN reps USING (key)"
@@ -991,6 +994,18 @@ ORACLES: dict[str, str] = {
 
 # Written and read back, or run as a stream: the same results as above.
 ORACLES["write_results"] = ORACLES["geo_sentiment"]
+ORACLES["incremental_groups"] = q(
+    "posts_d toks",
+    f"SELECT * FROM ({_CTES['clustered']})",
+    **_SETS,
+    alike=f"""SELECT a, b FROM (SELECT p.rep AS a, r.rep AS b, count(*) AS inter FROM bag p JOIN bag r ON p.tok = r.tok
+        AND p.rep < r.rep GROUP BY 1, 2) JOIN sets x ON x.rep = a JOIN sets y ON y.rep = b WHERE {R(f'{_JACCARD}', 9)} >= 0.6""",
+    links=_CTES["links"],
+    reach="SELECT rep AS node, rep AS seen FROM sets UNION SELECT y, seen FROM reach JOIN links ON x = node",
+    component=_CTES["component"],
+    member="""SELECT posts_d.post_id, coalesce(leader, posts_d.post_id) AS leader FROM posts_d LEFT JOIN setkey USING (post_id)
+        LEFT JOIN sets USING (key) LEFT JOIN component ON node = rep""",
+)
 ORACLES["nlp_enrich_groups"] = (
     f"SELECT e.*, g.text_similarity_group FROM ({ORACLES['nlp_enrich']}) e JOIN ({ORACLES['text_clusters']}) g USING (post_id)"
 )

@@ -22,6 +22,7 @@ from ..functions.values import (
     time_label,
 )
 from ..operators import documents, geo, graphs, keywords, labels, profile, publishers, sentiment, similarity, timeline, topics, traces
+from ..operators.similarity_store import SimilarityStore
 from ..sources import posts as P
 from ..sources import tables as V
 from ..sources.results import read_results as read_stored_results
@@ -418,6 +419,16 @@ def _enriched(rows):
     )
 
 
+def incremental_groups(spark, d):
+    """Groups of similar documents that were added in two batches, English ones last."""
+    store = SimilarityStore(spark, _scratch(spark), 0.6)
+    posts = V.document_posts(spark, d)
+    english = F.coalesce(F.col("location") == "en", F.lit(False))
+    store.add(posts.filter(~english))
+    store.add(posts.filter(english))
+    return store.groups()
+
+
 def nlp_enrich_groups(spark, d):
     """Documents with keywords, entities, lexicon sentiment and the group of similar texts."""
     posts = V.document_posts(spark, d)
@@ -661,6 +672,7 @@ QUERIES: dict[str, Query] = {
     "text_copies": _docs(similarity.text_copies),
     "text_clusters": _docs(similarity.text_clusters),
     "text_cluster_sizes": _docs(similarity.text_cluster_sizes),
+    "incremental_groups": incremental_groups,
     # the same with another tokenizer
     "tokenize_spaces": _docs(_token_digests, tokenizer=T.space_tokens),
     "keywords_topn_spaces": _docs(keywords.keywords_topn, tokenizer=T.space_tokens),

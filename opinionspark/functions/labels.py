@@ -1,6 +1,7 @@
 """Label replies to clean label columns.
 
-A vocabulary is a closed list of at most a few hundred entries, passed as an
+A vocabulary is a closed list, of a few hundred entries as a rule and of at most
+``MOST_ENTRIES``, beyond which reading it is an error. It is passed as an
 array column: a literal, or a column holding a scalar subquery over its
 table (add it with ``withColumn`` first, as Spark allows no subquery inside a
 lambda). Validating a reply is then work within the row, with no join.
@@ -20,22 +21,41 @@ _TOPICS = "array<struct<parent_topic:string,sub_topic:string>>"
 _BELIEFS = "array<struct<category:string,subcategories:array<string>>>"
 
 
+#: Entries of a vocabulary at most; it is a literal in the plan and looked through for every reply.
+MOST_ENTRIES = 10_000
+
+
+def _bounded(distinct: DataFrame) -> DataFrame:
+    """The rows of a vocabulary, one more than is allowed at most, so that none of any size is ever collected."""
+    return distinct.limit(MOST_ENTRIES + 1)
+
+
+def _checked(entries: Column) -> Column:
+    too_many = F.raise_error(F.lit(f"a vocabulary has at most {MOST_ENTRIES} entries"))
+    return F.when(F.size(entries) <= MOST_ENTRIES, entries).otherwise(too_many)
+
+
 def vocabulary(values: DataFrame, *columns: str) -> Column:
     """A vocabulary table as a scalar array, in the order of its rows' values."""
     item = F.struct(*columns) if len(columns) > 1 else F.col(columns[0])
-    return values.agg(F.sort_array(F.collect_set(item))).scalar()
+    rows = _bounded(values.select(item.alias("item")).distinct())
+    return rows.agg(_checked(F.sort_array(F.collect_list("item")))).scalar()
 
 
 def ordered_vocabulary(values: DataFrame, column: str = "value", order: str = "ord") -> Column:
     """A vocabulary table as a scalar array in its stated order."""
     pairs = F.sort_array(F.collect_list(F.struct(order, column)))
-    return values.agg(F.transform(pairs, lambda x: x[column])).scalar()
+    return _bounded(values).agg(_checked(F.transform(pairs, lambda x: x[column]))).scalar()
 
 
 def belief_vocabulary(values: DataFrame) -> Column:
     """(category, subcategory) rows as a scalar array of categories with their subs."""
-    per_category = values.groupBy("category").agg(F.collect_set("subcategory").alias("subcategories"))
-    return per_category.agg(F.collect_list(F.struct("category", "subcategories"))).scalar()
+    few = _bounded(values.select("category", "subcategory").distinct())
+    per_category = few.groupBy("category").agg(F.collect_set("subcategory").alias("subcategories"))
+    total = F.aggregate(F.collect_list(F.size("subcategories")), F.lit(0), lambda a, x: a + x)
+    too_many = F.raise_error(F.lit(f"a vocabulary has at most {MOST_ENTRIES} entries"))
+    entries = F.collect_list(F.struct("category", "subcategories"))
+    return per_category.agg(F.when(total <= MOST_ENTRIES, entries).otherwise(too_many)).scalar()
 
 
 def parse_polarity(reply: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import (
+    time_bucket,
     MEDIUM,
     NEGATIVE,
     NEUTRAL,
@@ -301,3 +302,58 @@ def participant_trend(posts: DataFrame, granularity: str = "day") -> DataFrame:
     return grouped.select(
         time_label("bucket", granularity).alias("time"), "active_posts", "active_users", "new_users", "new_user_posts"
     ).withColumn("cumulative_users", F.sum("new_users").over(running))
+
+
+def participant_sketches(posts: DataFrame, granularity: str = "hour", lg: int = 14) -> DataFrame:
+    """(bucket, posts, users): the number of posts and a sketch of the distinct users of each time.
+
+    Sketches are combined on the map side and merge over any times, so they can be
+    stored once and asked for any range. With ``lg`` 14 one has at most 16 KB and
+    an error of about 0.8 %; up to a few hundred users it is all but exact.
+    """
+    timed = posts.filter(F.col("user_id").isNotNull() & F.col("publish_time").isNotNull())
+    return timed.groupBy(F.date_trunc(granularity, "publish_time").cast("timestamp_ntz").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("posts"), F.hll_sketch_agg("user_id", F.lit(lg)).alias("users")
+    )
+
+
+def participant_trend_approx(sketches: DataFrame, granularity: str = "day") -> DataFrame:
+    """``participant_trend`` from stored sketches: posts, users, new and cumulative users per time.
+
+    New users are the rise of the cumulative ones. Times may be coarser than those of the sketches.
+    """
+    series = sketches.groupBy(time_bucket("bucket", granularity).alias("bucket")).agg(
+        F.sum("posts").alias("active_posts"), F.hll_union_agg("users").alias("users")
+    )
+    # One row per time, so all earlier ones are a short list of sketches.
+    running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    merged = series.select("bucket", "active_posts", "users", F.collect_list("users").over(running).alias("earlier"))
+    union = F.aggregate(
+        F.slice("earlier", F.lit(2), F.size("earlier")), F.get("earlier", F.lit(0)), lambda a, x: F.hll_union(a, x)
+    )
+    counted = merged.select(
+        "bucket",
+        "active_posts",
+        F.hll_sketch_estimate("users").alias("active_users"),
+        F.hll_sketch_estimate(union).alias("cumulative_users"),
+    )
+    before = F.lag("cumulative_users", 1, 0).over(Window.orderBy("bucket"))
+    return counted.select(
+        time_label("bucket", granularity).alias("time"),
+        "active_posts",
+        "active_users",
+        F.greatest(F.col("cumulative_users") - before, F.lit(0)).alias("new_users"),
+        "cumulative_users",
+    )
+
+
+def users_of_ranges(sketches: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(range_id, users): about how many different users each half open range (range_id, start, end) has.
+
+    The posts aren't read again, however many ranges are asked; a range without posts has 0 users.
+    """
+    inside = (F.col("bucket") >= F.col("start")) & (F.col("bucket") < F.col("end"))
+    met = ranges.join(sketches.select("bucket", F.col("users").alias("_users")), inside, "left")
+    return met.groupBy("range_id").agg(
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("_users")), F.lit(0)).alias("users")
+    )

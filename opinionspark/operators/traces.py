@@ -185,22 +185,46 @@ def latest_conclusions(rounds: DataFrame) -> DataFrame:
     return latest.select("discussion", "round", F.trim("c").alias("conclusion")).filter(F.col("conclusion") != "")
 
 
+_WORDS = ("ts", "event", "stage", "node", "status", "error")
+#: What orders the events of a run.
+_ORDER = ("old_seq", "ts", "event", "branch_id", "stage", "node", "status")
+#: Runs of so many events at most are numbered by one task each.
+_RUN_ROWS = 1_000_000
+
+
+def cleaned_log(events: DataFrame) -> DataFrame:
+    """Trimmed events, branch ``main`` by default, with their number as ``old_seq``."""
+    return events.select(
+        F.trim("run_id").alias("run_id"),
+        F.coalesce("seq", F.lit(0)).cast("bigint").alias("old_seq"),
+        *[F.trim(F.coalesce(w, F.lit(""))).alias(w) for w in _WORDS],
+        F.coalesce(F.nullif(F.trim("branch_id"), F.lit("")), F.lit("main")).alias("branch_id"),
+    )
+
+
+def _run_sizes(clean: DataFrame) -> DataFrame:
+    return clean.groupBy(F.col("run_id").alias("_run")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _of_run() -> Column:
+    return F.col("run_id").eqNullSafe(F.col("_run"))
+
+
 def event_log_normalize(events: DataFrame) -> DataFrame:
     """Trimmed events, branch ``main`` by default, renumbered from 1 per run.
 
-    A run may hold a third of all events, and its numbers may be missing or
-    repeat, so its numbering is neither one window nor cut by old numbers: all
-    events are sorted over range partitions, each partition adds the sizes of
+    Where the largest run is of a measured small size, a run is a window. A run
+    may also hold a third of all events, and its numbers may be missing or
+    repeat, so then its numbering is neither one window nor cut by old numbers:
+    all events are sorted over range partitions, each partition adds the sizes of
     those before it, and each run subtracts the place of its first event.
     """
-    words = ("ts", "event", "stage", "node", "status", "error")
-    clean = events.select(
-        F.trim("run_id").alias("run_id"),
-        F.coalesce("seq", F.lit(0)).alias("old_seq"),
-        *[F.trim(F.coalesce(w, F.lit(""))).alias(w) for w in words],
-        F.coalesce(F.nullif(F.trim("branch_id"), F.lit("")), F.lit("main")).alias("branch_id"),
-    )
-    order = ("run_id", "old_seq", "ts", "event", "branch_id", "stage", "node", "status")
+    clean = cleaned_log(events)
+    largest = _run_sizes(clean).agg(F.max("_n")).first()[0] or 0
+    if largest <= _RUN_ROWS:
+        place = F.row_number().over(Window.partitionBy("run_id").orderBy(*_ORDER))
+        return clean.select("run_id", place.cast("bigint").alias("seq"), *_WORDS, "branch_id")
+    order = ("run_id", *_ORDER)
     ranged = clean.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = checkpoint(ranged.withColumn("_id", F.monotonically_increasing_id())).select(
         "*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_row")
@@ -218,7 +242,7 @@ def event_log_normalize(events: DataFrame) -> DataFrame:
     return (
         placed.join(starts, "_part")
         .join(firsts, F.col("run_id").eqNullSafe(F.col("_run")))
-        .select("run_id", (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("seq"), *words, "branch_id")
+        .select("run_id", (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("seq"), *_WORDS, "branch_id")
     )
 
 
@@ -231,14 +255,15 @@ def open_branches(events: DataFrame) -> DataFrame:
 
 
 def current_location(events: DataFrame) -> DataFrame:
-    """Stage and node of each run's latest open event; empty when none is open."""
-    last = events.groupBy("run_id", "branch_id").agg(
-        F.max(F.struct("seq", "event", "stage", "node")).alias("l")
-    )
+    """Stage and node of each run's latest open event; empty when none is open.
+
+    The log needs no new numbers for it: a branch's last event is its greatest in the order that would number it.
+    """
+    last = cleaned_log(events).groupBy("run_id", "branch_id").agg(F.max(F.struct(*[c for c in _ORDER if c != "branch_id"])).alias("l"))
     is_open = F.col("l.event") == "enter"
+    place = F.struct("l.old_seq", "l.ts", "l.event", "branch_id", "l.stage", "l.node")
     latest = last.groupBy("run_id").agg(
-        F.count_if(is_open).alias("open_branches"),
-        F.max(F.when(is_open, F.struct("l.seq", "l.stage", "l.node"))).alias("o"),
+        F.count_if(is_open).alias("open_branches"), F.max(F.when(is_open, place)).alias("o")
     )
     return latest.select(
         "run_id",
@@ -248,10 +273,45 @@ def current_location(events: DataFrame) -> DataFrame:
     )
 
 
+def _last_of_runs(clean: DataFrame, k: int) -> DataFrame:
+    """The last ``k`` events of each run with ``_back``, their place from the end; tasks drop all others before the shuffle."""
+    back = Window.partitionBy("run_id").orderBy(*[F.desc(c) for c in _ORDER])
+    return clean.withColumn("_back", F.row_number().over(back)).filter(F.col("_back") <= k)
+
+
 def failed_exits(events: DataFrame, k: int = 20) -> DataFrame:
-    failed = events.filter((F.col("event") == "exit") & (F.col("status") == "failed"))
-    return failed.orderBy(F.desc("seq"), F.desc("run_id")).limit(k)
+    """The ``k`` failed exits with the highest numbers, numbered as ``event_log_normalize`` does.
+
+    Only candidates get numbers: the last ``k`` of each run. An event counts
+    for the candidates that it comes after, and a candidate's number is the run's
+    size less those.
+    """
+    clean = cleaned_log(events)
+    failed = _last_of_runs(clean.filter((F.col("event") == "exit") & (F.col("status") == "failed")), k)
+    place = F.struct(*_ORDER)
+    chosen = failed.withColumn("_place", place)
+    # At most k places of each run, the last first.
+    places = chosen.groupBy(F.col("run_id").alias("_run")).agg(F.sort_array(F.collect_list("_place"), asc=False).alias("_places"))
+    # The first candidate, from the end, that an event comes after.
+    index = F.size(F.filter("_places", lambda p: p >= F.struct(*_ORDER)))
+    met = clean.join(places, _of_run()).groupBy("_run", index.alias("_index")).agg(F.count(F.lit(1)).alias("_events"))
+    upto = Window.partitionBy("_run").orderBy("_index").rowsBetween(Window.unboundedPreceding, 0)
+    counted = met.withColumn("_after", F.sum("_events").over(upto)).groupBy("_run").agg(
+        F.sort_array(F.collect_list(F.struct("_index", "_after"))).alias("_counts")
+    )
+    sized = _run_sizes(clean).join(counted.withColumnRenamed("_run", "_same"), F.col("_run").eqNullSafe(F.col("_same")))
+    equal = Window.partitionBy("run_id", "_place").orderBy("_back")
+    joined = chosen.withColumn("_equal", F.row_number().over(equal) - 1).join(sized, _of_run())
+    # Of equal exits the ones before count as well; they stand in front of this one among the candidates.
+    own = F.col("_back") - F.col("_equal") - 1
+    after = F.coalesce(F.get(F.filter("_counts", lambda c: c["_index"] <= own), F.size(F.filter("_counts", lambda c: c["_index"] <= own)) - 1)["_after"], F.lit(0))
+    numbered = joined.select("run_id", (F.col("_n") - after - F.col("_equal")).alias("seq"), *_WORDS, "branch_id")
+    return numbered.orderBy(F.desc("seq"), F.desc("run_id")).limit(k)
 
 
 def recent_events(events: DataFrame, k: int = 50) -> DataFrame:
-    return events.orderBy(F.desc("seq"), F.desc("run_id")).limit(k)
+    """The ``k`` events with the highest numbers, numbered as ``event_log_normalize`` does, from the end of each run."""
+    clean = cleaned_log(events)
+    sized = _last_of_runs(clean, k).join(_run_sizes(clean), _of_run())
+    numbered = sized.select("run_id", (F.col("_n") - F.col("_back") + 1).alias("seq"), *_WORDS, "branch_id")
+    return numbered.orderBy(F.desc("seq"), F.desc("run_id")).limit(k)

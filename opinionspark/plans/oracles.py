@@ -994,6 +994,16 @@ ORACLES: dict[str, str] = {
 
 # Written and read back, or run as a stream: the same results as above.
 ORACLES["write_results"] = ORACLES["geo_sentiment"]
+# Sketches of so few users are exact.
+ORACLES["participant_trend_approx"] = (
+    f"SELECT time, active_posts, active_users, new_users, cumulative_users FROM ({ORACLES['participant_trend']})"
+)
+ORACLES["participant_ranges"] = q(
+    "posts_e",
+    """SELECT range_id, count(DISTINCT user_id) AS users FROM (SELECT unnest(range(1, 11)) AS range_id) r LEFT JOIN posts_e
+    ON publish_time >= TIMESTAMP '2024-01-01' AND publish_time < TIMESTAMP '2024-01-01' + to_days(CAST(range_id AS INTEGER))
+    GROUP BY 1""",
+)
 ORACLES["incremental_groups"] = q(
     "posts_d toks",
     f"SELECT * FROM ({_CTES['clustered']})",

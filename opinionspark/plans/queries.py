@@ -30,7 +30,7 @@ from ..sources.results import save_results
 from ..streaming.enrich import incremental_enrich as incremental_enrich_stream
 from ..streaming.enrich import post_stream
 from ..streaming.location import branch_state_stream, latest_states, locate, store_changes
-from ..streaming.series import UNTIL_END, participants_stream, run_to_end, sentiment_series_stream
+from ..streaming.series import needed_lateness, participants_stream, run_to_end, sentiment_series_stream
 from .checkpoints import shared_dir
 from .shapes import focus_filter, row_count
 
@@ -366,6 +366,26 @@ def _features(spark, d):
     return publishers.post_features(joined, F.coalesce("topic_count", F.lit(0)))
 
 
+def _user_sketches(spark, d):
+    """Sketches of the users of each hour, stored and read back."""
+    path = _scratch(spark)
+    P.write_result(publishers.participant_sketches(V.event_posts(spark, d), "hour"), path)
+    return P.read_result(spark, path)
+
+
+def participant_trend_approx(spark, d):
+    return publishers.participant_trend_approx(_user_sketches(spark, d), "day")
+
+
+def participant_ranges(spark, d):
+    """Users of the first days up to each of the first ten days, all ranges from the stored sketches."""
+    start = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
+    ranges = spark.range(1, 11).select(
+        F.col("id").alias("range_id"), start.alias("start"), (start + F.make_dt_interval(F.col("id").cast("int"))).alias("end")
+    )
+    return publishers.users_of_ranges(_user_sketches(spark, d), ranges)
+
+
 def cross_matrix_topic(spark, d):
     posts = V.posts_with_first_topic(spark, d, "location")
     return publishers.cross_matrix(posts, "location", "topic")
@@ -605,19 +625,27 @@ def _event_stream(spark, d):
     return _table_stream(spark, d, "events")
 
 
-def _finished(spark, posts, series):
+def _stored_events(spark, d):
+    """The times of the stored events, and the file that each is in."""
+    files = ("file_path", "file_modification_time")
+    time = F.col("ts").cast("timestamp_ntz").alias("publish_time")
+    return V.table(spark, d, "events").select(time, *[F.col(f"_metadata.{c}").alias(c) for c in files])
+
+
+def _finished(spark, stored, posts, series):
     """The windows of a stream of posts that is run to its end, as a table."""
     path = _scratch(spark)
-    schema = run_to_end(posts, lambda p: series(p, late=UNTIL_END), path)
+    late = needed_lateness(stored)
+    schema = run_to_end(posts, lambda p: series(p, late=late), path)
     return spark.read.schema(schema).parquet(f"{path}/out")
 
 
 def stream_sentiment_series(spark, d):
-    return _finished(spark, V.event_posts_of(_event_stream(spark, d)), sentiment_series_stream)
+    return _finished(spark, _stored_events(spark, d), V.event_posts_of(_event_stream(spark, d)), sentiment_series_stream)
 
 
 def stream_participants(spark, d):
-    return _finished(spark, V.event_posts_of(_event_stream(spark, d)), participants_stream)
+    return _finished(spark, _stored_events(spark, d), V.event_posts_of(_event_stream(spark, d)), participants_stream)
 
 
 def stream_current_location(spark, d):
@@ -782,6 +810,8 @@ QUERIES: dict[str, Query] = {
     "publisher_topics": _mentions(publishers.publisher_topics, "publisher"),
     "participant_trend": _events(publishers.participant_trend),
     "participant_trend_hour": _events(publishers.participant_trend, granularity="hour"),
+    "participant_trend_approx": participant_trend_approx,
+    "participant_ranges": participant_ranges,
     # graphs
     "belief_signals_flat": _orders("belief_signals")(graphs.belief_signals_flat),
     "belief_edges": _orders("belief_signals", *_COUNTS)(graphs.belief_edges),
@@ -808,10 +838,10 @@ QUERIES: dict[str, Query] = {
     "insight_evidence": insight_evidence,
     "evidence_confidence": evidence_confidence,
     "event_log_normalize": event_log_normalize,
-    "current_location": lambda spark, d: traces.current_location(_event_log(spark, d)),
+    "current_location": lambda spark, d: traces.current_location(V.status_events(spark, d)),
     "stream_current_location": stream_current_location,
     "stream_sentiment_series": stream_sentiment_series,
     "stream_participants": stream_participants,
-    "failed_exits": lambda spark, d: traces.failed_exits(_event_log(spark, d)).select(*_EVENT_COLUMNS),
-    "recent_events": lambda spark, d: traces.recent_events(_event_log(spark, d)).select(*_EVENT_COLUMNS),
+    "failed_exits": lambda spark, d: traces.failed_exits(V.status_events(spark, d)).select(*_EVENT_COLUMNS),
+    "recent_events": lambda spark, d: traces.recent_events(V.status_events(spark, d)).select(*_EVENT_COLUMNS),
 }

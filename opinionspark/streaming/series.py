@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,6 +20,24 @@ def _timed(posts: DataFrame, late: str) -> DataFrame:
 UNTIL_END = "3000 years"
 
 
+def needed_lateness(stored: DataFrame) -> str:
+    """The least lateness with which a stream over the stored files loses no post, however few files a batch takes.
+
+    ``stored`` has publish_time and of each post its file_path and
+    file_modification_time; a file stream reads the oldest files first. A post is
+    as late as the latest one in an earlier file is ahead of it, so windows close
+    as soon as the files' order allows, and state is bounded by how far files
+    overlap in time. One row per file is ordered as a whole.
+    """
+    files = stored.groupBy("file_modification_time", "file_path").agg(
+        F.min("publish_time").alias("first"), F.max("publish_time").alias("last")
+    )
+    earlier = Window.orderBy("file_modification_time", "file_path").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.timestamp_diff("SECOND", F.col("first"), F.max("last").over(earlier))
+    most = files.select(ahead.alias("ahead")).agg(F.max("ahead")).first()[0]
+    return f"{max(0, most or 0) + 1} seconds"
+
+
 def _marker(posts: DataFrame, time: str = "9000-01-01 00:00:00") -> DataFrame:
     return posts.sparkSession.range(1).select(
         *[F.lit(time if f.name == "publish_time" else None).cast(f.dataType).alias(f.name) for f in posts.schema.fields]
@@ -42,11 +60,13 @@ def mark_end(posts: DataFrame, path: str) -> None:
     _marker(posts).write.mode("append").parquet(path)
 
 
-def run_to_end(posts: DataFrame, series: Callable[[DataFrame], DataFrame], path: str) -> StructType:
+def run_to_end(
+    posts: DataFrame, series: Callable[[DataFrame], DataFrame], path: str, progress: list | None = None
+) -> StructType:
     """All windows of a finished input, written below ``path``/out; gives their schema.
 
     The stream runs to the end of the posts, gets the marker and runs on from
-    the same checkpoint.
+    the same checkpoint. The batches' progress is added to ``progress``.
     """
     stream = series(ended(posts, f"{path}/end"))
 
@@ -59,6 +79,8 @@ def run_to_end(posts: DataFrame, series: Callable[[DataFrame], DataFrame], path:
             .start()
         )
         query.awaitTermination()
+        if progress is not None:
+            progress.extend(query.recentProgress)
 
     run()
     mark_end(posts, f"{path}/end")

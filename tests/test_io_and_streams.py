@@ -17,7 +17,7 @@ from opinionspark.sources.schema import EVENT
 from opinionspark.sources.snapshots import version_folder
 from opinionspark.streaming.enrich import incremental_enrich, post_stream
 from opinionspark.streaming.location import branch_state_stream, latest_states, locate, store_changes
-from opinionspark.streaming.series import UNTIL_END, participants_stream, run_to_end, sentiment_series_stream
+from opinionspark.streaming.series import UNTIL_END, needed_lateness, participants_stream, run_to_end, sentiment_series_stream
 
 
 def write_json(path, value):
@@ -203,6 +203,39 @@ def test_finished_streams_show_all_windows(spark, make_posts, tmp_path, hours):
         assert sorted((r.time, r[column]) for r in rows) == [(f"2024-01-01 {h:02d}:00", n) for h in range(6)]
 
 
+def test_windows_close_as_the_files_allow(spark, make_posts, tmp_path):
+    """With the lateness that the files need no row is lost, and state stays small in a long input."""
+    source, path = str(tmp_path / "in"), str(tmp_path / "w")
+    # Each file has a post of two hours before.
+    row = lambda h, i: post(10 * h + i, time=f"2024-01-{1 + h // 24:02d} {h % 24:02d}:{i}0:00", user=f"u{i}")
+    _files(spark, make_posts, source, [[row(h, 0), row(h, 1), row(max(h - 2, 0), 2)] for h in range(30)])
+    files = ("file_path", "file_modification_time")
+    stored = spark.read.parquet(source).select("publish_time", *[F.col(f"_metadata.{c}").alias(c) for c in files])
+    late = needed_lateness(stored)
+    assert late == f"{50 * 60 + 1} seconds"  # 03:10 stands ahead of 02:20
+    stream = post_stream(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
+    for series, column in ((sentiment_series_stream, "count"), (participants_stream, "active_users")):
+        progress = []
+        schema = run_to_end(stream, lambda p: series(p, late=late), f"{path}/{column}", progress)  # noqa: B023
+        rows = spark.read.schema(schema).parquet(f"{path}/{column}/out").collect()
+        # The last two hours have no third post.
+        assert len(rows) == 30 and sum(r[column] for r in rows) == (90 if column == "count" else 88)
+        assert sum(s["numRowsDroppedByWatermark"] for p in progress for s in p["stateOperators"]) == 0
+        most = max(s["numRowsTotal"] for p in progress for s in p["stateOperators"])
+        assert most <= 15  # of 90 rows in 30 windows
+
+
+def test_needed_lateness(spark):
+    at = lambda h: f"2024-01-01 {h:02d}:00:00"
+    rows = [(at(5), "a", 2), (at(9), "a", 2), (at(4), "b", 1), (at(7), "c", 3), (at(8), "d", 3)]
+    stored = spark.createDataFrame(rows, "t string, file_path string, file_modification_time int").withColumn(
+        "publish_time", F.col("t").cast("timestamp_ntz")
+    )
+    assert needed_lateness(stored) == f"{2 * 3600 + 1} seconds"
+    assert needed_lateness(stored.filter("file_path in ('b', 'a')")) == "1 seconds"
+    assert needed_lateness(stored.limit(0)) == "1 seconds"
+
+
 def test_streamed_location(spark, tmp_path):
     events = [
         ("r", 1, "t", "enter", "s1", "n1", "main", "", ""),
@@ -216,3 +249,15 @@ def test_streamed_location(spark, tmp_path):
     store_changes(branch_state_stream(stream), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     states = latest_states(spark.read.parquet(str(tmp_path / "out")))
     assert sorted(tuple(r) for r in locate(states).collect()) == [("q", "", "", 0), ("r", "s1", "n1", 1)]
+
+
+def test_vocabularies_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_ENTRIES", 3)
+    values = spark.range(9).select(
+        F.col("id").alias("ord"), F.concat(F.lit("v"), "id").alias("value"), F.lit("c").alias("category"), F.col("id").cast("string").alias("subcategory")
+    )
+    one = spark.range(1)
+    for make in (lambda v: L.vocabulary(v, "value"), L.ordered_vocabulary, L.belief_vocabulary):
+        assert one.withColumn("v", make(values.limit(3))).first().v
+        with pytest.raises(Exception):
+            one.withColumn("v", make(values)).collect()

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SAMPLE, post
 from opinionspark import TOOLS, execute, registry
 from opinionspark.operators import geo, graphs, profile, publishers, sentiment, timeline, topics, traces
 from opinionspark.sources import posts as P
+from opinionspark.sources.schema import EVENT
 
 
 def rows(df, *order):
@@ -294,3 +297,49 @@ def test_entity_network_keeps_leading_entities(make_posts):
         ("aa", "bb", 2), ("aa", "cc", 1), ("bb", "cc", 1)]
     stored = make_posts([post(0, "@zz @yy", entities=["p", "q", "", "p"])])
     assert rows(keywords.entity_cooccurrence(stored)) == [("p", "q", 1)]
+
+
+def test_log_queries_number_as_the_whole_log(spark, monkeypatch):
+    """Numbers of single events against those of the renumbered log, with repeats and missing numbers."""
+    rng = random.Random(4)
+    rows = [
+        (f" r{rng.choice([0, 0, 0, 1, 2])}", rng.choice([None, 1, 2, 5, 9]), f"t{rng.randint(0, 3)}", rng.choice(["enter", "exit"]),
+         "s", f"n{rng.randint(0, 2)}", rng.choice([None, " ", "b", "c "]), rng.choice(["failed", "completed"]), "")
+        for _ in range(200)
+    ]
+    events = spark.createDataFrame(rows, EVENT).repartition(5)
+    plain = lambda frame: sorted(tuple(r) for r in frame.select(*[f.name for f in EVENT.fields]).collect())
+    logs = []
+    for most in (1_000_000, 10):
+        monkeypatch.setattr(traces, "_RUN_ROWS", most)
+        logs.append(plain(traces.event_log_normalize(events)))
+    assert logs[0] == logs[1]
+    by_number = sorted(logs[0], key=lambda r: (-r[1], [-ord(c) for c in r[0]]))
+    assert plain(traces.recent_events(events, 7)) == sorted(by_number[:7])
+    failed = [r for r in by_number if r[3] == "exit" and r[7] == "failed"]
+    for k in (1, 5, 60):
+        assert plain(traces.failed_exits(events, k)) == sorted(failed[:k])
+    log = spark.createDataFrame(logs[0], EVENT)
+    assert sorted(map(tuple, traces.current_location(events).collect())) == sorted(map(tuple, traces.current_location(log).collect()))
+    for name in ("failed_exits", "recent_events", "current_location"):
+        plan = getattr(traces, name)(events)._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan.replace("rangepartitioning(seq", "")
+
+
+def test_sketches_merge(spark, make_posts):
+    rng = random.Random(1)
+    rows = [post(i, time=f"2024-01-{1 + i % 9:02d} {i % 24:02d}:00:00", user=f"u{rng.randint(0, 30_000)}") for i in range(30_000)]
+    posts = make_posts([*rows, post(99_999, time=None), post(99_998, time="2024-01-01 00:00:00", user=None)])
+    exact = {r.time: r for r in publishers.participant_trend(posts).collect()}
+    sketches = publishers.participant_sketches(posts, "hour")
+    about = {r.time: r for r in publishers.participant_trend_approx(sketches, "day").collect()}
+    assert set(exact) == set(about)
+    for time, r in exact.items():
+        assert about[time].active_posts == r.active_posts
+        for column in ("active_users", "cumulative_users"):
+            assert abs(about[time][column] - r[column]) <= 0.02 * r[column]
+    ranges = spark.createDataFrame([(1, "2024-01-02", "2024-01-04"), (2, "2030-01-01", "2030-01-02")], "range_id long, s string, e string")
+    ranges = ranges.select("range_id", F.col("s").cast("timestamp_ntz").alias("start"), F.col("e").cast("timestamp_ntz").alias("end"))
+    got = {r.range_id: r.users for r in publishers.users_of_ranges(sketches, ranges).collect()}
+    users = {r["user_id"] for r in rows if "2024-01-02" <= r["publish_time"][:10] < "2024-01-04"}
+    assert got[2] == 0 and abs(got[1] - len(users)) <= 0.02 * len(users)

@@ -199,8 +199,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _share_of_draws(share: float) -> int:
-    """Below which of all 64-bit numbers so large a share of them lies."""
-    return int(min(share, 1.0) * (2**64 - 1)) - 2**63
+    """Up to which of all 64-bit numbers so large a share of them lies."""
+    return min(int(min(share, 1.0) * 2**64) - 2**63, 2**63 - 1)
 
 
 def learned(
@@ -218,7 +218,7 @@ def learned(
     known = may.select("doc_id", "lang").distinct().withColumn("_draw", F.xxhash64("doc_id", F.lit(13)))
     # Of a language with many documents only those with a low draw can be chosen, several times as many as needed.
     low = [
-        F.when((F.col("lang") == lang) & (F.col("_draw") < _share_of_draws((4 * per_lang + 100) / n)), True)
+        F.when((F.col("lang") == lang) & (F.col("_draw") <= _share_of_draws((4 * per_lang + 100) / n)), True)
         for lang, n in sorted(counted.items())
     ]
     order = Window.partitionBy("lang").orderBy("_draw", "doc_id")

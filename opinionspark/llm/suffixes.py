@@ -31,7 +31,7 @@ OFTEN = 4096
 _CHUNK = 1 << 19
 _U = np.uint64
 _BYTE = np.random.Generator(np.random.PCG64(50)).integers(1, 2**63, 256, dtype=np.uint64)
-#: Stands for a null doc_id: later than all others.
+#: Stands for a null doc_id: later than all others, and alike with this very id.
 _LAST = 2**63 - 1
 
 
@@ -431,15 +431,15 @@ def substring_digests(docs: DataFrame, often: int = OFTEN) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches):
             out = []
-            for id_, text, found, copy in zip(*(batch[c] for c in ("id", "text", "found", "copy"))):
+            for doc_id, text, found, copy in zip(*(batch[c] for c in ("doc_id", "text", "found", "copy"))):
                 raw = text.as_py().encode()
                 spans, kept = _kept(raw, found.as_py(), copy.as_py())
-                doc_id = None if id_.as_py() == _LAST else id_.as_py()
-                out.append((doc_id, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+                out.append((doc_id.as_py(), len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
             yield _batch(out, names, types)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return dedup_substrings(docs, often=often).select("id", "text", "found", "copy").mapInArrow(digest, schema)
+    rows = dedup_substrings(docs, often=often).select("row.doc_id", "text", "found", "copy")
+    return rows.mapInArrow(digest, schema)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

@@ -226,6 +226,12 @@ def test_removed_strings_are_those_of_brute_force(spark, docs, often):
     assert suffixes.substring_digests(docs([])).collect() == []
 
 
+def test_the_largest_id_is_an_id(docs):
+    text = " ".join(f"word{i}" for i in range(40))
+    got = suffixes.substring_digests(docs([(2**63 - 1, text), (None, "another"), (5, text)])).collect()
+    assert sorted(((r.doc_id, r.n_removed) for r in got), key=repr) == sorted([(2**63 - 1, len(text)), (None, 0), (5, 0)], key=repr)
+
+
 def test_kept_documents_keep_columns(spark, docs):
     rows = [(1, PASSAGE), (2, "before " + PASSAGE + "after"), (3, "é" * 40), (4, "a" + "é" * 40 + "b")]
     table = docs(rows)

@@ -231,3 +231,22 @@ def test_odd_languages(docs):
     assert [(r.lang_pred, r.score) for r in none] == [("und", 0.0)]
     alone = language.languages(docs([(i, "abc", "s", "xx") for i in range(9)])).collect()
     assert {(r.lang_pred, r.score) for r in alone} == {("xx", 1.0)}
+
+
+def test_frequent_languages_are_thinned_out(spark, docs):
+    """Of a language with many documents as many are learned from as of a rare one."""
+    rows = [(i, "the cat and the dog ", "s", "en") for i in range(3000)] + [(5000 + i, "der hund und die katze ", "s", "de") for i in range(20)]
+    found = []
+    spread = language.train
+
+    def noted(chunks, y, langs, *more):
+        found.append(np.bincount(y).tolist())
+        return spread(chunks, y, langs, *more)
+
+    language.train = noted
+    try:
+        network = language.learned(docs(rows), per_lang=30, chunks=1)
+    finally:
+        language.train = spread
+    learned_from = sum(zlib.crc32(str(5000 + i).encode()) % 3 != 1 for i in range(20))
+    assert network.langs == ["de", "en"] and found == [[learned_from, 30]]

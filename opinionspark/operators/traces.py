@@ -206,7 +206,7 @@ def _run_sizes(clean: DataFrame) -> DataFrame:
     return clean.groupBy(F.col("run_id").alias("_run")).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _of_run() -> Column:
+def _same_run() -> Column:
     return F.col("run_id").eqNullSafe(F.col("_run"))
 
 
@@ -294,14 +294,14 @@ def failed_exits(events: DataFrame, k: int = 20) -> DataFrame:
     places = chosen.groupBy(F.col("run_id").alias("_run")).agg(F.sort_array(F.collect_list("_place"), asc=False).alias("_places"))
     # The first candidate, from the end, that an event comes after.
     index = F.size(F.filter("_places", lambda p: p >= F.struct(*_ORDER)))
-    met = clean.join(places, _of_run()).groupBy("_run", index.alias("_index")).agg(F.count(F.lit(1)).alias("_events"))
+    met = clean.join(places, _same_run()).groupBy("_run", index.alias("_index")).agg(F.count(F.lit(1)).alias("_events"))
     upto = Window.partitionBy("_run").orderBy("_index").rowsBetween(Window.unboundedPreceding, 0)
     counted = met.withColumn("_after", F.sum("_events").over(upto)).groupBy("_run").agg(
         F.sort_array(F.collect_list(F.struct("_index", "_after"))).alias("_counts")
     )
     sized = _run_sizes(clean).join(counted.withColumnRenamed("_run", "_same"), F.col("_run").eqNullSafe(F.col("_same")))
     equal = Window.partitionBy("run_id", "_place").orderBy("_back")
-    joined = chosen.withColumn("_equal", F.row_number().over(equal) - 1).join(sized, _of_run())
+    joined = chosen.withColumn("_equal", F.row_number().over(equal) - 1).join(sized, _same_run())
     # Of equal exits the ones before count as well; they stand in front of this one among the candidates.
     own = F.col("_back") - F.col("_equal") - 1
     after = F.coalesce(F.get(F.filter("_counts", lambda c: c["_index"] <= own), F.size(F.filter("_counts", lambda c: c["_index"] <= own)) - 1)["_after"], F.lit(0))
@@ -312,6 +312,6 @@ def failed_exits(events: DataFrame, k: int = 20) -> DataFrame:
 def recent_events(events: DataFrame, k: int = 50) -> DataFrame:
     """The ``k`` events with the highest numbers, numbered as ``event_log_normalize`` does, from the end of each run."""
     clean = cleaned_log(events)
-    sized = _last_of_runs(clean, k).join(_run_sizes(clean), _of_run())
+    sized = _last_of_runs(clean, k).join(_run_sizes(clean), _same_run())
     numbered = sized.select("run_id", (F.col("_n") - F.col("_back") + 1).alias("seq"), *_WORDS, "branch_id")
     return numbered.orderBy(F.desc("seq"), F.desc("run_id")).limit(k)

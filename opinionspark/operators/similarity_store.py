@@ -1,10 +1,10 @@
 """Groups of similar texts that grow batch by batch.
 
-The store keeps, for every batch, its posts, its distinct texts as sets of
-token hashes, and their indexed tokens; and the groups of all texts so far. A
-batch meets the stored index and never the texts of earlier batches. Similarity
-is the Jaccard measure of the token sets, which no later text changes, so
-batches give the groups that one run over all posts gives.
+The store keeps, for every batch, its posts and its distinct texts as sets of
+token hashes; and the groups of all texts so far. A batch's texts meet each
+other and the stored sets, block by block (see ``tiles``). Similarity is the
+Jaccard measure of the token sets, which no later text changes, so batches give
+the groups that one run over all posts gives.
 
 Two texts can reach the threshold only if they share one of the first tokens of
 both in a fixed order. The order is that of the first batch, rare tokens first;
@@ -13,19 +13,18 @@ tokens that it hasn't seen come before all others, in every batch alike.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.checkpoints import checkpoint
 from ..sources.snapshots import snapshot_versions, version_folder, write_version
+from . import tiles
 from .components import connected_components
 from .similarity import _numbered
 
-_SLACK = 1e-9
-_TILE = 1000  # texts of one token that meet in one join key
+_TILE = 1000  # texts of a block that are compared at once
 TEXTS = "rep long, text_key string, tokens array<long>, size int"
-INDEX = "token long, rep long, size int, place int"
 POSTS = "post_id long, rep long"
 GROUPS = "rep long, component long"
 ORDER = "token long, texts long"
@@ -89,75 +88,28 @@ class SimilarityStore:
             else:
                 counted = texts.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
                 order = kept(counted, "order", ORDER)
-            index = kept(self._indexed(texts, order), "index", INDEX)
-            every = self._all(folders, "index", INDEX).withColumn("new", F.lit(False)).unionByName(index.withColumn("new", F.lit(True)))
-            both = old_texts.unionByName(texts).select("rep", "tokens", "size")
+            own_blocks = self._blocks(texts, order)
+            linked = self._met(own_blocks, None)
+            if folders:
+                linked = linked.unionByName(self._met(own_blocks, self._blocks(old_texts, order)))
             groups = self._all(folders[-1:], "groups", GROUPS).unionByName(texts.select("rep", F.col("rep").alias("component")))
-            groups = checkpoint(self._merged(groups, checkpoint(self._alike(self._pivots(every), both))))
-            crossing = self._alike(self._across(every, groups), both)
-            kept(self._merged(groups, checkpoint(crossing)), "groups", GROUPS)
+            kept(self._merged(groups, checkpoint(linked)), "groups", GROUPS)
 
         return write_version(spark, self.path, write)
 
-    def _indexed(self, texts: DataFrame, order: DataFrame) -> DataFrame:
-        """(token, rep, size, place): each text's first tokens, enough that similar texts share one."""
-        rows = texts.select("rep", "size", F.explode("tokens").alias("token")).join(order, "token", "left")
-        ranked = rows.groupBy("rep", "size").agg(
-            F.sort_array(F.collect_list(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "token"))).alias("t")
+    def _blocks(self, texts: DataFrame, order: DataFrame) -> DataFrame:
+        """The texts' token sets in blocks. Any token may be in a later text, so none counts as one of a single text."""
+        rows = texts.select("rep", F.explode("tokens").alias("token")).join(order, "token", "left")
+        one = F.lit(1).cast("long")
+        entries = rows.select(
+            "rep", one.alias("copies"), F.col("token").alias("id"), (F.coalesce("texts", F.lit(0)) + 2).alias("df"), one.alias("n")
         )
-        length = F.col("size") - F.ceil(F.col("size") * self.threshold - _SLACK) + 1
-        first = ranked.withColumn("t", F.slice("t", F.lit(1), length.cast("int")))
-        return first.select(F.posexplode("t").alias("place", "x"), "rep", "size").select("x.token", "rep", "size", "place")
-
-    def _may(self) -> Column:
-        """Whether two texts with these sizes and places of the shared token can reach the threshold."""
-        a, b = F.col("size_a"), F.col("size_b")
-        shared = F.least(a - F.col("place_a"), b - F.col("place_b"))
-        sizes = (F.least(a, b) >= self.threshold * F.greatest(a, b) - _SLACK)
-        return sizes & (shared >= self.threshold / (1 + self.threshold) * (a + b) - _SLACK)
-
-    @staticmethod
-    def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
-        named = [F.col(c).alias(f"{c}_{side}") for c in ("rep", "size", "place", "new", *more)]
-        return rows.select("token", *[c for c in rows.columns if c == "chunk"], *named)
-
-    def _pairs(self, met: DataFrame) -> DataFrame:
-        usable = met.filter((F.col("rep_a") != F.col("rep_b")) & (F.col("new_a") | F.col("new_b")) & self._may())
-        return usable.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+        tokens = texts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        return tiles.blocks(entries, tokens, "jaccard", self.threshold)
 
-    def _pivots(self, every: DataFrame) -> DataFrame:
-        """Each token's first text with the others, as far as one of them is new."""
-        pivot = every.groupBy("token").agg(F.min(F.struct("rep", "size", "place", "new")).alias("p")).select("token", "p.*")
-        return self._pairs(self._side(every, "b").join(self._side(pivot, "a"), "token"))
-
-    def _across(self, every: DataFrame, groups: DataFrame) -> DataFrame:
-        """Pairs with a new text that share a token and aren't in one group yet.
-
-        One of such a pair is outside the token's largest group, so those are paired with all texts of the
-        token, in tiles of bounded size; tokens whose texts are one group already drop out.
-        """
-        placed = every.join(groups, "rep")
-        sizes = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("new"))
-        tokens = sizes.groupBy("token").agg(
-            F.max(F.struct("n", "component"))["component"].alias("main"),
-            F.count(F.lit(1)).alias("parts"),
-            F.sum("n").alias("all"),
-            F.max("new").alias("any_new"),
-        )
-        open_ = placed.join(tokens.filter("parts > 1 and any_new"), "token")
-        chunks = F.ceil(F.col("all") / _TILE).cast("int")
-        outside = open_.filter(F.col("component") != F.col("main")).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        inside = open_.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
-        met = self._side(outside, "a", "component").join(self._side(inside, "b", "component"), ["token", "chunk"])
-        return self._pairs(met.filter(F.col("component_a") != F.col("component_b")))
-
-    def _alike(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """The pairs that reach the threshold, by their whole token sets."""
-        sides = [texts.select(*[F.col(c).alias(f"{c}_{s}") for c in ("rep", "tokens", "size")]) for s in "ab"]
-        met = pairs.join(sides[0], F.col("a") == F.col("rep_a")).join(sides[1], F.col("b") == F.col("rep_b"))
-        shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-        share = shared / (F.col("size_a") + F.col("size_b") - shared)
-        return met.filter(F.round(share, 9) >= self.threshold).select("a", "b")
+    def _met(self, first: DataFrame, second: DataFrame | None) -> DataFrame:
+        """Pairs (a, b) that connect the similar texts of the blocks."""
+        return tiles.meet(first, second, "jaccard", self.threshold, _TILE, links=True).select("a", "b")
 
     @staticmethod
     def _merged(groups: DataFrame, edges: DataFrame) -> DataFrame:

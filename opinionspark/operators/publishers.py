@@ -287,6 +287,11 @@ def participant_trend(posts: DataFrame, granularity: str = "day") -> DataFrame:
         .groupBy("user_id", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return _trend_of(active, granularity)
+
+
+def _trend_of(active: DataFrame, granularity: str) -> DataFrame:
+    """The trend of (user_id, bucket, n), one row per user and time."""
     first = F.min("bucket").over(Window.partitionBy("user_id"))
     grouped = (
         active.withColumn("is_new", F.col("bucket") == first)
@@ -304,6 +309,29 @@ def participant_trend(posts: DataFrame, granularity: str = "day") -> DataFrame:
     ).withColumn("cumulative_users", F.sum("new_users").over(running))
 
 
+def participant_sets(posts: DataFrame, granularity: str = "hour") -> DataFrame:
+    """(bucket, user_id, posts): the different users of each time with their posts.
+
+    Sets merge over any times without error, so they can be stored once and asked for any range.
+    """
+    timed = posts.filter(F.col("user_id").isNotNull() & F.col("publish_time").isNotNull())
+    bucket = F.date_trunc(granularity, "publish_time").cast("timestamp_ntz").alias("bucket")
+    return timed.groupBy(bucket, "user_id").agg(F.count(F.lit(1)).alias("posts"))
+
+
+def participant_trend_of_sets(sets: DataFrame, granularity: str = "day") -> DataFrame:
+    """``participant_trend`` from stored sets of users; times may be coarser than those of the sets."""
+    active = sets.groupBy("user_id", time_bucket("bucket", granularity).alias("bucket")).agg(F.sum("posts").alias("n"))
+    return _trend_of(active, granularity).drop("new_user_posts")
+
+
+def users_of_ranges_of_sets(sets: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(range_id, users): how many different users each half open range (range_id, start, end) has; 0 without posts."""
+    inside = (F.col("bucket") >= F.col("start")) & (F.col("bucket") < F.col("end"))
+    met = ranges.join(sets.select("bucket", "user_id"), inside, "left").select("range_id", "user_id").distinct()
+    return met.groupBy("range_id").agg(F.count("user_id").alias("users"))
+
+
 def participant_sketches(posts: DataFrame, granularity: str = "hour", lg: int = 14) -> DataFrame:
     """(bucket, posts, users): the number of posts and a sketch of the distinct users of each time.
 

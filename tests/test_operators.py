@@ -343,3 +343,22 @@ def test_sketches_merge(spark, make_posts):
     got = {r.range_id: r.users for r in publishers.users_of_ranges(sketches, ranges).collect()}
     users = {r["user_id"] for r in rows if "2024-01-02" <= r["publish_time"][:10] < "2024-01-04"}
     assert got[2] == 0 and abs(got[1] - len(users)) <= 0.02 * len(users)
+
+
+def test_participant_queries_are_exact_with_many_users(spark, tmp_path):
+    """More users than a sketch tells apart."""
+    import duckdb
+
+    from opinionspark.plans.oracles import ORACLES
+    from opinionspark.plans.queries import QUERIES
+
+    events = spark.range(60_000).selectExpr(
+        "id as event_id", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, cast(id * 7919 % 400 as int)) as ts",
+        "id * 31 % 40009 as user_id", "'view' as event_type", "cast(id % 500 as double) as value",
+    )
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * REPLACE (CAST(ts AS TIMESTAMP) AS ts) FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("participant_ranges", "participant_trend_approx"):
+        got = sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == sorted(duck.execute(ORACLES[name]).fetchall())

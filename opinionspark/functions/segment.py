@@ -9,9 +9,9 @@ are whole numbers, so that sums are exact and ties always fall alike.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +22,10 @@ from .text import Tokenizer
 MOST_WORDS, LONGEST_WORD = 1_000_000, 32
 #: Costs are in so small parts of a unit of the natural logarithm.
 PARTS = 1_000_000
+#: Runs of at most so many characters are cut together, so many characters at once.
+SHORT_RUN, TOGETHER = 200, 200_000
 _RUNS = r"[A-Za-z0-9_]+|[\x{4e00}-\x{9fff}]+"
 _CHINESE = r"[\x{4e00}-\x{9fff}]"
-_WORD = re.compile(r"[一-鿿]+")
 
 
 class Dictionary:
@@ -35,6 +36,13 @@ class Dictionary:
         self.unknown = round(PARTS * math.log(total))
         self.costs = {w: round(PARTS * (math.log(total) - math.log(n))) for w, n in words.items()}
         self.beginnings = {w[:k] for w in words for k in range(1, len(w) + 1)}
+        # The same as arrays: from the number of a beginning and a character to the number of the longer beginning.
+        names = sorted(self.beginnings)
+        number = {"": 0} | {name: k for k, name in enumerate(names, 1)}
+        key = np.array([number[name[:-1]] << 21 | ord(name[-1]) for name in names], np.int64)
+        order = np.argsort(key)
+        self._steps, self._reached = key[order], (order + 1).astype(np.int32)
+        self._prices = np.array([-1, *(self.costs.get(name, -1) for name in names)], np.int64)
 
     def words_at(self, run: str, start: int) -> Iterator[tuple[int, int]]:
         """(end, cost) of the words that begin at ``start``, the shortest first."""
@@ -62,6 +70,69 @@ class Dictionary:
             start = chosen[start]
         return out
 
+    def cut_all(self, runs: list[str]) -> list[str]:
+        """The words of each run joined by line ends, as ``cut`` finds them; short runs are cut together."""
+        out = [""] * len(runs)
+        few, size = [], 0
+        for k, run in enumerate(runs):
+            if len(run) > SHORT_RUN:
+                out[k] = "\n".join(self.cut(run))
+                continue
+            few.append(k)
+            size += len(run) + 1
+            if size >= TOGETHER:
+                self._cut_into(out, runs, few)
+                few, size = [], 0
+        if few:
+            self._cut_into(out, runs, few)
+        return out
+
+    def _edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, cost) of the words that may be taken; character 0 ends a run."""
+        starts, found = np.flatnonzero(text), []
+        inside, wordless = starts, np.ones(len(text), bool)
+        state, length = np.zeros(len(starts), np.int64), 0
+        while len(starts) and len(self._steps):
+            key = state << 21 | text[starts + length]
+            at = np.minimum(np.searchsorted(self._steps, key), len(self._steps) - 1)
+            known = self._steps[at] == key
+            starts, state, length = starts[known], self._reached[at[known]].astype(np.int64), length + 1
+            price = self._prices[state]
+            words = price >= 0
+            wordless[starts[words]] = False
+            found.append((starts[words], np.full(int(words.sum()), length), price[words]))
+        rest = inside[wordless[inside]]
+        found.append((rest, np.ones(len(rest), np.int64), np.full(len(rest), self.unknown, np.int64)))
+        return tuple(np.concatenate(part) for part in zip(*found))
+
+    def _cut_into(self, out: list[str], runs: list[str], chosen: list[int]) -> None:
+        """Fills in the runs at the chosen places, all from their ends to their beginnings at the same time."""
+        text = np.frombuffer("\0".join([*(runs[k] for k in chosen), ""]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        ends = np.flatnonzero(text == 0)
+        left = np.repeat(ends, np.diff(np.r_[-1, ends])) - np.arange(len(text))
+        start, length, cost = self._edges(text)
+        order = np.argsort(left[start] * len(text) + start)
+        start, length, cost = start[order], length[order], cost[order]
+        first = np.flatnonzero(np.r_[True, start[1:] != start[:-1]][: len(start)])
+        # Of equal costs the longer word has the smaller number.
+        best, taken, unit = np.zeros(len(text), np.int64), np.ones(len(text), np.int64), int(length.max(initial=0)) + 1
+        own = start[first]
+        steps = np.searchsorted(left[own], np.arange(1, int(left.max(initial=0)) + 2))
+        after = np.r_[first, len(start)]
+        for low, high in zip(steps[:-1], steps[1:]):
+            some = slice(after[low], after[high])
+            value = (cost[some] + best[start[some] + length[some]]) * unit + (unit - 1 - length[some])
+            least = np.minimum.reduceat(value, first[low:high] - after[low])
+            best[own[low:high]], taken[own[low:high]] = least // unit, unit - 1 - least % unit
+        begins, at = np.zeros(len(text), bool), np.r_[0, ends[:-1] + 1]
+        while len(at := at[text[at] != 0]):
+            at = at + taken[at]
+            begins[at] = True
+        begins &= text != 0
+        made = np.insert(text, np.flatnonzero(begins), ord("\n")).astype(np.uint32).tobytes().decode("utf-32-le")
+        for k, words in zip(chosen, made.split("\0")):
+            out[k] = words
+
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(word, freq) of a text file with a word, its frequency and more on each line; without a number it is 1."""
@@ -88,16 +159,10 @@ def dictionary_tokenizer(words: DataFrame) -> Tokenizer:
 
     @F.pandas_udf("string")
     def cut(runs: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-
-        def one(run: str) -> str:
-            if not _WORD.fullmatch(run):
-                return run
-            if run not in known:
-                known[run] = "\n".join(shared.value.cut(run))
-            return known[run]
-
-        return runs.map(lambda text: None if text is None else "\n".join(map(one, text.split("\n"))))
+        texts = [None if text is None else text.split("\n") for text in runs]
+        chinese = list({run for text in texts if text for run in text if run[:1] >= "一"})
+        known = dict(zip(chinese, shared.value.cut_all(chinese)))
+        return pd.Series([None if text is None else "\n".join([known.get(run, run) for run in text]) for text in texts], dtype=object)
 
     def tokens(text: Column) -> Column:
         runs = F.regexp_extract_all(text, F.lit(_RUNS), F.lit(0))

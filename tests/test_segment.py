@@ -47,6 +47,19 @@ def test_paths_are_the_most_probable():
         assert known.cut(run) == min(priced)[2]
 
 
+def test_runs_cut_together_are_cut_alike(monkeypatch):
+    """Many short runs in one go, longer ones and other characters between them, as ``cut`` takes each alone."""
+    monkeypatch.setattr("opinionspark.functions.segment.TOGETHER", 30)
+    monkeypatch.setattr("opinionspark.functions.segment.SHORT_RUN", 12)
+    rng = random.Random(5)
+    for _ in range(200):
+        letters = "一丁七万"[: rng.randint(1, 4)]
+        words = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 5))): rng.randint(1, 9) for _ in range(rng.randint(0, 9))}
+        known = Dictionary(words)
+        runs = ["".join(rng.choice("一丁七万丈") for _ in range(rng.choice([0, 1, 2, 5, 12, 13, 40]))) for _ in range(rng.randint(0, 20))]
+        assert known.cut_all(runs) == ["\n".join(known.cut(run)) for run in runs]
+
+
 def test_dictionary_files(spark, tmp_path):
     path = tmp_path / "words.txt"
     path.write_text("北京 50 n\n大学 40\n北京大学 30 nt\n京大\n 学生  20 n\nlatin 9\n北京 7\n\n坏 x\n", encoding="utf-8")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import Tokenizer
+from .values import let
 
 #: The dictionary goes to every executor, so it may have so many words of at most so many characters.
 MOST_WORDS, LONGEST_WORD = 1_000_000, 32
@@ -166,7 +167,8 @@ def dictionary_tokenizer(words: DataFrame) -> Tokenizer:
 
     def tokens(text: Column) -> Column:
         runs = F.regexp_extract_all(text, F.lit(_RUNS), F.lit(0))
-        chinese = text.rlike(_CHINESE)
-        return F.coalesce(F.split(cut(F.when(chinese, F.array_join(runs, "\n"))), "\n"), runs)
+        # The text is an expression of its own, so it stands here once.
+        chinese = let(runs, lambda r: F.when(F.exists(r, lambda run: run >= "一"), F.array_join(r, "\n")))
+        return F.coalesce(F.split(cut(chinese), "\n"), runs)
 
     return tokens

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,17 @@ def test_links_tags_and_wide_gaps_go_before_words_are_joined(spark, tmp_path):
         duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     got = [tuple(r) for r in QUERIES["tokenize_dictionary"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(duck.execute(ORACLES["tokenize_dictionary"]).fetchall())
+
+
+def test_texts_are_cut_once(spark):
+    """Copies are found and named from keys that were made once."""
+    cut = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        cut.add(len(texts))
+        return texts.str.split(" ")
+
+    posts = spark.createDataFrame([(i, f"a b{i % 3} c") for i in range(9)], "post_id long, content string")
+    assert similarity.text_copies(posts, tokenizer=lambda text: words(text)).count() == 9
+    assert cut.value == 9

@@ -135,16 +135,32 @@ def insight_evidence(insights: DataFrame, executions: DataFrame) -> DataFrame:
         return F.contains(text, tool) | F.exists(parts, lambda p: F.contains(text, p))
 
     names = runs.filter(F.col("tool") != "").groupBy("run_id").agg(F.collect_set("tool").alias("_names"))
-    found = F.explode(F.filter("_names", lambda t: named(F.col("text"), t))).alias("tool")
-    by_name = texts.join(names, "run_id").select("run_id", "insight_id", found).join(runs, ["run_id", "tool"]).select(*shown)
+    insight, execution = ["run_id", "insight_id"], ["run_id", "execution_no", "id", "status"]
+    own = F.filter("_names", lambda t: named(F.col("text"), t))
+    told_names = texts.join(names, "run_id").select(*insight, own.alias("_own"))
+    # One row per insight, with the names in its texts, and one per execution, so that their pairs need no distinct.
+    wanted = told_names.groupBy(*insight).agg(F.array_distinct(F.flatten(F.collect_list("_own"))).alias("_own"))
+    tools = runs.groupBy(*execution).agg(F.sort_array(F.collect_set("tool")).alias("_tools"))
+    by_tool = tools.select(*execution, "_tools", F.explode("_tools").alias("tool"))
+    pairs = wanted.select(*insight, "_own", F.explode("_own").alias("tool")).join(by_tool, ["run_id", "tool"])
+    # An execution with several names in a text meets it at the first one.
+    first = F.get(F.filter("_tools", lambda t: F.array_contains("_own", t)), F.lit(0))
+    by_name = pairs.filter(F.col("tool") == first).select(*shown)
     summaries = runs.filter(F.col("summary") != "").select("run_id", "summary").distinct()
-    by_summary = _told(texts, summaries).join(runs, ["run_id", "summary"]).select(*shown)
-    matched = by_name.unionByName(by_summary).distinct().withColumn("matched", F.lit(True))
+    told = _told(texts, summaries).join(runs, ["run_id", "summary"]).select(*shown).distinct()
+    same = F.lit(True)
+    for c in execution:
+        same = same & F.col(f"t.{c}").eqNullSafe(F.col(f"x.{c}"))
+    met = told.alias("t").join(tools.alias("x"), same).select("t.*", "x._tools").join(wanted, insight, "left")
+    by_summary = met.filter(~F.coalesce(F.arrays_overlap("_tools", "_own"), F.lit(False))).select(*shown)
+    matched = by_name.unionByName(by_summary).withColumn("matched", F.lit(True))
     # The last two of each run; the rank's limit is applied ahead of the shuffle too.
     latest = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("execution_no"), "id"))
     two = runs.filter(F.col("status") == "success").withColumn("_rank", latest).filter("_rank <= 2")
     recent = two.groupBy("run_id").agg(F.collect_list(F.struct("execution_no", "id", "status")).alias("_recent"))
-    alone = texts.select("run_id", "insight_id").join(matched, ["run_id", "insight_id"], "left_anti")
+    # Each distinct name is one of an execution, so an insight that has one is matched.
+    some = wanted.filter(F.size("_own") > 0).select(*insight).unionByName(told.select(*insight))
+    alone = texts.select(*insight).join(some, insight, "left_anti")
     fallback = alone.join(recent, "run_id").select("run_id", "insight_id", F.inline("_recent"), F.lit(False).alias("matched"))
     return matched.unionByName(fallback)
 

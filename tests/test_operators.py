@@ -362,3 +362,15 @@ def test_participant_queries_are_exact_with_many_users(spark, tmp_path):
     for name in ("participant_ranges", "participant_trend_approx"):
         got = sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
         assert got == sorted(duck.execute(ORACLES[name]).fetchall())
+
+
+def test_evidence_of_one_execution_counts_once_without_a_distinct_over_pairs(spark):
+    insights = spark.createDataFrame([("i1", "Alpha beta"), ("i1", "tool gamma s1"), ("i2", "s1 alone"), ("i3", "nothing")], "insight_id string, text string")
+    rows = [(1, "e1", "success", t, s) for t in ("alpha_x", "gamma_y") for s in ("s1", "beta")] + [(2, "e2", "failed", "zzz", "s1"), (2, "e2", "failed", "zzz", "s1")]
+    runs = spark.createDataFrame(rows, "execution_no long, id string, status string, tool_name string, summary string")
+    out = traces.insight_evidence(insights, runs)
+    got = sorted((r.insight_id, r.id, r.matched) for r in out.collect())
+    assert [g for g in got if g[0] != "i3"] == [("i1", "e1", True), ("i1", "e2", True), ("i2", "e1", True), ("i2", "e2", True)]
+    assert {g for g in got if g[0] == "i3"} == {("i3", "e1", False)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "Union" in plan[0] and not any("Aggregate" in line for line in plan[1:3])

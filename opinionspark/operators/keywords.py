@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.values import rnd, time_label
-from ..plans.shapes import bucketed, row_count, top, top_keys, zero_filled
+from ..functions.values import time_label
+from ..plans.checkpoints import stored
+from ..plans.shapes import bucketed, top, top_keys, zero_filled
+from .bundles import PART, cut, grown, in_parts, named_tokens, shrunk, tokens_of
 from .topics import unordered_pairs
 
+_ROOM = 1 << 19  # tokens of a bundle
+
 
 def _stored_or(posts: DataFrame, name: str, computed):
     """The stored list when a post has one, else the computed list."""
@@ -46,33 +50,95 @@ def keywords_topn(posts: DataFrame, top_n: int = 10, tokenizer: T.Tokenizer = T.
 def keywords_tfidf(posts: DataFrame, top_n: int = 10, tokenizer: T.Tokenizer = T.word_tokens) -> DataFrame:
     """A post's tokens ranked by count × smoothed inverse document frequency.
 
-    Document frequencies are one shuffled aggregate over distinct tokens per
-    post. The join with them is left to the optimizer: it broadcasts a small
-    vocabulary by its measured size and splits skewed tokens otherwise.
+    Tokens are made once. Posts are bundled where they lie (see ``bundles``), each bundle gets the document
+    frequencies of its distinct tokens, a row for each part of them, and ranks the tokens of its posts. So
+    neither a row for each token of each post nor a post's tokens are shuffled.
     """
-    postings = posts.select("post_id", F.inline(T.token_counts(T.tokenize("content", tokenizer))))
-    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    total = row_count(posts)
-    scored = postings.join(df, "token").select(
-        "post_id",
-        "token",
-        "pos",
-        rnd(F.col("n") * (F.log((total + 1).cast("double") / (F.col("df") + 1)) + 1.0), 6).alias("score"),
+    spark, kind = posts.sparkSession, posts.schema["post_id"].dataType.simpleString()
+    parts, total = int(spark.conf.get("spark.sql.shuffle.partitions")), posts.count()
+    rows = posts.select("post_id", T.tokenize("content", tokenizer).alias("tokens"))
+    bundles = stored(
+        rows.mapInArrow(
+            _postings(parts, _ROOM),
+            f"block long, posts array<{kind}>, parts array<{PART}>, sizes binary, words binary, counts binary, places binary",
+        )
     )
-    # A post has at most as many rows here as its own text has tokens.
-    best = scored.groupBy("post_id").agg(
-        F.slice(
-            F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "pos", "token"))), 1, top_n
-        ).alias("best")
-    )
-    return best.select("post_id", F.posexplode("best").alias("i", "k")).select(
-        "post_id",
-        (F.col("i") + 1).cast("bigint").alias("rank"),
-        F.col("k.token").alias("keyword"),
-        (-F.col("k.neg")).alias("score"),
+    names = named_tokens(bundles, parts).groupBy("block").agg(F.collect_list(F.struct("part", "df")).alias("names"))
+    return bundles.join(names, "block").mapInArrow(
+        _ranked(total, top_n), f"post_id {kind}, rank long, keyword string, score double"
     )
 
 
+def _postings(parts: int, room: int):
+    """The function that bundles the posts of each partition, about ``room`` tokens in one row."""
+
+    def bundle(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        for rows in cut(batches, room):
+            tokens = rows.column("tokens").combine_chunks()
+            words = tokens.flatten().dictionary_encode()
+            sizes, codes, known = np.asarray(tokens.value_lengths()), words.indices.to_numpy(), len(words.dictionary)
+            text = np.repeat(np.arange(len(rows)), sizes)
+            key = text * known + codes
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+            at = order[begin]  # where a post has a token first
+            place, made = in_parts(words.dictionary, np.bincount(codes[at], minlength=known), parts)
+            values = [
+                np.bincount(text[at], minlength=len(rows)), place[codes[at]], np.diff(np.r_[begin, len(key)]),
+                at - (np.cumsum(sizes) - sizes)[text[at]],
+            ]
+            held = pa.ListArray.from_arrays([0, len(rows)], rows.column("post_id").combine_chunks())
+            columns = [pa.array([shrunk(v.astype(np.int32))], pa.binary()) for v in values]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), held, made, *columns],
+                names=["block", "posts", "parts", "sizes", "words", "counts", "places"],
+            )
+            block += 1
+
+    return bundle
+
+
+def _ranked(total: int, top_n: int):
+    """The function from bundles with document frequencies to each post's leading tokens."""
+
+    def rank(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sizes, words, counts, places = (
+                    grown(batch.column(c)[row].as_py(), "int32") for c in ("sizes", "words", "counts", "places")
+                )
+                held = batch.column("parts")[row].as_py()
+                tokens = pa.concat_arrays([tokens_of(p["sizes"], p["bytes"]) for p in held])
+                told = sorted((n["part"], n["df"]) for n in batch.column("names")[row].as_py())
+                df = np.concatenate([grown(n, "int32") for _, n in told])
+                value = counts * (np.log((total + 1.0) / (df + 1.0)) + 1.0)[words]
+                # As values.rnd does: half up at the twelfth place, then at the sixth.
+                score = np.floor((np.floor(value * 1e12 + 0.5) + 500_000) / 1_000_000) / 1e6
+                text = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((places, -score, text))
+                # Sorted by post, so the posts stand as before.
+                ranks = np.arange(len(order)) - (np.cumsum(sizes) - sizes)[text]
+                best, kept = order[ranks < top_n], ranks < top_n
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("posts")[row].values.take(pa.array(text[kept])), pa.array(ranks[kept] + 1, pa.int64()),
+                        tokens.take(pa.array(words[best])).cast(pa.string()), pa.array(score[best]),
+                    ],
+                    names=["post_id", "rank", "keyword", "score"],
+                )
+
+    return rank
+
+
 def post_entities(posts: DataFrame) -> DataFrame:
     return posts.select("post_id", F.posexplode(T.entities("content")).alias("pos", "entity"))
 

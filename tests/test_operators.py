@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -374,3 +376,30 @@ def test_evidence_of_one_execution_counts_once_without_a_distinct_over_pairs(spa
     assert {g for g in got if g[0] == "i3"} == {("i3", "e1", False)}
     plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert "Union" in plan[0] and not any("Aggregate" in line for line in plan[1:3])
+
+
+def test_tfidf_tokens_are_made_once(spark, make_posts, monkeypatch):
+    """Ranks equal brute force over several bundles, and the tokenizer sees each post once."""
+    from opinionspark.operators import keywords as K
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<string>")
+    def spaces(texts: pd.Series) -> pd.Series:
+        seen.add(len(texts))
+        return texts.str.split()
+
+    monkeypatch.setattr(K, "_ROOM", 6, raising=False)
+    docs = ["b a b c", "", "a a d", "中文 a", " ".join(f"x{i % 7}" for i in range(20)), "c b", None, "a"]
+    out = K.keywords_tfidf(make_posts([post(i, d) for i, d in enumerate(docs)]).repartition(2), 3, spaces).collect()
+    bags = [(d or "").split() for d in docs]
+    df = Counter(t for b in bags for t in set(b))
+    expected = {}
+    for i, b in enumerate(bags):
+        scores = {t: round(n * (math.log((1 + len(docs)) / (1 + df[t])) + 1), 6) for t, n in Counter(b).items()}
+        ranked = sorted(scores, key=lambda t: (-scores[t], b.index(t)))[:3]
+        expected |= {(i, k): (t, scores[t]) for k, t in enumerate(ranked, 1)}
+    found = {(r.post_id, r["rank"]): (r.keyword, r.score) for r in out}
+    assert found.keys() == expected.keys() and {k: t for k, (t, _) in found.items()} == {k: t for k, (t, _) in expected.items()}
+    assert all(abs(found[k][1] - expected[k][1]) <= 1e-6 for k in found)
+    assert seen.value == len(docs)

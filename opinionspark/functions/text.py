@@ -167,8 +167,8 @@ def _chinese_lexicon_words(text: Column) -> Column:
     return F.when(text.rlike(r"[\x{4e00}-\x{9fff}]"), found).otherwise(F.array().cast("array<string>"))
 
 
-def lexicon_sentiment(text: str | Column, tokenizer: Tokenizer = word_tokens) -> Column:
-    """Lexicon score as ``struct<label, score, positive, negative>``."""
+def lexicon_sentiment(text: str | Column, tokenizer: Tokenizer = word_tokens, tokens: Column | None = None) -> Column:
+    """Lexicon score as ``struct<label, score, positive, negative>``; tokens that are known aren't made again."""
 
     def count(words: Column, chinese: Column, lexicon: tuple[str, ...]) -> Column:
         latin = F.size(F.filter(words, lambda t: t.isin(*[w for w in lexicon if w.isascii()])))
@@ -186,7 +186,8 @@ def lexicon_sentiment(text: str | Column, tokenizer: Tokenizer = word_tokens) ->
         )
 
     source = _column(text)
-    return let(F.struct(tokenize(text, tokenizer).alias("tokens"), _chinese_lexicon_words(source).alias("chinese")), score)
+    made = tokenize(text, tokenizer) if tokens is None else tokens
+    return let(F.struct(made.alias("tokens"), _chinese_lexicon_words(source).alias("chinese")), score)
 
 
 def repair_mojibake(text: str | Column) -> Column:

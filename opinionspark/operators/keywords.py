@@ -13,6 +13,7 @@ from .bundles import PART, cut, grown, in_parts, named_tokens, shrunk, tokens_of
 from .topics import unordered_pairs
 
 _ROOM = 1 << 19  # tokens of a bundle
+_TOKENS = "_tokens"  # no column of posts
 
 
 def _stored_or(posts: DataFrame, name: str, computed):
@@ -153,13 +154,17 @@ def nlp_enrich(
     """Posts with keywords, entities and lexicon sentiment, and with the
     similarity group when cluster ids (post_id, text_similarity_group) are given."""
     base = posts.drop("text_similarity_group") if groups is not None else posts
-    enriched = base.withColumns(
+    # Tokens are made once: the generator evaluates them before anything reads them.
+    tokens = T.tokenize("content", tokenizer)
+    made = base.select("*", F.inline(F.array(F.struct(tokens.alias(_TOKENS)))))
+    ranked = T.ranked_tokens(F.col(_TOKENS), keyword_top_n)
+    enriched = made.withColumns(
         {
-            "keywords": T.keywords("content", keyword_top_n, tokenizer),
+            "keywords": F.transform(ranked, lambda x: x["token"]),
             "entities": T.entities("content"),
-            "lexicon_sentiment": T.lexicon_sentiment("content", tokenizer),
+            "lexicon_sentiment": T.lexicon_sentiment("content", tokens=F.col(_TOKENS)),
         }
-    )
+    ).drop(_TOKENS)
     return enriched if groups is None else enriched.join(groups, "post_id", "left")
 
 

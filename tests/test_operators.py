@@ -403,3 +403,23 @@ def test_tfidf_tokens_are_made_once(spark, make_posts, monkeypatch):
     assert found.keys() == expected.keys() and {k: t for k, (t, _) in found.items()} == {k: t for k, (t, _) in expected.items()}
     assert all(abs(found[k][1] - expected[k][1]) <= 1e-6 for k in found)
     assert seen.value == len(docs)
+
+
+def test_enriched_tokens_are_made_once(spark, make_posts):
+    """Keywords and lexicon sentiment share the tokens of a post."""
+    from opinionspark.operators import keywords as K
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<string>")
+    def spaces(texts: pd.Series) -> pd.Series:
+        seen.add(len(texts))
+        return texts.str.split()
+
+    docs = ["good a good bad", "", None, "hate it"]
+    out = K.nlp_enrich(make_posts([post(i, d) for i, d in enumerate(docs)]), tokenizer=spaces)
+    assert "_tokens" not in out.columns
+    assert [(r.keywords, r.lexicon_sentiment.score) for r in sorted(out.collect(), key=lambda r: r.post_id)] == [
+        (["good", "a", "bad"], 1), ([], 0), ([], 0), (["hate", "it"], -1)
+    ]
+    assert seen.value == len(docs)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.bundles import grown, shrunk
+from ..plans.checkpoints import release_shuffles
 from .common import parts_of, release_memory, stored, text_or_empty
 from .shingles import mixed, text_slices
 
@@ -170,8 +172,17 @@ def _deal(bucket: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(b), order[edges[b] : edges[b + 1]]
 
 
+def _bucket(anchors: np.ndarray, buckets: int) -> np.ndarray:
+    return (anchors >> _U(32)) % _U(buckets)
+
+
+def _keys(anchors: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
+    """What tells anchors apart: the lower half of each, after its bucket. Where keys collide, more text is sorted, no less."""
+    return np.asarray(bucket, np.uint64) << _U(32) | anchors & _U(0xFFFFFFFF)
+
+
 def anchor_table(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, idents, counts, anchors): the anchors of each text, packed per batch and bucket."""
+    """(bucket, idents, counts, anchors): the lower halves of each text's anchors, packed per batch and bucket."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches):
@@ -181,11 +192,11 @@ def anchor_table(docs: DataFrame, buckets: int) -> DataFrame:
                 continue
             anchors, owner = (np.concatenate(x) for x in zip(*found))
             rows = []
-            for b, at in _deal((anchors >> _U(32)) % _U(buckets), buckets):
+            for b, at in _deal(_bucket(anchors, buckets), buckets):
                 own = owner[at]
                 edge = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, int)
                 counts = np.diff(np.append(edge, len(own))).astype(np.uint32)
-                rows.append((b, own[edge].tobytes(), counts.tobytes(), anchors[at].tobytes()))
+                rows.append((b, own[edge].tobytes(), counts.tobytes(), anchors[at].astype(np.uint32).tobytes()))
             yield _batch(rows, ["bucket", "idents", "counts", "anchors"], [pa.int32(), *[pa.binary()] * 3])
 
     return docs.select("ident", "text").mapInArrow(pack, "bucket int, idents binary, counts binary, anchors binary")
@@ -240,9 +251,10 @@ def _gathered(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def _shared(group: pd.DataFrame, most: int, slots: int) -> pd.DataFrame:
-    """The anchors that several texts have and whether each is frequent, for each text, packed by slot."""
+    """The keys of anchors that several texts have and whether each is frequent, for each text, packed by slot."""
     ident = _unpacked(group, "idents")
-    anchors = np.frombuffer(b"".join(group["anchors"]), np.uint64)
+    halves = np.frombuffer(b"".join(group["anchors"]), np.uint32)
+    anchors = _keys(halves.astype(np.uint64), int(group["bucket"].iloc[0]))
     order = np.argsort(anchors, kind="stable")
     anchors, ident = anchors[order], ident[order]
     edge = np.array([a for a, _ in _runs(anchors)])
@@ -255,7 +267,7 @@ def _shared(group: pd.DataFrame, most: int, slots: int) -> pd.DataFrame:
 
 
 def region_table(texts: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, ids, idents, places, sizes, anchors, bytes): the regions of texts (id, ident, text, anchors, often), packed."""
+    """(bucket, ids, idents, places, sizes, anchors, bytes): the regions of texts (id, ident, text, anchors, often), compressed."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches):
@@ -273,8 +285,9 @@ def region_table(texts: DataFrame, buckets: int) -> DataFrame:
                     wanted = wanted[order]
                     if not len(wanted):
                         continue
-                    at = np.minimum(np.searchsorted(wanted, anchor[own]), len(wanted) - 1)
-                    hit = wanted[at] == anchor[own]
+                    keys = _keys(anchor[own], _bucket(anchor[own], buckets))
+                    at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+                    hit = wanted[at] == keys
                     text = data[offsets[k] : offsets[k + 1]]
                     single = hit & frequent[at]
                     run = hit & ~single
@@ -298,20 +311,20 @@ def _packed_regions(parts: list[tuple], buckets: int) -> Iterator[pa.RecordBatch
     anchor, place, count = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
     ids, idents = np.array([p[0] for p in parts], dtype=np.int64).T
     rows = []
-    for b, at in _deal((anchor >> _U(32)) % _U(buckets), buckets):
+    for b, at in _deal(_bucket(anchor, buckets), buckets):
         size = count[at] + LENGTH - 1
-        text = b"".join([parts[o][1][s : s + n].tobytes() for o, s, n in zip(owner[at].tolist(), place[at].tolist(), size.tolist())])
-        numbers = (ids[owner[at]], idents[owner[at]], place[at], size, anchor[at])
-        rows.append((b, *[x.tobytes() for x in numbers], text))
+        text = np.concatenate([parts[o][1][s : s + n] for o, s, n in zip(owner[at].tolist(), place[at].tolist(), size.tolist())])
+        numbers = (ids[owner[at]], idents[owner[at]], place[at], size, anchor[at].astype(np.uint32))
+        rows.append((b, *[shrunk(x) for x in (*numbers, text)]))
     yield _batch(rows, names, [pa.int32(), *[pa.binary()] * 6])
 
 
 def _covered(group: pd.DataFrame, slots: int) -> pd.DataFrame:
     """The bytes of each document that strings of earlier documents cover, from one bucket's regions, packed by slot."""
     columns = ("ids", "idents", "places", "sizes")
-    ids, ident, place, size = (np.frombuffer(b"".join(group[c]), np.int64) for c in columns)
-    anchor = np.frombuffer(b"".join(group["anchors"]), np.uint64)
-    raw = b"".join(group["bytes"])
+    ids, ident, place, size = (np.concatenate([grown(x, "int64") for x in group[c]]) for c in columns)
+    anchor = np.concatenate([grown(x, "uint32") for x in group["anchors"]])
+    raw = b"".join([grown(x, "uint8").tobytes() for x in group["bytes"]])
     begin = np.concatenate(([0], np.cumsum(size)[:-1]))
     order = np.argsort(anchor, kind="stable")
     # Chunks of about _CHUNK bytes that keep an anchor's regions together.
@@ -326,27 +339,35 @@ def _covered(group: pd.DataFrame, slots: int) -> pd.DataFrame:
             end += 1
         own = order[start:end]
         start = end
-        _cover_chunk(raw, ids[own], ident[own], place[own], size[own], begin[own], (out_id, out_from, out_to))
+        _cover_chunk(raw, *[x[own] for x in (anchor, ids, ident, place, size, begin)], (out_id, out_from, out_to))
     release_memory()
     spans = np.stack((np.concatenate(out_from), np.concatenate(out_to)), axis=1)
     return _by_slot(np.concatenate(out_id), {"spans": spans}, slots)
 
 
-def _cover_chunk(raw, ids, ident, place, size, begin, out) -> None:
+def _cover_chunk(raw, anchor, ids, ident, place, size, begin, out) -> None:
     known: dict[bytes, int] = {}
     which = np.empty(len(ids), np.int64)
     for k, (b, n) in enumerate(zip(begin.tolist(), size.tolist())):
         which[k] = known.setdefault(raw[b : b + n], len(known))
     owners = np.full(len(known), _LAST)
     np.minimum.at(owners, which, ids)
-    first = first_owners(list(known), owners)
     later = ids > owners[which]
     for column, values in zip(out, (ident[later], place[later], place[later] + size[later])):
         column.append(values)
-    # The region's first owner: only strings that a still earlier document has.
-    own = np.flatnonzero(~later)
-    changed = [bool((f < o).any()) for f, o in zip(first, owners.tolist())]
-    for k in own[np.array(changed, bool)[which[own]]]:
+    # The region's first owner: only strings that a still earlier document has. Where all regions of an anchor are
+    # equal, none has. Equal regions have one anchor.
+    anchor_of = np.empty(len(known), anchor.dtype)
+    anchor_of[which] = anchor
+    _, group, times = np.unique(anchor_of, return_inverse=True, return_counts=True)
+    met = np.flatnonzero(times[group] > 1)
+    if not len(met):
+        return
+    regions = list(known)
+    first = dict(zip(met.tolist(), first_owners([regions[k] for k in met], owners[met])))
+    changed = np.zeros(len(known), bool)
+    changed[[k for k, f in first.items() if (f < owners[k]).any()]] = True
+    for k in np.flatnonzero(~later & changed[which]):
         hit = np.flatnonzero(first[which[k]] < owners[which[k]])
         edge = np.flatnonzero(np.concatenate(([True], np.diff(hit) > 1)))
         low, high = hit[edge], hit[np.append(edge[1:], len(hit)) - 1] + LENGTH
@@ -375,6 +396,27 @@ def _ident(digest: Column) -> Column:
     return F.conv(F.substring(F.hex(digest), 1, 15), 16, 10).cast("long")
 
 
+def _shared_anchors(texts: DataFrame, owners: DataFrame, often: int, buckets: int) -> DataFrame:
+    """(id, digest, ident, anchors, often): the anchors of each distinct text (ident, text) that others share, stored."""
+    slot = "slot long, ids binary, counts binary"
+    shared = anchor_table(texts, buckets).groupBy("bucket").applyInPandas(
+        lambda g: _shared(g, often, buckets), f"{slot}, anchors binary, often binary"
+    )
+    lists = _gathered(shared, {"anchors": "u8", "often": "?"}).withColumnRenamed("id", "ident")
+    return stored(
+        lists.join(owners, "ident").select(F.col("rep").alias("id"), "digest", "ident", "anchors", "often"), "anchors"
+    )
+
+
+def _spans(texts: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
+    """(ident, found): the spans of each text (id, digest, text) that strings of earlier documents cover, stored."""
+    once = texts.join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"])
+    covered = region_table(once, buckets).groupBy("bucket").applyInPandas(
+        lambda g: _covered(g, buckets), "slot long, ids binary, counts binary, spans binary"
+    )
+    return stored(_gathered(covered, {"spans": "i8, i8"}).select(F.col("id").alias("ident"), F.col("spans").alias("found")), "spans")
+
+
 def dedup_substrings(docs: DataFrame, *columns: str, often: int = OFTEN) -> DataFrame:
     """(id, digest, text, row, copy, found): each text, with ``columns`` in row, and the spans that strings of earlier documents cover.
 
@@ -401,19 +443,10 @@ def dedup_substrings(docs: DataFrame, *columns: str, often: int = OFTEN) -> Data
     ids = stored(rows.select("id", "digest"), "ids")
     ident = _ident(F.col("digest"))
     owners = stored(ids.groupBy("digest").agg(F.min("id").alias("rep")).withColumn("ident", ident), "owners")
-    packed = anchor_table(rows.select(ident.alias("ident"), "text"), buckets)
-    slot = "slot long, ids binary, counts binary"
-    shared = packed.groupBy("bucket").applyInPandas(
-        lambda g: _shared(g, often, buckets), f"{slot}, anchors binary, often binary"
-    )
-    lists = _gathered(shared, {"anchors": "u8", "often": "?"}).withColumnRenamed("id", "ident")
-    wanted = stored(
-        lists.join(owners, "ident").select(F.col("rep").alias("id"), "digest", "ident", "anchors", "often"), "anchors"
-    )
-    texts = rows.select("id", "digest", "text").join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"])
-    regions = region_table(texts, buckets)
-    covered = regions.groupBy("bucket").applyInPandas(lambda g: _covered(g, buckets), f"{slot}, spans binary")
-    spans = stored(_gathered(covered, {"spans": "i8, i8"}).select(F.col("id").alias("ident"), F.col("spans").alias("found")), "spans")
+    wanted = _shared_anchors(rows.select(ident.alias("ident"), "text"), owners, often, buckets)
+    release_shuffles(spark)
+    spans = _spans(rows.select("id", "digest", "text"), wanted, buckets)
+    release_shuffles(spark)
     marks = (
         ids.distinct()
         .join(owners, "digest")

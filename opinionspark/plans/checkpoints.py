@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,3 +50,15 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     """Deletes stored rows that nothing is left to read."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of frames that nothing refers to any more.
+
+    Spark does so once the driver's JVM collects them, which a short job may not see. The JVM hears a second
+    late what Python has let go.
+    """
+    gc.collect()
+    for _ in range(2):
+        time.sleep(1.1)
+        spark._jvm.System.gc()

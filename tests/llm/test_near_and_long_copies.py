@@ -250,3 +250,44 @@ def test_suffix_ranks(alphabet):
             order = np.argsort(suffixes.suffix_ranks(text, depth), kind="stable")
             found = [tuple(text[i : i + depth]) for i in order]
             assert found == sorted(found)
+
+
+def _long_rows():
+    draw = random.Random(7)
+    words = ["".join(draw.choices("abcdefghij", k=draw.randint(3, 9))) for _ in range(3000)]
+    texts = [" ".join(draw.choices(words, k=400)) for _ in range(40)]
+    return list(enumerate(texts + [t[: len(t) // 2] for t in texts]))
+
+
+def test_few_bytes_of_an_anchor_are_shuffled(docs):
+    rows = docs([(i, t) for i, t in _long_rows()]).selectExpr("doc_id as ident", "text")
+    data = pa.array([t for _, t in _long_rows()])
+    runs = sum(len(suffixes.anchor_runs(d, o)[0]) for *_, d, o in text_slices(data))
+    shuffled = suffixes.anchor_table(rows, 4).selectExpr("sum(length(anchors))").first()[0]
+    assert shuffled == 4 * runs
+
+
+def test_regions_are_shuffled_compressed():
+    text = np.frombuffer(_long_rows()[0][1].encode(), np.uint8)
+    anchor, _, place, count = suffixes.anchor_runs(text, np.array([0, len(text)]))
+    (batch,) = suffixes._packed_regions([((1, 1), text, anchor, place, count)], 1)
+    assert sum(len(batch[c][0].as_py()) for c in batch.schema.names[1:]) < int((count + suffixes.LENGTH - 1).sum())
+
+
+def test_equal_regions_are_not_sorted(docs, monkeypatch):
+    sorted_ = []
+    first_owners = suffixes.first_owners
+    monkeypatch.setattr(suffixes, "first_owners", lambda r, o: sorted_.extend(r) or first_owners(r, o))
+    text = np.frombuffer(_long_rows()[0][1].encode(), np.uint8)
+    anchor, _, place, count = suffixes.anchor_runs(text, np.array([0, len(text)]))
+    (batch,) = suffixes._packed_regions([((i, i + 100), text, anchor, place, count) for i in (4, 2, 9)], 1)
+    found = suffixes._covered(batch.to_pandas(), 1)
+    assert not sorted_
+    assert suffixes._unpacked(found).tolist() == [104] * len(anchor) + [109] * len(anchor)
+
+
+def test_shuffles_of_the_search_are_deleted_before_texts_are_put_out(docs, monkeypatch):
+    released = []
+    monkeypatch.setattr(suffixes, "release_shuffles", released.append)
+    suffixes.dedup_substrings(docs(_long_rows()))
+    assert len(released) == 2

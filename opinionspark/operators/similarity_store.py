@@ -5,10 +5,6 @@ token hashes; and the groups of all texts so far. A batch's texts meet each
 other and the stored sets, block by block (see ``tiles``). Similarity is the
 Jaccard measure of the token sets, which no later text changes, so batches give
 the groups that one run over all posts gives.
-
-Two texts can reach the threshold only if they share one of the first tokens of
-both in a fixed order. The order is that of the first batch, rare tokens first;
-tokens that it hasn't seen come before all others, in every batch alike.
 """
 
 from __future__ import annotations
@@ -27,7 +23,6 @@ _TILE = 1000  # texts of a block that are compared at once
 TEXTS = "rep long, text_key string, tokens array<long>, size int"
 POSTS = "post_id long, rep long"
 GROUPS = "rep long, component long"
-ORDER = "token long, texts long"
 SETTINGS = "threshold double"
 
 
@@ -83,29 +78,19 @@ class SimilarityStore:
             keys = old_texts.select("text_key", "rep").unionByName(texts.select("text_key", "rep"))
             kept(own.select("post_id", "text_key").join(keys, "text_key", "left"), "posts", POSTS)
             kept(spark.createDataFrame([(self.threshold,)], SETTINGS), "settings", SETTINGS)
-            if folders:
-                order = self._all(folders[:1], "order", ORDER)
-            else:
-                counted = texts.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
-                order = kept(counted, "order", ORDER)
-            own_blocks = self._blocks(texts, order)
+            own_blocks = self._blocks(texts, linking=_TILE)
             linked = self._met(own_blocks, None)
             if folders:
-                linked = linked.unionByName(self._met(own_blocks, self._blocks(old_texts, order)))
+                linked = linked.unionByName(self._met(own_blocks, self._blocks(old_texts)))
             groups = self._all(folders[-1:], "groups", GROUPS).unionByName(texts.select("rep", F.col("rep").alias("component")))
             kept(self._merged(groups, checkpoint(linked)), "groups", GROUPS)
 
         return write_version(spark, self.path, write)
 
-    def _blocks(self, texts: DataFrame, order: DataFrame) -> DataFrame:
-        """The texts' token sets in blocks. Any token may be in a later text, so none counts as one of a single text."""
-        rows = texts.select("rep", F.explode("tokens").alias("token")).join(order, "token", "left")
-        one = F.lit(1).cast("long")
-        entries = rows.select(
-            "rep", one.alias("copies"), F.col("token").alias("id"), (F.coalesce("texts", F.lit(0)) + 2).alias("df"), one.alias("n")
-        )
+    def _blocks(self, texts: DataFrame, linking: int = 0) -> DataFrame:
+        """The texts' token sets in blocks."""
         tokens = texts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-        return tiles.blocks(entries, tokens, "jaccard", self.threshold)
+        return tiles.set_blocks(texts, tokens, self.threshold, linking)
 
     def _met(self, first: DataFrame, second: DataFrame | None) -> DataFrame:
         """Pairs (a, b) that connect the similar texts of the blocks."""

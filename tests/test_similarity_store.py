@@ -9,7 +9,7 @@ import shutil
 import pytest
 
 from conftest import post
-from opinionspark.operators import similarity, similarity_store
+from opinionspark.operators import similarity, similarity_store, tiles
 from opinionspark.operators.similarity_store import SimilarityStore
 from opinionspark.sources.snapshots import version_folder
 
@@ -79,3 +79,21 @@ def test_small_stores(spark, make_posts, tmp_path):
     assert all_groups(store.groups()) == {4: 0}
     store.add(make_posts([post(2, "")]))
     assert all_groups(store.groups()) == {4: -1, 2: -1}
+
+
+def test_texts_of_a_block_are_linked_when_it_is_made(spark):
+    rng = random.Random(5)
+    base = [sorted(rng.sample(range(-500, 500), 30)) for _ in range(4)]
+    rows = [(10 * i + k, [t for t in tokens if t != tokens[k]]) for i, tokens in enumerate(base) for k in range(6)]
+    made = tiles.set_blocks(spark.createDataFrame(rows, "rep long, tokens array<long>"), 30 * len(rows), 0.6, 1000)
+    assert made.count() == 1
+    links = tiles.meet(made, None, "jaccard", 0.6, 1000, links=True).collect()
+    assert len(links) == 4 * 5
+    assert {(r.a // 10, r.b // 10) for r in links} == {(i, i) for i in range(4)}
+    assert made.selectExpr("group is not null and length(group) > 8").first()[0]
+
+
+def test_only_sets_are_shuffled(spark, make_posts, tmp_path):
+    store = SimilarityStore(spark, str(tmp_path / "store"), 0.6)
+    store.add(make_posts([post(i, f"one two three four {i}") for i in range(5)]))
+    assert not list((tmp_path / "store").rglob("order"))
